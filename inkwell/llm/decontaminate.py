@@ -69,51 +69,58 @@ def find_hits(docs: DataFrame, windows: DataFrame, text: str = "text", most_broa
     return hits.withColumn("_dec_items", F.array_sort(F.array_distinct(F.flatten("_dec_items"))))
 
 
+def hit_texts(docs: DataFrame, items: DataFrame, size: int = SIZE, text: str = "text") -> DataFrame:
+    """A written table of the distinct texts with hits, and what hits them; small where few texts are contaminated."""
+    windows = materialize(benchmark_windows(items, size), "windows")
+    return materialize(find_hits(docs, windows, text), "hits")
+
+
 def annotate(docs: DataFrame, items: DataFrame, size: int = SIZE, text: str = "text") -> DataFrame:
-    """All rows of ``docs`` with n_words, n_hit, hit_items and hit_spans.
+    """All rows and columns of ``docs`` with _dec_n_words, _dec_n_hit, _dec_items and _dec_spans.
 
-    The few hit texts are written out and joined to the rows by content, so a text that is
-    repeated in very many rows is a skewed key that adaptive execution may split.
+    Hits are joined to the rows by content, so a text that is repeated in very many rows is
+    a skewed key that adaptive execution may split. Words are counted below the join: where
+    the caller drops the text, it isn't shuffled.
     """
-    windows = materialize(benchmark_windows(items, size), "windows")
-    hits = materialize(find_hits(docs, windows, text), "hits")
-    out = docs.withColumn("_dec_key", text_key(text)).join(hits, "_dec_key", "left")
+    counted = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(ANY_CASE_WORD)).cast("long")
+    out = docs.withColumns({"_dec_key": text_key(text), "_dec_n_words": counted})
+    out = out.join(hit_texts(docs, items, size, text), "_dec_key", "left")
     covered = F.array_distinct(F.flatten(F.transform("_dec_spans", lambda s: F.sequence(s["start"], s["start"] + s["len"] - 1))))
-    return out.select(
-        *[docs[c] for c in docs.columns],
-        F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(ANY_CASE_WORD)).cast("long").alias("n_words"),
-        F.when(F.col("_dec_spans").isNull(), 0).otherwise(F.size(covered)).cast("long").alias("n_hit"),
-        F.coalesce("_dec_items", F.array().cast("array<string>")).alias("hit_items"),
-        "_dec_spans",
-    )
+    return out.withColumns({
+        "_dec_n_hit": F.when(F.col("_dec_spans").isNull(), 0).otherwise(F.size(covered)).cast("long"),
+        "_dec_items": F.coalesce("_dec_items", F.array().cast("array<string>")),
+    }).drop("_dec_key")
 
 
-def remove_documents(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
+def remove_documents(docs: DataFrame, items: DataFrame, size: int = SIZE, text: str = "text") -> DataFrame:
     """Rows of ``docs`` without any hit, with their own columns."""
-    marked = annotate(docs.select("*"), items, size)
-    return marked.filter("n_hit = 0").select(*[marked[c] for c in docs.columns])
+    hits = hit_texts(docs, items, size, text).select("_dec_key")
+    return docs.withColumn("_dec_key", text_key(text)).join(hits, "_dec_key", "left_anti").select(*docs.columns)
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, size: int = SIZE, text: str = "text") -> DataFrame:
     """All rows, with the hit words (and what follows each up to the next word) cut out of the text."""
     marked = annotate(docs, items, size, text)
-    parts = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"({ANY_CASE_WORD})[^A-Za-z0-9\\x{{80}}-\\x{{10FFFF}}]*"), F.lit(0))
-    marked = marked.withColumn("_dec_parts", F.when(F.col("n_hit") > 0, parts))
+    parts = F.regexp_extract_all(F.col(text), F.lit(f"(?:{ANY_CASE_WORD})(?:[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*)"), F.lit(0))
+    head = F.regexp_extract(F.col(text), r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
+    marked = marked.withColumn("_dec_parts", F.when(F.col("_dec_n_hit") > 0, parts))
     covered = F.flatten(F.transform("_dec_spans", lambda s: F.sequence(s["start"], s["start"] + s["len"] - 1)))
     marked = marked.withColumn("_dec_cut", F.array_distinct(covered))
     kept = F.array_join(F.filter("_dec_parts", lambda p, i: ~F.array_contains(F.col("_dec_cut"), i + 1)), "")
-    cleaned = F.when(F.col("n_hit") > 0, kept).otherwise(F.col(text))
-    return marked.select(*[cleaned.alias(c) if c == text else marked[c] for c in docs.columns])
+    marked = marked.withColumn("_dec_cleaned", F.when(F.col("_dec_n_hit") > 0, F.concat(head, kept)).otherwise(F.col(text)))
+    return marked.select(*[F.col("_dec_cleaned").alias(c) if c == text else c for c in docs.columns])
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = annotate(docs, table(spark, sf_dir, "benchmark"))
     return marked.select(
-        "doc_id", "n_words", "n_hit",
-        F.size("hit_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"),
+        "doc_id",
+        F.col("_dec_n_words").alias("n_words"),
+        F.col("_dec_n_hit").alias("n_hit"),
+        F.size("_dec_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("_dec_items", ","), 256).alias("items_sha256"),
+        (F.col("_dec_n_hit") > 0).alias("contaminated"),
     )
 
 
