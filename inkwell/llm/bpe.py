@@ -140,7 +140,9 @@ class Codec:
         return b"".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
 
 
-codec = functools.lru_cache(maxsize=4)(Codec)
+@functools.lru_cache(maxsize=4)
+def codec(name: str) -> Codec:
+    return Codec(name)
 
 
 def _groups(b: pa.RecordBatch, size: np.ndarray) -> Iterator[pa.RecordBatch]:
