@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from inkwell.llm import bpe, decontaminate, neardup, quality, secrets, shards, toxicity
+from inkwell.llm import bpe, decontaminate, exactsub, neardup, quality, secrets, shards, toxicity
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
     "op2_decontamination": decontaminate.op2_decontamination,
+    "op3_suffix_dedup": exactsub.op3_suffix_dedup,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_sharding": shards.op5_sharding,
     "op6_near_duplicates": neardup.op6_near_duplicates,
