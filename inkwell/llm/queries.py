@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkwell.llm import bpe, decontaminate, exactsub, neardup, quality, secrets, shards, toxicity
+from inkwell.llm import bpe, decontaminate, exactsub, lm, neardup, quality, secrets, shards, toxicity
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_sharding": shards.op5_sharding,
     "op6_near_duplicates": neardup.op6_near_duplicates,
+    "op7_lm_scores": lm.op7_lm_scores,
     "op9_bpe": bpe.op9_bpe,
     "op10_toxicity": toxicity.op10_toxicity,
 }

@@ -16,9 +16,13 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word, text after text, and how many words each text has."""
-    data = b" ".join(texts).translate(TO_WORDS)
+#: A-Z become a-z and white space a blank; everything else stays.
+TO_TOKENS = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 32 or 9 <= c <= 13 else c for c in range(256))
+
+
+def word_spans(texts: list[bytes], letters: bytes = TO_WORDS) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts joined and translated, where each word starts and ends there, its 64-bit hash, and how many each text has."""
+    data = b" ".join(texts).translate(letters)
     b = np.frombuffer(data, np.uint8)
     letter = b != 32
     edge = np.flatnonzero(np.diff(np.concatenate([[False], letter, [False]]).astype(np.int8)))
@@ -26,14 +30,19 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     limits = np.cumsum([len(t) + 1 for t in texts]) if texts else np.zeros(0, np.int64)
     counts = np.diff(np.concatenate([[0], np.searchsorted(starts, limits)]))
     if not len(starts):
-        return np.zeros(0, np.uint64), counts
+        return data, starts, ends, np.zeros(0, np.uint64), counts
     size = ends - starts
     at = np.flatnonzero(letter)
     first = np.cumsum(size) - size
     place = np.arange(len(at)) - np.repeat(first, size)
     power = np.cumprod(np.full(int(size.max()), BASE, np.uint64))
     h = np.add.reduceat((b[at].astype(np.uint64) + np.uint64(1)) * power[place], first)
-    return mixed(h + size.astype(np.uint64)), counts
+    return data, starts, ends, mixed(h + size.astype(np.uint64)), counts
+
+
+def word_hashes(texts: list[bytes], letters: bytes = TO_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word, text after text, and how many words each text has."""
+    return word_spans(texts, letters)[3:]
 
 
 def shingle_hashes(words: np.ndarray, counts: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
