@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkwell.llm import bpe, decontaminate, exactsub, lm, neardup, quality, secrets, shards, toxicity
+from inkwell.llm import bpe, decontaminate, exactsub, lm, neardup, passages, quality, secrets, shards, toxicity
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_sharding": shards.op5_sharding,
     "op6_near_duplicates": neardup.op6_near_duplicates,
     "op7_lm_scores": lm.op7_lm_scores,
+    "op8_repeated_passages": passages.op8_repeated_passages,
     "op9_bpe": bpe.op9_bpe,
     "op10_toxicity": toxicity.op10_toxicity,
 }
