@@ -53,7 +53,8 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     power, all_ids, all_owners = np.uint64(1099511628211), [], []
     h = np.zeros(len(b), np.uint64)
     for n in range(1, max(GRAMS) + 1):
-        h[: len(b) - n + 1] = h[: len(b) - n + 1] * power + b[n - 1 :]
+        m = max(len(b) - n + 1, 0)
+        h[:m] = h[:m] * power + b[n - 1 : n - 1 + m]
         if n in GRAMS:
             at = np.flatnonzero(room >= n)
             all_ids.append(_bucket(h[at] + np.uint64(n)))
