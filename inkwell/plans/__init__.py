@@ -1 +1 @@
-"""Part of the content engine; see README.md."""
+"""Queries over the given tables: one an operator, with SQL twins."""
