@@ -102,11 +102,15 @@ def page_tables(pages: DataFrame, key: str, html: str) -> DataFrame:
     return r.filter(F.size("cells") > 0).select(key, "table_no", "row_no", "cells")
 
 
+def _holds(word: str):
+    return lambda c: c.contains(word)
+
+
 def table_stats(rows: DataFrame, key: str, name_words, group_words, count_words, most: int = 3) -> DataFrame:
     """Per table: data rows, distinct names and groups, and the sum of the count column's first integers. Columns are found by header words, earlier words first."""
 
     def column(words) -> Column:
-        at = [F.array_position(F.transform("cells", lambda c, w=w: c.contains(w)), True) for w in words]
+        at = [F.array_position(F.transform("cells", _holds(w)), True) for w in words]
         return F.coalesce(*[F.nullif(a, F.lit(0)) for a in at])
 
     head = rows.filter("row_no = 0").select(key, "table_no", column(name_words).alias("_n"), column(group_words).alias("_g"), column(count_words).alias("_c"))
