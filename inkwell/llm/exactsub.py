@@ -5,17 +5,19 @@ CORE-byte strings inside a window of LENGTH bytes, the least one (the leftmost o
 the window's anchor: equal windows have it at the same place. So only anchors, about one in
 80 bytes, are shuffled, and only those whose core occurs twice are looked at again:
 
-1. anchors of all texts, counted by core;
-2. for cores met twice, the context: all bytes of windows that can hold the anchor;
-3. a context met twice is removed whole. Contexts that share only the core go to one task a
-   core, are suffix-sorted to the right and to the left by hash comparisons (suffixes.py), and
-   give the outermost windows that another context has, too, confirmed by the bytes. All
-   windows hold the anchor, so what they cover is one run of bytes;
+1. anchors of all texts, counted by core, with the least and greatest hash of the context:
+   all bytes of windows that can hold the anchor;
+2. cores met twice go back to their texts. Where all contexts of a core are one, it goes;
+3. where they differ, the contexts' bytes follow: one met twice goes whole. Those that share
+   only the core go to one task a core, are suffix-sorted to the right and to the left by
+   hash comparisons (suffixes.py), and give the outermost windows that another context has,
+   too, confirmed by the bytes. All windows hold the anchor, so they cover one run of bytes;
 4. runs go back to their texts and are cut out.
 
 A core with more than MOST contexts (a passage in very many surroundings) is not gathered
 in a task: its windows become rows and are counted by Spark, which gives the same result.
-Contexts are compared by 128-bit hashes, and cores' hashes only gather candidates.
+Contexts are told apart by hashes of 64 bits within a core and 128 bits beyond; cores'
+hashes only gather candidates.
 
 Cases: null and empty texts have no bytes; texts under LENGTH bytes lose none; rows of equal
 text, also with equal ids, are different places, so texts of LENGTH bytes and more that
@@ -102,8 +104,14 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def _context_hashes(text: bytes, places: list[int]) -> list[int]:
+    """A 64-bit hash of each place's context and of how much of it stands ahead."""
+    digest = xxhash.xxh3_64_intdigest
+    return [digest(text[max(0, at - LEFT) : at + LENGTH], min(at, LEFT)) - (1 << 63) for at in places]
+
+
 def _thin_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(core, key, at): key is the first half of the text's 128-bit key, which only names candidates."""
+    """(core, key, at, around): key is the first half of the text's 128-bit key, which only names candidates; around is a hash of the context."""
     find = Anchors()
     for b in batches:
         all_texts = _bytes(b.column(0))
@@ -117,29 +125,33 @@ def _thin_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     "core": pa.array(np.concatenate([c for _, _, c in got]).view(np.int64)),
                     "key": pa.array(np.repeat(keys[[k for k, _, _ in got]], n)),
                     "at": pa.array(np.concatenate([a for _, a, _ in got]).astype(np.int32)),
+                    "around": pa.array([h for k, a, _ in got for h in _context_hashes(texts[k], a.tolist())], pa.int64()),
                 })
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (text, n, places): each context with its hash, weight and bytes."""
+    """From (text, n, places): each place as a run of bytes, and its context with a hash where contexts of its core differ."""
+    names = ["k1", "k2", "at", "first", "last", "n", "core", "f1", "f2", "context"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     for b in batches:
         texts, places = _bytes(b.column(0)), b.column(2).to_pylist()
         for i, j in slices_of([8 * len(p) * LENGTH for p in places], 32 * PIECE):
             rows = []
             for k in range(i, j):
-                t, key = texts[k], _keys([texts[k]])[0].tolist()
-                for at in places[k]:
+                t, key, n = texts[k], _keys([texts[k]])[0].tolist(), b.column(1)[k].as_py()
+                for place in places[k]:
+                    at = place["at"]
                     if at + CORE > len(t):
                         continue
-                    first = max(0, at - LEFT)
-                    context = t[first : at + LENGTH]
-                    full = np.frombuffer(xxhash.xxh3_128_digest(context + (at - first).to_bytes(2, "little")), "<i8").tolist()
-                    core = np.frombuffer(xxhash.xxh3_64_digest(t[at : at + CORE]), "<i8")[0]
-                    rows.append((*key, at, core, *full, at - first, b.column(1)[k].as_py(), context))
+                    first, last = max(0, at - LEFT), min(len(t), at + LENGTH)
+                    more: tuple = (None, None, None, None)
+                    if place["mixed"]:
+                        context = t[first:last]
+                        full = np.frombuffer(xxhash.xxh3_128_digest(context + (at - first).to_bytes(2, "little")), "<i8").tolist()
+                        more = (np.frombuffer(xxhash.xxh3_64_digest(t[at : at + CORE]), "<i8")[0], *full, context)
+                    rows.append((*key, at, first, last, n, *more))
             if rows:
-                c = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, kinds, strict=True)], ["k1", "k2", "at", "core", "f1", "f2", "skip", "n", "context"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
 def _sorted_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,32 +187,31 @@ def _sorted_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def repeated_runs(docs: DataFrame, text: str = "text") -> DataFrame:
     """For each distinct text (k1, k2: its 128-bit key) the runs of bytes to remove, as (start, end), not yet merged."""
     bodies = docs.select(text_of(text).alias("t"))
-    anchors = bodies.mapInArrow(_thin_anchors, "core long, key long, at int")
-    twice = materialize(anchors.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core"), "cores")
+    anchors = bodies.mapInArrow(_thin_anchors, "core long, key long, at int, around long")
+    cores = anchors.groupBy("core").agg(F.count("*").alias("n"), F.min("around").alias("a"), F.max("around").alias("z")).filter("n > 1")
+    cores = materialize(cores.select("core", (F.col("a") != F.col("z")).alias("mixed")), "cores")
     # No order and no group is asked of the large side, so a core in a third of all rows may be split.
-    places = anchors.join(twice, "core", "left_semi").groupBy("key").agg(F.sort_array(F.collect_set("at")).alias("places"))
+    places = anchors.select("core", "key", "at").join(cores, "core").groupBy("key").agg(F.sort_array(F.collect_set(F.struct("at", "mixed"))).alias("places"))
     whole = bodies.groupBy(_spark_key("t").alias("address")).agg(F.first("t").alias("t"), F.count("*").alias("n"))
     whole = whole.mapInArrow(_with_key, "t string, n long, key long")
-    contexts = whole.join(places, "key").select("t", "n", "places").mapInArrow(_contexts, "k1 long, k2 long, at int, core long, f1 long, f2 long, skip int, n long, context binary")
-    contexts = materialize(contexts, "contexts")
-    full = contexts.groupBy("core", "f1", "f2").agg(F.sum("n").alias("n"))
-    full = materialize(full, "full")
-    several = materialize(full.groupBy("core").agg(F.count("*").alias("contexts")).filter("contexts > 1"), "several")
+    found = whole.join(places, "key").select("t", "n", "places").mapInArrow(_contexts, "k1 long, k2 long, at int, first int, last int, n long, core long, f1 long, f2 long, context binary")
+    found = materialize(found, "contexts")
+    # Where all contexts of a core are one, and there are several, all of it goes.
+    plain = found.filter("core IS NULL").select(*KEY, F.col("first").alias("start"), F.col("last").alias("end"))
+    mixed = found.filter("core IS NOT NULL")
+    full = materialize(mixed.groupBy("core", "f1", "f2").agg(F.sum("n").alias("n")), "full")
+    large = materialize(full.groupBy("core").agg(F.count("*").alias("contexts")).filter(F.col("contexts") > MOST).select("core"), "large")
     whole_runs = full.filter("n > 1").select("f1", "f2", F.lit(0).alias("low"), F.lit(LEFT).alias("high"))
-
-    def of_cores(which: DataFrame) -> DataFrame:
-        c = contexts.join(which.select("core"), "core", "left_semi")
-        return c.groupBy("core", "f1", "f2").agg(F.first("skip").alias("skip"), F.first("context").alias("context"))
-
-    few = of_cores(several.filter(F.col("contexts") <= MOST)).repartition("core").sortWithinPartitions("core")
-    part_runs = few.mapInArrow(_sorted_spans, "f1 long, f2 long, low int, high int")
-    if not several.filter(F.col("contexts") > MOST).isEmpty():
-        part_runs = part_runs.union(_counted_spans(of_cores(several.filter(F.col("contexts") > MOST))))
+    once = mixed.select("core", "f1", "f2", (F.col("at") - F.col("first")).alias("skip"), "context").groupBy("core", "f1", "f2").agg(F.first("skip").alias("skip"), F.first("context").alias("context"))
+    some_large = not large.isEmpty()
+    few = once.join(large, "core", "left_anti") if some_large else once
+    part_runs = few.repartition("core").sortWithinPartitions("core").mapInArrow(_sorted_spans, "f1 long, f2 long, low int, high int")
+    if some_large:
+        part_runs = part_runs.union(_counted_spans(once.join(large, "core", "left_semi")))
     part_runs = part_runs.join(full.filter("n > 1").select("f1", "f2"), ["f1", "f2"], "left_anti")
     runs = materialize(whole_runs.union(part_runs), "runs")
-    own = contexts.select(*KEY, "at", "f1", "f2", (F.col("at") - F.col("skip")).alias("first"), (F.col("at") - F.col("skip") + F.length("context")).alias("last"))
-    own = own.join(runs, ["f1", "f2"])
-    return own.select(*KEY, F.greatest("first", F.col("at") - F.col("high")).alias("start"), F.least("last", F.col("at") - F.col("low") + LENGTH).alias("end"))
+    own = mixed.select(*KEY, "at", "f1", "f2", "first", "last").join(runs, ["f1", "f2"])
+    return plain.union(own.select(*KEY, F.greatest("first", F.col("at") - F.col("high")), F.least("last", F.col("at") - F.col("low") + LENGTH)))
 
 
 def _spark_key(column: str):
