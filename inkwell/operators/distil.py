@@ -23,11 +23,16 @@ def sentence_table(docs: DataFrame, key: str, text: str, least: int = 8) -> Data
     return docs.select(key, F.posexplode(sentences(F.col(text), least)).alias("pos", "sentence"))
 
 
+def pairs_of(text: Column) -> Column:
+    """All neighbouring pairs of characters, in one pass over the text."""
+    return F.regexp_extract_all(text, F.lit("(?s)(?=(..))"), F.lit(1))
+
+
 def bigrams(sentence_rows: DataFrame, key: str, letters: str = "一-龥", least: int = 3) -> DataFrame:
     """Letter pairs of each document, formed inside sentences after dropping all else, met ``least`` times."""
     kept = F.regexp_replace("sentence", f"[^{letters}]", "")
     rows = sentence_rows.select(key, kept.alias("s")).filter(F.length("s") >= 2)
-    rows = rows.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda i: F.substring(F.col("s"), i, F.lit(2)))).alias("token"))
+    rows = rows.select(key, F.explode(pairs_of(F.col("s"))).alias("token"))
     return rows.groupBy(key, "token").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
@@ -36,13 +41,18 @@ def scored_sentences(rows: DataFrame, key: str, domain=L.DOMAIN, letters: str =
 
     A document's frequent pairs are bounded by its length and travel as one array a document.
     """
-    freq = bigrams(rows, key, letters).groupBy(key).agg(F.collect_list(F.struct("token", "n")).alias("_freq"))
+    # A pair met n times is worth 25 min(n, 5): three lists, each met by hashing with a sentence's own pairs.
+    worth = F.least("n", F.lit(5))
+    lists = [F.collect_list(F.when(worth == k, F.col("token"))).alias(f"_f{k}") for k in (3, 4, 5)]
+    freq = bigrams(rows, key, letters).groupBy(key).agg(*lists)
     out = rows.join(freq, key, "left")
     s, n = F.col("sentence"), F.length("sentence")
-    pairs = F.aggregate(F.coalesce("_freq", F.array().cast("array<struct<token:string,n:bigint>>")), F.lit(0).cast("long"), lambda a, x: a + F.when(s.contains(x["token"]), F.least(x["n"], F.lit(5)) * 25).otherwise(0))
+    out = out.withColumn("_own", F.array_distinct(pairs_of(s)))
+    met = [F.size(F.array_intersect("_own", F.coalesce(f"_f{k}", F.array().cast("array<string>")))) * (25 * k) for k in (3, 4, 5)]
+    pairs = met[0] + met[1] + met[2]
     length = F.when(n.between(25, 70), 150).when(n < 15, -150).when(n > 110, -100).otherwise(0)
     score = X.count_hits(s, domain) * 160 + pairs + F.when(s.rlike(data), 220).otherwise(0) + length - F.when(F.rtrim(s).rlike("[？?]$"), 80).otherwise(0)
-    return out.withColumn("score", score.cast("long")).drop("_freq")
+    return out.withColumn("score", score.cast("long")).drop("_own", "_f3", "_f4", "_f5")
 
 
 def pick(ordered: Column, limit: int, most: float) -> Column:
