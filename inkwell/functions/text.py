@@ -164,3 +164,38 @@ def jaccard(a: Column, b: Column) -> Column:
     """Similarity of the character sets of two texts."""
     x, y = F.array_distinct(F.split(a, "")), F.array_distinct(F.split(b, ""))
     return F.when((a == "") | (b == ""), F.lit(0.0)).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
+
+
+def excerpt(text: Column, fallback: Column, most: int = 110) -> Column:
+    """The first two sentences, cut to ``most`` characters with dots; ``fallback`` for an empty text."""
+    parts = F.split(F.regexp_replace(compact(text), r"([。！？!?；;])\s*", "$1\u0001"), "\u0001", -1)
+    two = F.array_join(F.slice(F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != ""), 1, 2), "")
+    out = F.coalesce(F.nullif(two, F.lit("")), fallback)
+    return F.when(F.length(out) > most, F.concat(F.substring(out, 1, most - 2), F.lit("..."))).otherwise(out)
+
+
+def masked_persons(text: Column, persons=L.PERSONS, letters: str = "一-龥") -> Column:
+    """One or two letters ahead of a word for a person become 某."""
+    return F.regexp_replace(text, f"[{letters}]{{1,2}}({'|'.join(persons)})", "某$1")
+
+
+def needs_caution(text: Column, pattern: str = L.CAUTION) -> Column:
+    return text.rlike(pattern)
+
+
+def marked_caution(text: Column) -> Column:
+    phrase = F.regexp_replace(F.trim(text), "[；;。 ]+$", "")
+    return F.when(phrase == "", phrase).otherwise(F.concat(F.lit("[[CAUTION:"), phrase, F.lit("]]")))
+
+
+def rewritten(text: Column, rules=L.REWRITES) -> Column:
+    """Patterns replaced in the order given, then repeated exclamation marks and outer punctuation tidied."""
+    out = functools.reduce(lambda c, r: F.regexp_replace(c, r[0], r[1]), rules, F.trim(text))
+    return F.regexp_replace(F.regexp_replace(out, "[!！]{2,}", "。"), "^[ ，。；：、]+|[ ，。；：、]+$", "")
+
+
+def condensed(text: Column, most: int = 46, rules=L.REWRITES) -> Column:
+    """At most ``most`` characters, cut at the last pause in the second half where there is one."""
+    s = rewritten(text, rules)
+    head = F.regexp_extract(F.substring(s, 1, most), "^(.*)[，、；]", 1)
+    return F.when(F.length(s) <= most, s).when(F.length(head) >= most // 2, head).otherwise(F.substring(s, 1, most))

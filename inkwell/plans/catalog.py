@@ -348,6 +348,12 @@ _HITS = f"list_filter({_WORDS}, lambda w: contains(content, w))"
 _MERGED = f"(tags || list_filter({_HITS}, lambda w: NOT list_contains(tags, w)))[1:10]"
 
 
+@query("b11_excerpt", rf"""WITH e AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace({s_compact('text')}, '([。！？!?；;])\s*', E'\\1\x01', 'g'), chr(1)), lambda p: trim(p)), lambda p: p <> '') AS p FROM documents),
+o AS (SELECT doc_id, coalesce(nullif(array_to_string(p[1:2], ''), ''), 'none') AS o FROM e) SELECT doc_id, CASE WHEN len(o) > 110 THEN substr(o, 1, 108) || '...' ELSE o END AS excerpt FROM o""")
+def b11(spark, d):
+    return read(spark, d, "documents").select("doc_id", X.excerpt(F.col("text"), F.lit("none")).alias("excerpt"))
+
+
 @query("b12_keywords", f"WITH {MATERIALS} SELECT id, array_to_string({_MERGED}, ',') AS keywords FROM materials")
 def b12(spark, d):
     return materials(spark, d).select("id", F.array_join(keyword_hits(F.col("content"), F.col("tags"), L.LATIN_KEYWORDS), ",").alias("keywords"))
@@ -402,6 +408,20 @@ def b18(spark, d):
     return read(spark, d, "documents").select("doc_id", F.col("text").rlike("rumou?r|forecast|20[0-9]{2}").alias("caution"))
 
 
+@query("b19_mask", "SELECT conv_id, turn, regexp_replace(text, '[a-z]{1,2}(tion|heit)', '某\\1', 'g') AS text FROM conversations")
+def b19(spark, d):
+    return read(spark, d, "conversations").select("conv_id", "turn", X.masked_persons(F.col("text"), ("tion", "heit"), "a-z").alias("text"))
+
+
+_RULES = (("^The", "One"), ("tion(s)?", "ment"), ("und", "and"))
+
+
+@query("b20_condense", f"""WITH s AS (SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(text), '^The', 'One', 'g'), 'tion(s)?', 'ment', 'g'), 'und', 'and', 'g'), '[!！]{{2,}}', '。', 'g'), '^[ ，。；：、]+|[ ，。；：、]+$', '', 'g') AS s FROM conversations)
+SELECT conv_id, turn, substr(s, 1, 46) AS text FROM s""")
+def b20(spark, d):
+    return read(spark, d, "conversations").select("conv_id", "turn", X.condensed(F.col("text"), 46, _RULES).alias("text"))
+
+
 @query("b23_share_id", f"WITH {VIDEOS} SELECT id, CASE WHEN id % 2 = 0 THEN CAST(id % 97 AS VARCHAR) WHEN id % 3 = 0 THEN CAST(id AS VARCHAR) END AS vid FROM videos")
 def b23(spark, d):
     n = F.col("id")

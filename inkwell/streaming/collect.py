@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.operators.dedup import first_wins, not_stored, written
+from inkwell.operators.feed import outcomes, run_summary
 
 
 def stored_news(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -45,3 +46,22 @@ def collect_news(stream: DataFrame, table_path: str, log_path: str, checkpoint:
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)
     return writer.start()
+
+
+def collect_videos(stream: DataFrame, table_path: str, log_path: str, checkpoint: str, thresholds: DataFrame, creators: Callable[[], DataFrame], keywords: tuple[str, ...], seconds: int | None = None):
+    """Start the query: each micro-batch of candidates gets its outcomes against the stored videos; created ones are appended, counts logged.
+
+    As above, a batch writes a folder of its own id, and looks past what it wrote itself.
+    """
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        known = stored_news(spark, table_path, f"{fields}, batch bigint").filter(F.col("batch") != batch_id)
+        found = written(outcomes(batch, thresholds, known, creators(), keywords), "outcomes")
+        found.filter("outcome = 'created'").select(*batch.columns).write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
+        run_summary(found).write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
+
+    writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)
+    return writer.start()

@@ -207,3 +207,29 @@ def test_stream_rerun_adds_nothing(spark, tmp_path):
     spark.createDataFrame([(5, "http://a/4", "new"), (6, "http://a/6", "t6")], schema).write.mode("append").parquet(str(tmp_path / "in"))
     assert go() == [1, 4, 6]
     assert spark.read.parquet(str(tmp_path / "log")).agg(F.sum("created")).first()[0] == 3
+
+
+def test_small_rewrites(spark):
+    assert values(spark, lambda t: X.excerpt(t, F.lit("f")), "一。 二！三", "", "长" * 200) == ["一。二！", "f", "长" * 108 + "..."]
+    assert values(spark, X.masked_persons, "小明同学和张某某家长") == ["某同学和张某家长"]
+    assert values(spark, X.rewritten, "我们觉得很重要！！", "，如果可以。") == ["凭他教育觉得不容忽视", "若可考虑"]
+    assert values(spark, lambda t: X.condensed(t, 10), "一二三四五六，七八九十十一", "一，二三四五六七八九十十一", "短") == ["一二三四五六", "一，二三四五六七八九", "短"]
+    assert values(spark, X.needs_caution, "预计明年", "2024年", "平常") == [True, True, False]
+
+
+def test_video_stream(spark, tmp_path):
+    from inkwell.streaming.collect import collect_videos
+
+    cols = "pos int, title string, creator string, platform string, scope string, original_url string, play_url string, likes int, saves int"
+    row = lambda p, u, n: (p, "高考", "m", "a", "b", f"https://d/video/{u}", "", n, 0)
+    limits = spark.createDataFrame([("a", "b", 100, 100)], "platform string, scope string, likes int, saves int")
+    none = spark.createDataFrame([], "name string, keywords array<string>, enabled boolean")
+    path = lambda n: str(tmp_path / n)
+
+    def go(rows):
+        spark.createDataFrame(rows, cols).coalesce(1).write.mode("append").parquet(path("in"))
+        collect_videos(spark.readStream.schema(cols).parquet(path("in")), path("t"), path("log"), path("cp"), limits, lambda: none, ("高考",)).awaitTermination()
+        return sorted(r.pos for r in spark.read.schema(f"{cols}, batch bigint").parquet(path("t")).collect())
+
+    assert go([row(1, 1, 200), row(2, 1, 300), row(3, 2, 5)]) == [1]
+    assert go([row(4, 1, 200), row(5, 3, 200)]) == [1, 5]
