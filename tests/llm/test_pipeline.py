@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 
 import corpus_pipeline
-from inkwell.llm import decontaminate, neardup, toxicity
+from inkwell.llm import decontaminate, neardup, secrets, toxicity
+from inkwell.llm.common import new_path
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,8 +32,16 @@ def test_stages(spark):
             marked = decontaminate.annotate(before, spark.read.parquet(f"{SF}/benchmark.parquet"))
             assert gone == {r.doc_id for r in marked.filter("_dec_n_hit > 0").collect()}
         else:
-            assert not gone and any(now[k] != left[k] for k in now) and all("[REDACTED]" in now[k] for k in now if now[k] != left[k])
+            found = secrets.scan_versions(before, new_path(spark, "ledger"))
+            assert not gone and {k for k in now if now[k] != left[k]} == {r.doc_id for r in found.collect() if r.secret_spans}
+            assert all("[REDACTED]" in now[k] for k in now if now[k] != left[k])
         left = now
     rows = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert {r.doc_id: r.decoded_sha256 for r in rows} == {k: hashlib.sha256(t.encode()).hexdigest() for k, t in left.items()}
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, SF).collect()) == sorted(left)
+
+
+def test_secrets_are_masked(spark):
+    docs = spark.createDataFrame([(1, "my token = abcdefgh12 ok", "en", "s", 24), (2, None, "en", "s", 0), (3, "clean", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.mask_secrets(spark, docs, SF).collect()}
+    assert got == {1: ("my [REDACTED] ok", 16), 2: (None, 0), 3: ("clean", 5)}
