@@ -41,7 +41,7 @@ from inkwell.llm.suffixes import BASE, repeated_span
 LENGTH, CORE = 200, 41
 WIDTH = LENGTH - CORE + 1  # cores in a window, and windows that can hold an anchor
 LEFT = WIDTH - 1
-PIECE, MOST, CHUNK = 1 << 19, 4000, 8000
+PIECE, MOST, CHUNK = 1 << 19, 1000, 8000
 
 KEY = ["k1", "k2"]
 
