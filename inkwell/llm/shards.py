@@ -56,10 +56,8 @@ def interleave(rows: DataFrame, identity: list[Column], source: str = "source",
     df = df.withColumn("_shard_bucket", F.floor(F.col("_shard_at") * buckets).cast("long")).withColumn("_shard_all", F.lit(0))
     df = _numbered(df, ["_shard_all"], "_shard_bucket", [F.col("_shard_at"), F.col("_shard_source"), F.col("_shard_rank")], "_shard_row")
     place = F.col("_shard_row") - 1
-    shard = F.floor(place * shards / F.lit(max(total, 1))).cast("int")
     # Rows with floor(p * shards / total) = s begin at ceil(s * total / shards).
-    exact = F.expr(f"cast((_shard_row - 1) * {shards} div {max(total, 1)} as int)") if total else shard
-    df = df.withColumn("shard", exact)
+    df = df.withColumn("shard", F.expr(f"cast((_shard_row - 1) * {shards} div {max(total, 1)} as int)"))
     begin = F.expr(f"(cast(shard as bigint) * {total} + {shards - 1}) div {shards}")
     df = df.withColumn("slot", place - begin)
     return df.drop(*[c for c in df.columns if c.startswith("_shard_")])

@@ -27,15 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkwell.llm.common import table
+from inkwell.llm.shingles import TO_WORDS
 
 BUCKETS, DIM, GRAMS, PASSAGE = 1 << 16, 4, (3, 4, 5, 6), 40
 MOST_LABELS, EPOCHS, SEED, CACHE = 8000, 40, 5, 200_000
 #: A vector is learned only if that many pairs of word and labelled text share its bucket; DECAY shrinks it each step.
 LEAST_PAIRS, DECAY, RATE, FLOOR = 25, 0.03, 3.0, 0.9998
 
-#: A-Z become a-z; other ASCII characters but letters and digits become blanks.
-TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
-
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(TO_WORDS).split()
