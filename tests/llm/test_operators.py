@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import collections
-import hashlib
 import math
 import random
 import re
