@@ -167,6 +167,7 @@ def _map(df: DataFrame, column: str, kind: type, added: list[tuple[str, T.DataTy
             for g in _groups(b, size):
                 made = work(codec(tokenizer), g.column(at).cast(kind).to_pylist())
                 yield pa.RecordBatch.from_arrays([*g.columns, *made], [*g.schema.names, *names])
+        codec(tokenizer).cache.clear()  # workers live on in other stages
 
     return df.mapInArrow(run, schema)
 

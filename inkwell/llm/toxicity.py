@@ -18,6 +18,7 @@ through untouched, but ``score`` and ``predicted``, if there, are replaced.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from inkwell.llm.common import table
 from inkwell.llm.shingles import TO_WORDS
 
 BUCKETS, DIM, GRAMS, PASSAGE = 1 << 16, 4, (3, 4, 5, 6), 40
-MOST_LABELS, EPOCHS, SEED, CACHE = 8000, 40, 5, 200_000
+MOST_LABELS, EPOCHS, SEED, CACHE = 6000, 40, 5, 200_000
 #: A vector is learned only if that many pairs of word and labelled text share its bucket; DECAY shrinks it each step.
 LEAST_PAIRS, DECAY, RATE, FLOOR = 25, 0.03, 3.0, 0.9998
 
@@ -76,6 +77,18 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, np.cumsum(counts) - counts, axis=0)
 
 
+def _run_sums(values: np.ndarray, index: np.ndarray, counts: np.ndarray, step: int = 1 << 18) -> np.ndarray:
+    """Sums of values[index] over consecutive runs of ``index``, all of at least one, in blocks of bounded size."""
+    ends = np.cumsum(counts)
+    out, i = np.empty((len(counts), values.shape[1]), np.float32), 0
+    while i < len(counts):
+        a = int(ends[i] - counts[i])
+        j = max(i + 1, int(np.searchsorted(ends, a + step, "right")))
+        out[i:j] = np.add.reduceat(values[index[a : int(ends[j - 1])]], ends[i:j] - counts[i:j] - a, axis=0)
+        i = j
+    return out
+
+
 def _common_subwords(words: list[bytes], texts_of: np.ndarray, step: int = 50_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each word its n-grams in buckets that LEAST_PAIRS pairs of word and text share, how many those are and how many it has in all; and those buckets.
 
@@ -105,26 +118,31 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     if not len(y) or y.min() == y.max():
         return {"vectors": np.zeros((BUCKETS, 1), np.float32), "weights": np.zeros((1, 2), np.float32), "bias": np.array([0.0, 20.0 if len(y) and y[0] else -20.0], np.float32)}
     ids: dict[bytes, int] = {}
-    words, passages, owner = [], [], []
+    words, passages, owner = array("i"), [], []
     for k, text in enumerate(texts):
         w = [ids.setdefault(x, len(ids)) for x in words_of(text)] or [ids.setdefault(b"", len(ids))]
         for i in range(0, len(w), PASSAGE):
             passages.append(len(w[i : i + PASSAGE]))
             owner.append(k)
-        words += w
-    words, passages, owner = np.array(words, np.int32), np.array(passages), np.array(owner)
+        words.extend(w)
+    words, passages, owner = np.frombuffer(words, np.int32), np.array(passages), np.array(owner)
+    vocabulary = list(ids)
+    del ids
     by_text = np.bincount(owner, minlength=len(y))
-    pairs = np.unique(words.astype(np.int64) * len(y) + np.repeat(owner, passages))
-    grams, per_word, whole, kept = _common_subwords(list(ids), np.bincount(pairs // len(y), minlength=len(ids)))
+    pairs = np.unique(words.astype(np.int64) * len(y) + np.repeat(owner, passages)) // len(y)
+    grams, per_word, whole, kept = _common_subwords(vocabulary, np.bincount(pairs, minlength=len(vocabulary)))
+    n_words = len(vocabulary)
+    del pairs, vocabulary
     whole = whole.astype(np.float32)[:, None]  # a word is the mean over all its n-grams; those too rare stay zero
     learned = np.flatnonzero(per_word)
-    # The two scatter-adds of the gradient, as sums over sorted runs.
-    gram_word = np.repeat(np.arange(len(per_word), dtype=np.int32), per_word)
-    o1 = np.argsort(grams, kind="stable")
-    used, c1 = np.unique(grams[o1], return_counts=True)
-    word_passage = np.repeat(np.arange(len(passages), dtype=np.int32), passages)
-    o2 = np.argsort(words, kind="stable")
-    c2 = np.bincount(words, minlength=len(ids))
+    # The two scatter-adds of the gradient, as sums over runs: words of each bucket, passages of each word.
+    order = np.argsort(grams, kind="stable").astype(np.int32)
+    used, c1 = np.unique(grams, return_counts=True)
+    word_of = np.repeat(np.arange(n_words, dtype=np.int32), per_word)[order]
+    order = np.argsort(words, kind="stable").astype(np.int32)
+    c2 = np.bincount(words, minlength=n_words)
+    passage_of = np.repeat(np.arange(len(passages), dtype=np.int32), passages)[order]
+    del order
     rng = np.random.default_rng(seed)
     p = {"vectors": (rng.normal(0, 0.1, (BUCKETS, DIM)) * kept[:, None]).astype(np.float32), "weights": rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), "bias": np.zeros(2, np.float32)}
     m = {k: np.zeros_like(v) for k, v in p.items()}
@@ -133,10 +151,10 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     p["bias"][1] = np.log(y.mean() / (1 - y.mean()))
     floor = 0.0
     for epoch in range(1, epochs + 1):
-        w = np.zeros((len(per_word), DIM), np.float32)
-        w[learned] = _sums(p["vectors"][grams], per_word[learned])
+        w = np.zeros((n_words, DIM), np.float32)
+        w[learned] = _run_sums(p["vectors"], grams, per_word[learned])
         w /= whole
-        v = _sums(w[words], passages) / passages[:, None]
+        v = _run_sums(w, words, passages) / passages[:, None]
         z = v @ p["weights"] + p["bias"]
         gap = z[:, 1] - z[:, 0]
         if epoch * 4 <= epochs:
@@ -150,9 +168,9 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
         e[np.arange(len(e)), y[owner]] -= 1
         e = (e * (weight / len(y))[:, None]).astype(np.float32)
         gv = (e @ p["weights"].T) / passages[:, None].astype(np.float32)
-        gw = _sums(gv[word_passage[o2]], c2) / whole
+        gw = _run_sums(gv, passage_of, c2) / whole
         grad = {"weights": v.T @ e + 1e-5 * p["weights"], "bias": e.sum(0), "vectors": np.zeros_like(p["vectors"])}
-        grad["vectors"][used] = _sums(gw[gram_word[o1]], c1)
+        grad["vectors"][used] = _run_sums(gw, word_of, c1)
         for k, g in grad.items():
             m[k] = 0.9 * m[k] + 0.1 * g
             s[k] = 0.99 * s[k] + 0.01 * g * g
@@ -210,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS) -> t
     rows = rows.orderBy(F.xxhash64("doc_id", F.lit("toxic")), "doc_id", "text", "toxic").limit(most_labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, y = [], []
+        texts, y = [], []  # at most ``most_labels``
         for b in batches:
             texts += b["text"].to_pylist()
             y += b["toxic"].to_pylist()
