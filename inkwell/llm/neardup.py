@@ -12,10 +12,12 @@ shingles names the cells that may hold one, then only shingles of those cells ar
 
 Exact copies collapse first; ids play no part until the end. In a bucket all texts are
 verified against a centre, the one with the most companions over all its buckets (the
-original among its copies). Those that fail meet again in the next round with a new centre.
-After ROUNDS rounds, texts still left are bucketed anew by their rarest shingles (a prefix
-filter, which misses no pair) for as many rounds, and what is left then is compared in
-full. Links give components; one row a document comes back with its class.
+original among its copies). Those that fail meet again in the next round with a new centre,
+ROUNDS times. Of a pair that no centre has connected, one text at least failed against its
+bucket's first centre. So each text that failed in a first round is joined to all texts,
+accepted ones included, that are not in its component yet, by rarest shingles (a prefix
+filter, which misses no pair). Links give components; one row a document comes back with
+its class.
 
 Cases: null and empty texts are copies of each other and like no other text; texts of one
 to four words have one shingle; a null id never names a class unless all its rows' ids are
@@ -72,8 +74,8 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
             yield t[i:j]
 
 
-def common_shingles(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray, float]:
-    """Sorted shingles in a share RARE of all texts or more, their idf, and the idf of all others."""
+def common_shingles(docs: DataFrame, text: str = "text") -> tuple[tuple[np.ndarray, np.ndarray, float], np.ndarray]:
+    """Sorted shingles in a share RARE of all texts or more, their idf, and the idf of all others; and the bits that each cell's count has."""
     bodies = docs.select(text_of(text).alias("t"))
     total = docs.count()
     most, floor = float(np.log(1 / RARE)), RARE * (total + 1)
@@ -99,14 +101,15 @@ def common_shingles(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np
             for k, at, n in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
                 sums.setdefault(k, np.zeros(block, np.int64))[np.frombuffer(at, "<i4")] += np.frombuffer(n, "<i8")
         for k, s in sums.items():
-            if (s >= floor).any():
-                yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "bits": pa.array([np.packbits(s >= floor).tobytes()], pa.binary())})
+            length = np.frexp(s.astype(np.float64))[1].astype(np.uint8)
+            yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "bits": pa.array([np.packbits(s >= floor).tobytes()], pa.binary()), "length": pa.array([length.tobytes()], pa.binary())})
 
     counts = bodies.mapInArrow(count_cells, "block int, at binary, n binary")
-    heavy = counts.repartition(BLOCKS, "block").mapInArrow(heavy_cells, "block int, bits binary").collect()  # CELLS bits at most
-    bits = np.zeros(CELLS, bool)
+    heavy = counts.repartition(BLOCKS, "block").mapInArrow(heavy_cells, "block int, bits binary, length binary").collect()  # CELLS bits and bytes at most
+    bits, lengths = np.zeros(CELLS, bool), np.zeros(CELLS, np.uint8)
     for row in heavy:
         bits[row["block"] * block : (row["block"] + 1) * block] = np.unpackbits(np.frombuffer(row["bits"], np.uint8)).astype(bool)
+        lengths[row["block"] * block : (row["block"] + 1) * block] = np.frombuffer(row["length"], np.uint8)
     sent = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
     def count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +124,7 @@ def common_shingles(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np
     h = rows["h"].to_numpy().astype(np.int64).view(np.uint64)
     df = rows["n"].to_numpy().astype(np.float64)
     order = np.argsort(h)
-    return h[order], np.minimum(np.log((total + 1) / df), most)[order].clip(1e-6), most
+    return (h[order], np.minimum(np.log((total + 1) / df), most)[order].clip(1e-6), most), lengths
 
 
 class Sampler:
@@ -212,27 +215,33 @@ def verified(pairs: DataFrame, bodies: DataFrame, idf, least: float = LEAST) ->
     return both.mapInArrow(run, "a binary, b binary, similarity double").filter(F.col("similarity") >= least - 1e-9)
 
 
-def _prefixes(bodies: DataFrame, idf, least: float) -> DataFrame:
-    """(_near_key, band): the rarest shingles of each text, up to 1 - ``least`` of its weight.
+def _prefixes(bodies: DataFrame, idf, lengths: np.ndarray, least: float) -> DataFrame:
+    """(_near_key, band, rest, total): the rarest shingles of each text, up to 1 - ``least`` of its weight, the weight from each on and the text's.
 
-    Two texts as similar as ``least`` share one of these: all are in one order (rare ones
-    first, then by hash), so what they share would else weigh less than ``least`` of one.
+    Two texts as similar as ``least`` share one of these: all are in one order (cells of few
+    shingles first, then by hash), so what they share would else weigh less than ``least`` of one.
     """
-    sent = bodies.sparkSession.sparkContext.broadcast(idf)
+    sent = bodies.sparkSession.sparkContext.broadcast((idf, lengths))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, value, most = sent.value
+        idf, lengths = sent.value
         for b in batches:
-            for key, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                h, w, _ = weighted_sets([t], sent.value)
-                k = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-                rarity = np.where(known[k] == h, value[k], most) if len(known) else np.full(len(h), most)
-                order = np.lexsort((h, -rarity))
-                rest = w.sum() - np.concatenate([[0.0], np.cumsum(w[order])[:-1]])
-                h = h[order[rest >= least * w.sum() * (1 - 1e-9)]]
-                yield pa.RecordBatch.from_pydict({"_near_key": pa.array([key] * len(h), pa.binary()), "band": pa.array(h.view(np.int64))})
+            texts = [x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]
+            for i, j in slices_of([len(x) for x in texts], PIECE):
+                h, w, n = weighted_sets(texts[i:j], idf)
+                owner = np.repeat(np.arange(j - i), n)
+                total = np.bincount(owner, w, j - i)
+                order = np.lexsort((h, lengths[_cell(h)], owner))
+                h, w = h[order], w[order]
+                before = np.cumsum(w) - w
+                rest = total[owner] - (before - np.repeat(before[(np.cumsum(n) - n)[n > 0]], n[n > 0]))
+                k = np.flatnonzero(rest >= least * total[owner] * (1 - 1e-9))
+                yield pa.RecordBatch.from_pydict({
+                    "_near_key": b.column(0)[i:j].take(pa.array(owner[k])), "band": pa.array(h[k].view(np.int64)),
+                    "rest": pa.array(rest[k]), "total": pa.array(total[owner[k]]),
+                })
 
-    return bodies.select("_near_key", "_near_text").mapInArrow(run, "_near_key binary, band long")
+    return bodies.select("_near_key", "_near_text").mapInArrow(run, "_near_key binary, band long, rest double, total double")
 
 
 def _buckets(members: DataFrame) -> DataFrame:
@@ -243,9 +252,9 @@ def _buckets(members: DataFrame) -> DataFrame:
     return materialize(members.select("band", "_near_key").join(degree, "_near_key"), "open")
 
 
-def _rounds(open_: DataFrame, bodies: DataFrame, idf, least: float) -> tuple[list[DataFrame], DataFrame]:
-    """Verified links of each bucket's texts to its centres, and what is left of the buckets."""
-    found = []
+def _rounds(open_: DataFrame, bodies: DataFrame, idf, least: float) -> tuple[list[DataFrame], DataFrame | None]:
+    """Verified links of each bucket's texts to its centres, and the texts that failed against a first centre."""
+    found, first = [], None
     for _ in range(ROUNDS):
         if open_.isEmpty():
             break
@@ -256,32 +265,38 @@ def _rounds(open_: DataFrame, bodies: DataFrame, idf, least: float) -> tuple[lis
         found.append(good)
         failed = tried.join(good.select("a", F.col("b").alias("_near_key")), ["a", "_near_key"], "left_anti").select("band", "_near_key", "degree")
         failed = materialize(failed, "failed")
+        first = failed.select("_near_key").distinct() if first is None else first
         several = failed.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1").select("band")
         open_ = materialize(failed.join(several, "band", "left_semi"), "open")
-    return found, open_
+    return found, first
+
+
+def _missed(failed: DataFrame, found: DataFrame, bodies: DataFrame, idf, lengths: np.ndarray, least: float) -> DataFrame:
+    """Verified links of the texts in ``failed`` to texts of other components, all those there are."""
+    texts = bodies.select("_near_key").join(components(found).withColumnRenamed("node", "_near_key"), "_near_key", "left")
+    texts = texts.join(failed.withColumn("failed", F.lit(True)), "_near_key", "left")
+    texts = materialize(texts.select("_near_key", F.coalesce("label", "_near_key").alias("label"), F.coalesce("failed", F.lit(False)).alias("failed")), "labels")
+    rows = materialize(_prefixes(bodies, idf, lengths, least).join(texts, "_near_key"), "prefixes")
+    x = rows.filter("failed").select("band", F.col("_near_key").alias("a"), F.col("label").alias("la"))
+    y = rows.select("band", F.col("_near_key").alias("b"), F.col("label").alias("lb"), "failed")
+    pairs = x.join(y, "band").filter("la != lb AND (a < b OR NOT failed)").select("a", "b").distinct()
+    return materialize(verified(materialize(pairs, "pairs"), bodies, idf, least), "verified")
 
 
 def links(docs: DataFrame, text: str = "text", least: float = LEAST) -> DataFrame:
     """Verified pairs (a, b, similarity) of keys of different texts, each pair once; enough of them to connect every class."""
-    idf = common_shingles(docs, text)
+    idf, lengths = common_shingles(docs, text)
     marked = band_table(docs, idf, text).groupBy("_near_key").agg(F.first("_near_bands").alias("_near_bands"))
     members = marked.filter("_near_bands IS NOT NULL").select("_near_key", F.explode("_near_bands").alias("band"))
     open_ = _buckets(materialize(members, "bands"))
     bodies = docs.select(text_key(text).alias("_near_key"), text_of(text).alias("_near_text"))
     bodies = bodies.join(open_.select("_near_key"), "_near_key", "left_semi").groupBy("_near_key").agg(F.first("_near_text").alias("_near_text"))
     bodies = materialize(bodies, "bodies")
-    found, open_ = _rounds(open_, bodies, idf, least)
-    if not open_.isEmpty():
-        # Buckets of texts that share little but a common passage: bring them together anew by
-        # their rare shingles, which misses no pair, and go through rounds again.
-        rest = bodies.join(open_.select("_near_key").distinct(), "_near_key", "left_semi")
-        more, open_ = _rounds(_buckets(materialize(_prefixes(rest, idf, least), "prefixes")), bodies, idf, least)
-        found += more
-    if not open_.isEmpty():
-        x, y = open_.select("band", F.col("_near_key").alias("a")), open_.select("band", F.col("_near_key").alias("b"))
-        found.append(materialize(verified(x.join(y, "band").filter("a < b").select("a", "b").distinct(), bodies, idf, least), "verified"))
+    found, failed = _rounds(open_, bodies, idf, least)
     if not found:
         return docs.sparkSession.createDataFrame([], "a binary, b binary, similarity double")
+    if not failed.isEmpty():
+        found.append(_missed(failed, functools.reduce(DataFrame.union, found), bodies, idf, lengths, least))
     every = functools.reduce(DataFrame.union, found)
     return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").dropDuplicates(["a", "b"])
 

@@ -244,6 +244,25 @@ def test_near_duplicates_behind_a_common_passage(spark):
     assert got == {5} and classes_by_force(texts)[40] == 5
 
 
+def test_near_duplicates_in_chains_of_edits(spark, monkeypatch):
+    """v1 ~ v2 ~ v3, with copies of v1, in one bucket a chain: a text that one centre takes is still the only link of one that it fails."""
+    rng = random.Random(14)
+    size = F.size(F.split(F.coalesce("text", F.lit("")), " "))
+    monkeypatch.setattr(neardup, "band_table", lambda docs, idf, text: docs.select(neardup.text_key(text).alias("_near_key"), F.when(size > 50, F.array(size.cast("long"))).alias("_near_bands")))
+    texts, edit = [], lambda t, at: [*t[:at], f"new{rng.randrange(10**9)}", *t[at + 1 :]]
+    for k in range(6):
+        v1 = words(rng, 120 + k, 9000).split()
+        v2 = edit(v1, 20)
+        texts += [" ".join(x) for x in (v1, v2, edit(v2, 50), *(edit(v1, 60 + 15 * i) for i in range(k % 4)))]
+    n = len(texts)
+    texts += [words(rng, 20, 9000) for _ in range(150)]
+    docs = documents(spark, texts)
+    got = {r.doc_id: r.class_id for r in neardup.classes(docs).join(docs.select("doc_id", neardup.text_key().alias("_near_key")), "_near_key").collect()}
+    want = classes_by_force(texts)
+    assert len(set(want[:n])) == 6 and want[n:] == list(range(n, len(texts)))
+    assert [got[k] for k in range(len(texts))] == want
+
+
 def test_weighted_samples_agree_as_often_as_texts_are_alike():
     sampler, rng, got, want = neardup.Sampler(), np.random.default_rng(0), [], []
     for _ in range(60):
