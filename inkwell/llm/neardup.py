@@ -277,9 +277,11 @@ def _missed(failed: DataFrame, found: DataFrame, bodies: DataFrame, idf, lengths
     texts = texts.join(failed.withColumn("failed", F.lit(True)), "_near_key", "left")
     texts = materialize(texts.select("_near_key", F.coalesce("label", "_near_key").alias("label"), F.coalesce("failed", F.lit(False)).alias("failed")), "labels")
     rows = materialize(_prefixes(bodies, idf, lengths, least).join(texts, "_near_key"), "prefixes")
-    x = rows.filter("failed").select("band", F.col("_near_key").alias("a"), F.col("label").alias("la"))
-    y = rows.select("band", F.col("_near_key").alias("b"), F.col("label").alias("lb"), "failed")
-    pairs = x.join(y, "band").filter("la != lb AND (a < b OR NOT failed)").select("a", "b").distinct()
+    x = rows.filter("failed").select("band", F.col("_near_key").alias("a"), F.col("label").alias("la"), F.col("rest").alias("ra"), F.col("total").alias("wa"))
+    y = rows.select("band", F.col("_near_key").alias("b"), F.col("label").alias("lb"), F.col("rest").alias("rb"), F.col("total").alias("wb"), "failed")
+    # Of the first shingle that a pair shares on, both must have what is shared: least / (1 + least) of the sum of their weights.
+    enough = F.least("ra", "rb") >= (F.col("wa") + F.col("wb")) * (least / (1 + least) * (1 - 1e-9))
+    pairs = x.join(y, "band").filter("la != lb AND (a < b OR NOT failed)").filter(enough).select("a", "b").distinct()
     return materialize(verified(materialize(pairs, "pairs"), bodies, idf, least), "verified")
 
 
