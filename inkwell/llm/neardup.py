@@ -5,7 +5,7 @@ weighted samples of two texts agree with a probability equal to their weighted J
 similarity; ``BANDS`` bands of ``ROWS`` samples bring similar texts into one bucket, and
 each candidate pair is verified by its exact weighted Jaccard similarity, 0.8 or more.
 
-idf is min(ln((N + 1) / df), ln(1 / RARE)): only shingles in a share RARE of all texts or
+idf is min(ln((N + 1) / df), ln(1 / RARE)), N and df counted over distinct texts: only shingles in a share RARE of all texts or
 more have less than the greatest idf, and there are at most (shingles a text) / RARE of
 them whatever the corpus. They are found exactly: a table of counts of fixed size over all
 shingles names the cells that may hold one, then only shingles of those cells are counted.
@@ -287,13 +287,12 @@ def _missed(failed: DataFrame, found: DataFrame, bodies: DataFrame, idf, lengths
 
 def links(docs: DataFrame, text: str = "text", least: float = LEAST) -> DataFrame:
     """Verified pairs (a, b, similarity) of keys of different texts, each pair once; enough of them to connect every class."""
-    idf, lengths = common_shingles(docs, text)
-    marked = band_table(docs, idf, text).groupBy("_near_key").agg(F.first("_near_bands").alias("_near_bands"))
-    members = marked.filter("_near_bands IS NOT NULL").select("_near_key", F.explode("_near_bands").alias("band"))
+    keyed = docs.select(text_key(text).alias("_near_key"), text_of(text).alias("_near_text"))
+    texts = materialize(keyed.groupBy("_near_key").agg(F.first("_near_text").alias("_near_text")), "distinct")
+    idf, lengths = common_shingles(texts, "_near_text")
+    members = band_table(texts, idf, "_near_text").filter("_near_bands IS NOT NULL").select("_near_key", F.explode("_near_bands").alias("band"))
     open_ = _buckets(materialize(members, "bands"))
-    bodies = docs.select(text_key(text).alias("_near_key"), text_of(text).alias("_near_text"))
-    bodies = bodies.join(open_.select("_near_key"), "_near_key", "left_semi").groupBy("_near_key").agg(F.first("_near_text").alias("_near_text"))
-    bodies = materialize(bodies, "bodies")
+    bodies = materialize(texts.join(open_.select("_near_key"), "_near_key", "left_semi"), "bodies")
     found, failed = _rounds(open_, bodies, idf, least)
     if not found:
         return docs.sparkSession.createDataFrame([], "a binary, b binary, similarity double")

@@ -247,8 +247,8 @@ def test_near_duplicates_behind_a_common_passage(spark):
 def test_near_duplicates_in_chains_of_edits(spark, monkeypatch):
     """v1 ~ v2 ~ v3, with copies of v1, in one bucket a chain: a text that one centre takes is still the only link of one that it fails."""
     rng = random.Random(14)
-    size = F.size(F.split(F.coalesce("text", F.lit("")), " "))
-    monkeypatch.setattr(neardup, "band_table", lambda docs, idf, text: docs.select(neardup.text_key(text).alias("_near_key"), F.when(size > 50, F.array(size.cast("long"))).alias("_near_bands")))
+    size = lambda text: F.size(F.split(F.coalesce(text, F.lit("")), " "))
+    monkeypatch.setattr(neardup, "band_table", lambda docs, idf, text: docs.select(neardup.text_key(text).alias("_near_key"), F.when(size(text) > 50, F.array(size(text).cast("long"))).alias("_near_bands")))
     texts, edit = [], lambda t, at: [*t[:at], f"new{rng.randrange(10**9)}", *t[at + 1 :]]
     for k in range(6):
         v1 = words(rng, 120 + k, 9000).split()
@@ -263,6 +263,16 @@ def test_near_duplicates_in_chains_of_edits(spark, monkeypatch):
     assert [got[k] for k in range(len(texts))] == want
 
 
+def test_exact_copies_do_not_lower_weights(spark):
+    """A text with a third of all rows and one-word edits of it are one class."""
+    rng = random.Random(15)
+    base = words(rng, 100, 9000).split()
+    edits = [" ".join([*base[:at], "edited", *base[at + 1 :]]) for at in (30, 60)]
+    texts = [" ".join(base)] * 150 + edits + [words(rng, 30, 9000) for _ in range(300)]
+    docs = documents(spark, texts)
+    assert [(r.class_id, r.class_rows) for r in neardup.classes(docs).collect() if r.class_rows > 1] == [(0, 152)] * 3
+
+
 def test_weighted_samples_agree_as_often_as_texts_are_alike():
     sampler, rng, got, want = neardup.Sampler(), np.random.default_rng(0), [], []
     for _ in range(60):
