@@ -322,6 +322,13 @@ def test_lm_base_scores_and_model(spark):
     assert all(other[k] == pytest.approx(got[k].base_score, rel=1e-9) for k in other)
 
 
+def test_lm_trains_on_every_token(spark):
+    rng = random.Random(16)
+    docs = documents(spark, [words(rng, rng.randrange(200), 50) for _ in range(60)] + [None, ""])
+    n = {r.kind: r.n for r in lm.gather(docs).groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    assert n[2] == n[1] > 0
+
+
 def test_attention_model_learns_and_sums_to_one():
     from inkwell.llm import attention as A
 
