@@ -413,6 +413,16 @@ def test_toxicity_learns_words_and_misspellings():
     assert toxicity.Scorer(*toxicity.gram_scores(toxicity.train([], [])))("x") < 0.01
 
 
+def test_toxicity_learns_from_8000_labelled_rows(spark):
+    sizes = spark.range(9000).selectExpr("id AS doc_id", "'a' AS text", "1 AS toxic")
+    ids = sizes.orderBy(F.xxhash64("doc_id", F.lit("toxic"))).limit(8000)
+    last = ids.orderBy(F.xxhash64("doc_id", F.lit("toxic")).desc()).limit(1500).withColumn("toxic", F.lit(0))
+    labels = sizes.join(last.select("doc_id"), "doc_id", "left_anti").select("doc_id", "toxic").union(last.select("doc_id", "toxic"))
+    # The rows of hash 6,500 to 8,000 hold the only other class: without them there is but the bias.
+    _, bias = toxicity.fit(sizes.select("doc_id", "text"), labels)
+    assert bias != 20.0
+
+
 def test_toxicity_held_out_accuracy(spark):
     """On the given labels the model must do clearly better than always answering 0."""
     sf = "/root/testdata/sf0.1"
