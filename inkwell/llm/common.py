@@ -47,13 +47,43 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it back, which cuts the lineage."""
+#: With it, the files of a job's shuffles go when it ends, not when the driver collects its garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write(df: DataFrame, path: str) -> DataFrame:
+    """Write a table and read it back, which cuts the lineage; shuffle files of the job go at its end."""
     spark = df.sparkSession
-    df.write.parquet(path := new_path(spark, name))
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    return write(df, new_path(df.sparkSession, name))
+
+
+class Scratch:
+    """Written tables of one operator in the shared folder, removed as soon as nothing reads them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, name: str, df: DataFrame) -> DataFrame:
+        self.paths[name] = new_path(self.spark, name)
+        return write(df, self.paths[name])
+
+    def drop(self, *names: str) -> None:
+        context = self.spark.sparkContext
+        for name in names:
+            path = context._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_of(column: str = "text") -> Column:
     """The text, with null read as the empty string."""
     return F.coalesce(F.col(column), F.lit(""))
