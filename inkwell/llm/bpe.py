@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.llm.common import table
+from inkwell.llm.common import returning_memory, table
 
 TOKENIZER = "byte_bpe_50k.json"
-PIECE, CACHE, LONGEST = 1 << 20, 200_000, 64
+PIECE, CACHE, LONGEST = 1 << 20, 50_000, 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -160,6 +160,7 @@ def _map(df: DataFrame, column: str, kind: type, added: list[tuple[str, T.DataTy
     at = df.columns.index(column)
     schema = T.StructType([*df.schema.fields, *[T.StructField(n, t) for n, t in added]])
 
+    @returning_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             values = b.column(at)
@@ -167,7 +168,7 @@ def _map(df: DataFrame, column: str, kind: type, added: list[tuple[str, T.DataTy
             for g in _groups(b, size):
                 made = work(codec(tokenizer), g.column(at).cast(kind).to_pylist())
                 yield pa.RecordBatch.from_arrays([*g.columns, *made], [*g.schema.names, *names])
-        codec(tokenizer).cache.clear()  # workers live on in other stages
+        codec(tokenizer).cache.clear()
 
     return df.mapInArrow(run, schema)
 
@@ -191,7 +192,16 @@ def decode(encoded: DataFrame, ids: str = "ids", tokenizer: str = TOKENIZER) ->
     return _map(encoded, ids, pa.binary(), [("decoded", T.StringType())], work, tokenizer)
 
 
+def round_trip(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
+    """``encode`` and ``decode`` in one pass, so that a task needs one Python worker and one codec."""
+
+    def work(c: Codec, texts: list[bytes | None]) -> list[pa.Array]:
+        ids = c.encode_all([t or b"" for t in texts])
+        return [pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([c.decode(i) for i in ids], pa.string())]
+
+    return _map(docs, text, pa.binary(), [("ids", T.BinaryType()), ("n_tokens", T.LongType()), ("decoded", T.StringType())], work, tokenizer)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = decode(encode(docs).drop("text"))
+    both = round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import materialize, table, text_key, text_of
+from inkwell.llm.common import materialize, returning_memory, table, text_key, text_of
 from inkwell.llm.graph import components
 from inkwell.llm.shingles import MIX, mixed, shingle_hashes, slices_of, word_hashes
 
@@ -81,6 +81,7 @@ def common_shingles(docs: DataFrame, text: str = "text") -> tuple[tuple[np.ndarr
     most, floor = float(np.log(1 / RARE)), RARE * (total + 1)
     block = CELLS // BLOCKS
 
+    @returning_memory
     def count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.int64)
         for texts in _texts(batches):
@@ -95,6 +96,7 @@ def common_shingles(docs: DataFrame, text: str = "text") -> tuple[tuple[np.ndarr
             "n": pa.array([cells[k * block : (k + 1) * block][u].astype("<i8").tobytes() for k, u in zip(rows, used, strict=True)], pa.binary()),
         })
 
+    @returning_memory
     def heavy_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
@@ -112,6 +114,7 @@ def common_shingles(docs: DataFrame, text: str = "text") -> tuple[tuple[np.ndarr
         lengths[row["block"] * block : (row["block"] + 1) * block] = np.frombuffer(row["length"], np.uint8)
     sent = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
+    @returning_memory
     def count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         may = np.unpackbits(sent.value).astype(bool)
         for texts in _texts(batches):
@@ -175,6 +178,7 @@ def band_table(docs: DataFrame, idf, text: str = "text") -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(idf)
     rows = docs.select(text_of(text).alias("t"), text_key(text).alias("_near_key"))
 
+    @returning_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler()
         for b in batches:
@@ -196,6 +200,7 @@ def verified(pairs: DataFrame, bodies: DataFrame, idf, least: float = LEAST) ->
     both = pairs.join(bodies.select(F.col("_near_key").alias("b"), F.col("_near_text").alias("tb")), "b")
     both = both.join(bodies.select(F.col("_near_key").alias("a"), F.col("_near_text").alias("ta")), "a").select("a", "b", "ta", "tb")
 
+    @returning_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left = None, None
         for batch in batches:
@@ -223,6 +228,7 @@ def _prefixes(bodies: DataFrame, idf, lengths: np.ndarray, least: float) -> Data
     """
     sent = bodies.sparkSession.sparkContext.broadcast((idf, lengths))
 
+    @returning_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, lengths = sent.value
         for b in batches:

@@ -2,15 +2,17 @@
 
 Every version of every document is a (path columns, text) row. Its text is addressed by
 SHA-256; the ledger, a Parquet table, records which rule versions have seen which blob and
-what they found. A run scans only the pairs of blob and rule version that the ledger lacks,
-once however many paths hold the blob, appends its findings and joins them to all paths.
+what each of them found. A run scans only the pairs of blob and rule version that the ledger
+lacks, once however many paths hold the blob, appends its findings and joins those of the
+rule versions asked for, and of no others, to all paths.
 
 Only DataFrame functions run: offsets come from the pieces between matches.
 
 Cases: a null text is the empty text and has no findings; repeated rows share one blob and
-each gets the findings; an empty table gives an empty result (and ledger); other columns of
-the input pass through, and helper columns carry a ``_led_`` prefix so that they clash with
-none of them. Offsets count code points, the end is exclusive.
+each gets the findings; an empty table gives an empty result (and ledger); a blob that two
+runs scanned at once counts once; other columns of the input pass through, but one with the
+name of the added column is replaced; helper columns carry a ``_led_`` prefix so that they
+clash with none of them. Offsets count code points, the end is exclusive.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import new_path, table
+from inkwell.llm.common import append, materialize, new_path, table
 
 
 @dataclass(frozen=True)
@@ -54,15 +56,17 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 
+#: A span in the ledger, and in results: there with its rule's place among the rules asked for.
+FOUND = "struct<start:int,kind:string,version:int,end:int>"
 SPAN = "struct<start:int,rank:int,kind:string,end:int>"
-LEDGER = f"blob_id string, rules array<string>, spans array<{SPAN}>"
+LEDGER = f"blob_id string, rules array<string>, spans array<{FOUND}>"
 
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _with_spans(df: DataFrame, text: str, rule: Rule, rank: int, name: str) -> DataFrame:
+def _with_spans(df: DataFrame, text: str, rule: Rule, name: str) -> DataFrame:
     """Add ``name``: the rule's spans in the column ``text``."""
     found, parts, values, p = f"{name}_found", f"{name}_parts", f"{name}_values", F.lit(rule.pattern)
     df = df.withColumn(found, F.regexp_extract_all(text, p, F.lit(0)))
@@ -70,28 +74,28 @@ def _with_spans(df: DataFrame, text: str, rule: Rule, rank: int, name: str) -> D
     df = df.withColumn(parts, F.when(some, F.split(text, rule.pattern, -1)))
     df = df.withColumn(values, F.when(some, F.regexp_extract_all(text, p, F.lit(rule.group)) if rule.group else F.col(found)))
     walk = f"""aggregate(sequence(0, size({found}) - 1),
-        named_struct('pos', 0, 'out', cast(array() as array<{SPAN}>)),
+        named_struct('pos', 0, 'out', cast(array() as array<{FOUND}>)),
         (a, i) -> named_struct(
             'pos', a.pos + char_length({parts}[i]) + char_length({found}[i]),
             'out', if(char_length({values}[i]) >= {rule.least}, array_append(a.out, named_struct(
-                'start', a.pos + char_length({parts}[i]), 'rank', {rank}, 'kind', {_quoted(rule.kind)},
+                'start', a.pos + char_length({parts}[i]), 'kind', {_quoted(rule.kind)}, 'version', {rule.version},
                 'end', a.pos + char_length({parts}[i]) + char_length({found}[i]))), a.out))).out"""
-    none = F.expr(f"cast(array() as array<{SPAN}>)")
+    none = F.expr(f"cast(array() as array<{FOUND}>)")
     return df.withColumn(name, F.when(some, F.expr(walk)).otherwise(none)).drop(found, parts, values)
 
 
 def find_spans(df: DataFrame, text: str, rules: tuple[Rule, ...], todo: str | None = None) -> DataFrame:
-    """Add ``_led_spans``: all spans in order of start, then kind. ``todo``: an array column of the rules to run in each row."""
+    """Add ``_led_spans``: the spans of all rules. ``todo``: an array column of the rules to run in each row."""
     names = []
     for rank, rule in enumerate(rules):
         column = text
         if todo:
             column = f"_led_text{rank}"
             df = df.withColumn(column, F.when(F.array_contains(todo, rule.key), F.col(text)).otherwise(""))
-        df = _with_spans(df, column, rule, rank, name := f"_led_{rank}")
+        df = _with_spans(df, column, rule, name := f"_led_{rank}")
         names += [name]
         df = df.drop(column) if todo else df
-    return df.withColumn("_led_spans", F.sort_array(F.concat(*names))).drop(*names)
+    return df.withColumn("_led_spans", F.concat(*names)).drop(*names)
 
 
 def _read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
@@ -120,30 +124,35 @@ def update_ledger(versions: DataFrame, ledger_path: str, rules: tuple[Rule, ...]
     else:
         blobs = blobs.withColumn("rules", every)
     scanned = find_spans(blobs, "_led_body", rules, todo)
-    scanned.select("blob_id", "rules", F.col("_led_spans").alias("spans")).write.mode("append").parquet(ledger_path)
+    append(scanned.select("blob_id", "rules", F.col("_led_spans").alias("spans")), ledger_path)
     return spark.read.schema(LEDGER).parquet(ledger_path)
 
 
-def scan_versions(versions: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """All rows of ``versions`` with ``secret_spans``, found now or on earlier runs.
+def _asked_for(spans: Column, rules: tuple[Rule, ...]) -> Column:
+    """The spans of these rule versions, once each, in order of start, then place among the rules."""
+    keys = F.array(*[F.lit(r.key) for r in rules]) if rules else F.array().cast("array<string>")
+
+    def ranked(s: Column) -> Column:
+        rank = F.array_position(keys, F.concat_ws("@", s["kind"], s["version"].cast("string"))).cast("int") - 1
+        return F.struct(s["start"].alias("start"), rank.alias("rank"), s["kind"].alias("kind"), s["end"].alias("end"))
+
+    return F.sort_array(F.array_distinct(F.filter(F.transform(spans, ranked), lambda s: s["rank"] >= 0)))
+
+
+def scan_versions(versions: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES, text: str = "text", added: str = "secret_spans") -> DataFrame:
+    """All rows of ``versions`` with the column ``added``: the spans of ``rules``, found now or on earlier runs.
 
     The last join meets a blob shared by very many paths: both its sides are plain
     exchanges, so adaptive execution can split that key. Blobs without findings stay out.
     """
     ledger = update_ledger(versions, ledger_path, rules, text)
-    keys = [r.key for r in rules]
-    kinds = [r.kind for r in rules]
-    known = ledger.filter(F.size("spans") > 0)
-    known = known.filter(F.arrays_overlap("rules", F.array(*map(F.lit, keys))))
-    if (n := len(set(kinds))) and n == len(kinds):
-        known = known.withColumn("spans", F.filter("spans", lambda s: s["kind"].isin(kinds)))
-    # Findings of a blob meet once in the ledger unless rules came in later runs; those rows are few.
-    known = known.groupBy("blob_id").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("secret_spans"))
-    known.write.parquet(path := new_path(versions.sparkSession, "findings"))
-    known = versions.sparkSession.read.schema(known.schema).parquet(path)
+    # The findings of a blob stand in one row for each run that scanned it.
+    known = ledger.filter(F.size("spans") > 0).groupBy("blob_id").agg(F.flatten(F.collect_list("spans")).alias("_led_found"))
+    known = known.select(F.col("blob_id").alias("_led_blob"), _asked_for(F.col("_led_found"), rules).alias("_led_found")).filter(F.size("_led_found") > 0)
+    known = materialize(known, "findings")
     body = F.coalesce(F.col(text), F.lit(""))
-    out = versions.withColumn("_led_blob", F.sha2(body, 256)).join(known.withColumnRenamed("blob_id", "_led_blob"), "_led_blob", "left")
-    return out.withColumn("secret_spans", F.coalesce("secret_spans", F.expr(f"cast(array() as array<{SPAN}>)"))).drop("_led_blob")
+    out = versions.drop(added).withColumn("_led_blob", F.sha2(body, 256)).join(known, "_led_blob", "left").drop("_led_blob")
+    return out.withColumn(added, F.coalesce("_led_found", F.expr(f"cast(array() as array<{SPAN}>)"))).drop("_led_found")
 
 
 def redacted(text: Column, spans: Column, mark: str = "[REDACTED]") -> Column:
@@ -163,8 +172,10 @@ def joined(spans: Column) -> Column:
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over one ledger: the base rules, then all; the second scans each blob for the rules it lacks only."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = scan_versions(docs, new_path(spark, "ledger"))
+    update_ledger(docs, ledger := new_path(spark, "ledger"), BASE_RULES)
+    found = scan_versions(docs, ledger)
     base = F.filter("secret_spans", lambda s: s["rank"] < len(BASE_RULES))
     n = lambda kind: F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *[n(r.kind) for r in BASE_RULES], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secret_spans")).alias("spans"))

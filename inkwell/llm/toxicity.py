@@ -13,7 +13,7 @@ covers whole texts of all rows, in Arrow batches, without a shuffle.
 Cases: null and empty texts have one empty passage, scored by the bias alone; rows whose
 label or id is null are not learned from; without labels of both classes every score is the
 share of toxic labels seen (0 if none); repeated rows score alike; other columns pass
-through untouched, but ``score`` and ``predicted``, if there, are replaced.
+through untouched, but those with the added names, if there, are replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.llm.common import table
+from inkwell.llm.common import returning_memory, table
 from inkwell.llm.shingles import TO_WORDS
 
 BUCKETS, DIM, GRAMS, PASSAGE = 1 << 16, 4, (3, 4, 5, 6), 40
@@ -227,6 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS) -> t
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic")
     rows = rows.orderBy(F.xxhash64("doc_id", F.lit("toxic")), "doc_id", "text", "toxic").limit(most_labels)
 
+    @returning_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, y = [], []  # at most ``most_labels``
         for b in batches:
@@ -241,20 +242,21 @@ def fit(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS) -> t
     return np.frombuffer(got["grams"], "<f8"), got["bias"]
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text") -> DataFrame:
-    """All rows and columns of ``docs`` with ``score`` and ``predicted``."""
+def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", added: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """All rows and columns of ``docs`` with its score and prediction, under the names in ``added``."""
     grams, bias = model
     sent = docs.sparkSession.sparkContext.broadcast(grams)  # BUCKETS numbers, whatever the input
-    docs = docs.drop("score", "predicted")
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    docs = docs.drop(*added)
+    schema = T.StructType([*docs.schema.fields, T.StructField(added[0], T.DoubleType()), T.StructField(added[1], T.IntegerType())])
     at = docs.columns.index(text)
 
+    @returning_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value, bias)
         for b in batches:
             s = np.array([scorer(x.as_py()) for x in b.column(at)], np.float64)
             columns = [*b.columns, pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, [*b.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays(columns, [*b.schema.names, *added])
 
     return docs.mapInArrow(run, schema)
 

@@ -102,6 +102,28 @@ def test_secrets_and_ledger(spark, tmp_path):
     assert "-----BEGIN" not in " ".join(r.t for r in masked)
 
 
+def test_ledger_keeps_versions_apart(spark, tmp_path):
+    docs = documents(spark, ["token=abcdefgh one", "nothing"]).withColumn("secret_spans", F.lit("theirs"))
+    path = str(tmp_path / "ledger")
+    same = secrets.Rule("assign", 2, secrets.BASE_RULES[0].pattern, 2, 6)
+    other = secrets.Rule("assign", 3, r"zzz")
+
+    def found(*rules, docs=docs):
+        return [[(s.kind, s.start, s.end) for s in r.secret_spans] for r in secrets.scan_versions(docs, path, rules).orderBy("doc_id").collect()]
+
+    want = [[("assign", 0, 14)], []]
+    assert found(*secrets.BASE_RULES) == want
+    assert found(same) == want  # not twice, though two versions found it
+    assert found(other) == [[], []]  # and not what another version found
+    assert found(secrets.BASE_RULES[0], same) == [want[0] * 2, []]
+    rows = spark.read.parquet(path).count()
+    assert found(*secrets.BASE_RULES) == want and spark.read.parquet(path).count() == rows
+    # A second batch holds one known text and a new one: only that is scanned.
+    more = documents(spark, ["token=abcdefgh one", "secret: hijklmnop"])
+    assert found(*secrets.BASE_RULES, docs=more) == [want[0], [("assign", 0, 17)]]
+    assert spark.read.parquet(path).count() == rows + 1
+
+
 def test_decontamination(spark):
     rng = random.Random(2)
     passage = words(rng, 14)
