@@ -21,7 +21,8 @@ from inkwell.llm.common import materialize, new_path, table
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~toxicity.held_out()))
-    return toxicity.score(docs, model).filter("predicted = 0").select(*docs.columns)
+    marked = toxicity.score(docs, model, added=("_tox_score", "_tox_predicted"))
+    return marked.filter("_tox_predicted = 0").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +35,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = secrets.scan_versions(docs, new_path(spark, "ledger"))
-    some = F.size("secret_spans") > 0
-    text = F.when(some, secrets.redacted(F.col("text"), F.col("secret_spans"))).otherwise(F.col("text"))
+    found = secrets.scan_versions(docs, new_path(spark, "ledger"), added="_led_spans")
+    some = F.size("_led_spans") > 0
+    text = F.when(some, secrets.redacted(F.col("text"), F.col("_led_spans"))).otherwise(F.col("text"))
     out = found.withColumn("text", text)
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
@@ -46,7 +47,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     table(spark, sf_dir, "documents")
-    both = bpe.decode(bpe.encode(docs.select("doc_id", "text")).drop("text"))
+    both = bpe.round_trip(docs.select("doc_id", "text"))
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
