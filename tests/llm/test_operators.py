@@ -465,14 +465,19 @@ def test_passages_of_fuzzy_families(spark):
 
 def test_chains_are_the_best_collinear_ones():
     rng = random.Random(11)
-    for _ in range(40):
-        matches = sorted({(rng.randrange(40), rng.randrange(40)) for _ in range(12)})
+    for _ in range(60):
+        parts = []
+        for _ in range(12):
+            x, y, n = rng.randrange(60), rng.randrange(60), rng.randrange(6, 15)
+            parts.append((x, x + n, y, y + n, rng.randrange(1, n + 1)))
         best = {}
-        for m in matches:
-            best[m] = passages.SEED + max([0.0, *[best[q] - passages.GAP * (m[0] - q[0] + m[1] - q[1]) for q in best if q[0] < m[0] and q[1] < m[1]]])
-        chain = passages.chains(matches)[0]
-        got = passages.SEED * len(chain) - passages.GAP * (chain[-1][0] - chain[0][0] + chain[-1][1] - chain[0][1])
-        assert got == pytest.approx(max(best.values()))
+        for m in sorted(parts):
+            before = [best[q] - passages.GAP * (m[0] - q[1] + m[2] - q[3]) for q in best if q[1] <= m[0] and q[3] <= m[2]]
+            best[m] = m[4] + max([0.0, *before])
+        found = passages.chains(parts)
+        score = lambda c: sum(m[4] for m in c) - passages.GAP * sum(n[0] - m[1] + n[2] - m[3] for m, n in zip(c, c[1:]))
+        assert score(found[0]) == pytest.approx(max(best.values()))
+        assert sorted(m for c in found for m in c) == sorted(parts)
 
 
 def test_bpe_is_the_library(spark):
