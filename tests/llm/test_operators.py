@@ -348,7 +348,7 @@ def test_lm_trains_on_every_token(spark):
     rng = random.Random(16)
     docs = documents(spark, [words(rng, rng.randrange(200), 50) for _ in range(60)] + [None, ""])
     n = {r.kind: r.n for r in lm.gather(docs).groupBy("kind").agg(F.sum("n").alias("n")).collect()}
-    assert n[2] == n[1] > 0
+    assert n[lm.REPLICA] == n[lm.WORD] > 0
 
 
 def test_attention_model_learns_and_sums_to_one():
@@ -357,20 +357,85 @@ def test_attention_model_learns_and_sums_to_one():
     rng = np.random.default_rng(2)
     p = A.initial()
     counts = np.array([70, 0, 33, 5])
-    ids = np.tile(np.array([300, 301, 5000, 7]), 40)[: counts.sum()]
-    x, y, scored, text = A.windows(ids, counts)
-    assert scored.sum() == (counts + 1).sum() and [scored[text == k].sum() for k in range(4)] == (counts + 1).tolist()
-    z, _ = A.forward(p, x, 0)
-    assert np.allclose(np.exp(z).sum(-1), 1, atol=1e-5)
+    sequence = np.tile(np.arange(4), 40)[: counts.sum()]
+    w = A.Words(np.array([300, 301, 17, 5000, 7, 8]), np.array([1, 2, 2, 1]), sequence, counts)
+    for stride in (A.STRIDE, A.WINDOW):
+        x, y, scored, text = A.windows(sequence, counts, 4, stride)
+        assert scored.sum() == (counts + 1).sum() and [scored[text == k].sum() for k in range(4)] == (counts + 1).tolist()
+        assert sorted(y[scored].tolist()) == sorted([*sequence.tolist(), *[4] * 4])
+    vectors = A.word_vectors(p, w.ids, w.n)
+    z, _ = A.forward(p, vectors[x], 0)
+    assert np.allclose(z.sum(-1), 1, atol=1e-5)
     later = x.copy()
-    later[:, 20:] = rng.integers(0, 1000, later[:, 20:].shape)
-    assert np.allclose(A.forward(p, later, 0)[0][:, :20], z[:, :20], atol=1e-5)  # causal
-    class_of, inside = A.subwords().class_of, np.zeros(A.START + 1)
-    before = A.log10_scores(p, inside, class_of, ids, counts).sum()
+    later[:, 10:] = rng.integers(0, 4, later[:, 10:].shape)
+    assert np.allclose(A.forward(p, vectors[later], 0)[0][:, :10], z[:, :10], atol=1e-5)  # causal
+    before = w.class_scores(p).sum()
     state = {k: np.full_like(v, 1e-6) for k, v in p.items()}
-    for _ in range(60):
-        A.step(p, state, x, class_of[y], scored)
-    assert A.log10_scores(p, inside, class_of, ids, counts).sum() > before / 2
+    for _ in range(80):
+        assert w.train(p, state) == (counts + 1).sum()
+    assert w.class_scores(p).sum() > before / 4  # the next word follows from the one before
+    mean = A.Mean()
+    mean.add(3, A.packed(p, state))
+    both = A.Mean()
+    both.merge(mean.packed())
+    both.merge(mean.packed())
+    assert all(np.allclose(v, p[k], atol=1e-6) for k, v in both.parameters().items())
+
+
+def test_attention_by_hand():
+    """One window, word by word, in plain loops."""
+    from inkwell.llm import attention as A
+
+    p = A.initial(9)
+    w = A.Words(np.array([11, 12, 13, 14]), np.array([1, 3]), np.array([0, 1, 1, 0, 1]), np.array([5]))
+    mean = {0: p["embed"][11], 1: p["embed"][12:15].mean(0), 2: p["embed"][A.START]}
+    stream, total = [2, 0, 1, 1, 0, 1, 2], 0.0
+    x = [mean[k] + p["place"][i] for i, k in enumerate(stream[:-1])]
+    q, k, v = ([y @ p["qkv"][:, j * A.DIM : (j + 1) * A.DIM] for y in x] for j in range(3))
+    for i in range(6):
+        a = np.exp(np.array([q[i] @ k[j] for j in range(i + 1)]) / math.sqrt(A.DIM))
+        h = x[i] + sum(a[j] / a.sum() * v[j] for j in range(i + 1)) @ p["out"]
+        z = h @ p["classes"] + p["bias"]
+        target = {0: A.CLASS_OF[11], 1: A.CLASS_OF[12], 2: A.END_CLASS}[stream[i + 1]]
+        total += z[target] - math.log(np.exp(z.astype(float)).sum())
+    assert w.class_scores(p)[0] == pytest.approx(total, rel=1e-4)
+
+
+def test_words_in_a_class_sum_to_one():
+    from inkwell.llm.attention import CLASS_OF, START
+    from inkwell.llm.subwords import Counted, pair_codes, triple_codes
+
+    spelt = [[5], [5, 6], [7, 5, 6], [7], [8, 8, 9]]
+    ids, n = np.array([i for w in spelt for i in w]), np.array([len(w) for w in spelt])
+    pairs = pair_codes(ids, n)
+    want = [(a << 16) | b for w in spelt for a, b in zip([START, *w], [*w, START])]
+    assert pairs.tolist() == want
+    triples = triple_codes(pairs, n)
+    assert triples.tolist() == [(a << 32) | (b << 16) | c for w in spelt for a, b, c in zip([START, *w], w, [*w[1:], START])]
+    hashes, times = np.arange(5, dtype=np.uint64) + np.uint64(3), np.array([9, 4, 2, 1, 6])
+    classes = CLASS_OF[ids[np.cumsum(n) - n]]
+    kinds = [np.unique(c, return_counts=True) for c in (pairs, triples)]
+    model = Counted(hashes, times, classes, 22, *kinds[0], *kinds[1])
+    # All words of up to four of these ids, known or not: their shares in a class stay below one and come near it.
+    strings = [()]
+    total = collections.Counter()
+    known = {tuple(w): h for w, h in zip(spelt, hashes.tolist())}
+    for _ in range(4):
+        strings = [(*s, i) for s in strings for i in (5, 6, 7, 8, 9)]
+        flat, m = np.array([i for s in strings for i in s]), np.array([len(s) for s in strings])
+        got = np.exp(model.log_in_class(np.array([known.get(s, 1) for s in strings], np.uint64), flat, m))
+        for s, p in zip(strings, got.tolist()):
+            total[int(CLASS_OF[s[0]])] += p
+    assert all(0.8 < total[int(c)] <= 1 + 1e-9 for c in set(classes.tolist()))
+
+
+def test_lm_context_helps(spark):
+    """Two kinds of texts with words of their own: the attention model knows which from the words before."""
+    rng = random.Random(6)
+    kinds = [[f"{a}{b}{k}" for a in "bdfg" for b in "aeiou"] for k in ("st", "rm")]
+    docs = documents(spark, [" ".join(rng.choice(kinds[k % 2]) for _ in range(60)) for k in range(800)])
+    got = [r for r in lm.scores(docs.coalesce(1)).collect() if r.held_out]
+    assert sum(r.score for r in got) > 0.95 * sum(r.base_score for r in got)
 
 
 def test_passages(spark):
