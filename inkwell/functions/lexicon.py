@@ -97,8 +97,9 @@ PROMOTION = (
 CHAPTERS = ("不同的阶段", "做好升学规划", "提到升学规划", "怎么做升学规划")
 DATA_PATTERN = r"[0-9]+(\.[0-9]+)?\s*(%|％|分|名|位|人|万|亿|所|个|年|届|倍|元|천)|第\s*[0-9]+\s*(名|位|批)|[0-9]{4}\s*年"
 CASE_PATTERN = "例如|比如|举例|案例|譬如|以.{2,10}为例|有位|有个|某同学|某学生"
+WE = "^我们"
 REWRITES = (
-    ("^我们", "凭他教育"), ("小编", "我们"), ("本号", "该账号"), ("关注我们", "持续关注"),
+    ("小编", "我们"), ("本号", "该账号"), ("关注我们", "持续关注"),
     ("大多数人第一反应是", "不少家长的第一反应是"), ("其实(是)?", "事实上"), ("我们(认为|觉得)", "我们的判断是"), ("你(知道|以为)", "家长常以为"),
     ("最大的误解", "一个普遍的认知偏差"), ("非常重要", "具有决定性影响"), ("很重要", "不容忽视"), ("需要注意", "值得重点关注"),
     ("总之", "综合来看"), ("因此", "由此"), ("所以", "因而"), ("但是", "然而"), ("如果", "若"), ("很多", "不少"), ("孩子们", "学生"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -111,14 +112,27 @@ def markup_lines(html: Column) -> Column:
     return F.filter(F.transform(F.split(F.regexp_replace(html, r"(?s)<[^>]*>", "\n"), "\n", -1), compact), lambda x: x != "")
 
 
-def has_any(text: Column, words) -> Column:
+def bound(text: Column, f: Callable[[Column], Column]) -> Column:
+    """f(text) with the text computed once, however often ``f`` reads it."""
+    return F.transform(F.array(text), f)[0]
+
+
+def _has_any(text: Column, words) -> Column:
     return functools.reduce(lambda a, w: a | text.contains(w), words, F.lit(False))
 
 
-def count_hits(text: Column, words) -> Column:
+def _count_hits(text: Column, words) -> Column:
     return functools.reduce(lambda a, w: a + text.contains(w).cast("int"), words, F.lit(0))
 
 
+def has_any(text: Column, words) -> Column:
+    return bound(text, lambda t: _has_any(t, words))
+
+
+def count_hits(text: Column, words) -> Column:
+    return bound(text, lambda t: _count_hits(t, words))
+
+
 def hits(text: Column, words) -> Column:
     """The words of a list that a text holds, in the list's order."""
     return F.filter(F.array(*map(F.lit, words)), lambda w: text.contains(w))
@@ -126,19 +140,27 @@ def hits(text: Column, words) -> Column:
 
 def label(text: Column, rules, other: str) -> Column:
     """The label of the first rule with a word in the text."""
-    out = F.lit(other)
-    for name, words in reversed(rules):
-        out = F.when(has_any(text, words), F.lit(name)).otherwise(out)
-    return out
+
+    def first(t: Column) -> Column:
+        out = F.lit(other)
+        for name, words in reversed(rules):
+            out = F.when(_has_any(t, words), F.lit(name)).otherwise(out)
+        return out
+
+    return bound(text, first)
+
+
+def _relevance(text: Column, lexicon: L.Relevance) -> Column:
+    return functools.reduce(lambda a, s: a + _count_hits(text, s[0]) * s[1], lexicon.weighted, F.lit(0))
 
 
 def relevance(text: Column, lexicon: L.Relevance = L.Relevance()) -> Column:
     """Sum of weights of the words present; a word in two sets counts in both."""
-    return functools.reduce(lambda a, s: a + count_hits(text, s[0]) * s[1], lexicon.weighted, F.lit(0))
+    return bound(text, lambda t: _relevance(t, lexicon))
 
 
 def is_relevant(text: Column, lexicon: L.Relevance = L.Relevance()) -> Column:
-    return ~(has_any(text, lexicon.noise) & ~has_any(text, lexicon.rescue)) & (relevance(text, lexicon) >= lexicon.least)
+    return bound(text, lambda t: ~(_has_any(t, lexicon.noise) & ~_has_any(t, lexicon.rescue)) & (_relevance(t, lexicon) >= lexicon.least))
 
 
 def age_days(then: Column, as_of: Column) -> Column:
@@ -188,8 +210,12 @@ def marked_caution(text: Column) -> Column:
     return F.when(phrase == "", phrase).otherwise(F.concat(F.lit("[[CAUTION:"), phrase, F.lit("]]")))
 
 
-def rewritten(text: Column, rules=L.REWRITES) -> Column:
-    """Patterns replaced in the order given, then repeated exclamation marks and outer punctuation tidied."""
+def rewritten(text: Column, rules=L.REWRITES, owner: str | None = None) -> Column:
+    """Patterns replaced in the order given, then repeated exclamation marks and outer punctuation tidied.
+
+    A text's first "we" becomes the ``owner``'s name where one is given.
+    """
+    rules = ((L.WE, owner), *rules) if owner else rules
     out = functools.reduce(lambda c, r: F.regexp_replace(c, r[0], r[1]), rules, F.trim(text))
     return F.regexp_replace(F.regexp_replace(out, "[!！]{2,}", "。"), "^[ ，。；：、]+|[ ，。；：、]+$", "")
 

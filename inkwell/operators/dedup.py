@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 
 def shared_path(df: DataFrame, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir; only where none is set, in a temporary one."""
+    """A new path in the folder of spark.checkpoint.dir; only a local master may go without, in a temporary one."""
     context = df.sparkSession.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(named := tempfile.mkdtemp(prefix="inkwell-"))
     return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -11,6 +11,31 @@ from inkwell.functions import lexicon as L
 from inkwell.functions import text as X
 
 
+def without_chapters(text: Column, labels=L.CHAPTERS) -> Column:
+    """Without numbered chapter labels, labels that stand alone and a number in front."""
+    any_, edge = "|".join(labels), r"[\s　，。、；：!?！？]"
+    for pattern, new in ((rf"[\s　]*[0-9]{{1,2}}[\s　]*(?:{any_})", " "), (rf"(?:^|{edge})(?:{any_})(?={edge}|$)", ""), (r"^\s*[0-9]{1,2}\s+", ""), (r"\s{2,}", " ")):
+        text = F.regexp_replace(text, pattern, new)
+    return F.trim(text)
+
+
+def without_noise(text: Column, noise=L.NOISE_PHRASES, chapters=L.CHAPTERS) -> Column:
+    """Without stock phrases, chapter labels, and doubled blanks and lines."""
+    text = functools.reduce(lambda c, p: F.regexp_replace(c, p, ""), noise, text)
+    text = F.trim(F.regexp_replace(F.regexp_replace(text, "[ \t　]+", " "), "\n{2,}", "\n"))
+    return without_chapters(text, chapters) if chapters else text
+
+
+def without_promotion(rows: DataFrame, promotion=L.PROMOTION) -> DataFrame:
+    """Sentences that don't advertise."""
+    return rows.filter(~F.col("sentence").rlike("|".join(promotion)))
+
+
+def too_short(core: Column, whole: Column, least_core: int = 50, least: int = 120) -> Column:
+    """Why a text is not worth distilling; empty if it is."""
+    return F.when(F.length(core) < least_core, "core too short").when(F.length(whole) < least, "too short").otherwise("")
+
+
 def sentences(text: Column, least: int = 8) -> Column:
     """Sentences with their end mark, without list numbers; short ones go."""
     marked = F.regexp_replace(text, r"([。！？!?；;])", "$1\u0001")
@@ -61,12 +86,20 @@ def pick(ordered: Column, limit: int, most: float) -> Column:
     return F.aggregate(ordered, none, lambda a, s: F.when((F.size(a) < limit) & ~F.exists(a, lambda p: X.jaccard(s, p) > most), F.concat(a, F.array(s))).otherwise(a))
 
 
-def distilled(docs: DataFrame, key: str, title: str, text: str, domain=L.DOMAIN, letters: str = "一-龥", data: str = L.DATA_PATTERN, cases: str = L.CASE_PATTERN, promotion=L.PROMOTION, noise=L.NOISE_PHRASES) -> DataFrame:
+def key_points(scored: DataFrame, key: str, limit: int = 5, most: float = 0.62) -> DataFrame:
+    """(key, pos, sentence): each document's best sentences that differ, with their places."""
+    best = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "pos", "sentence")))
+    rows = scored.groupBy(key).agg(best.alias("_best"))
+    rows = rows.withColumn("_kept", pick(F.transform("_best", lambda x: x["sentence"]), limit, most))
+    first = F.transform("_kept", lambda s: F.filter("_best", lambda x: x["sentence"] == s)[0])
+    return rows.select(key, F.inline(first)).select(key, "pos", "sentence")
+
+
+def distilled(docs: DataFrame, key: str, title: str, text: str, domain=L.DOMAIN, letters: str = "一-龥", data: str = L.DATA_PATTERN, cases: str = L.CASE_PATTERN, promotion=L.PROMOTION, noise=L.NOISE_PHRASES, chapters=L.CHAPTERS) -> DataFrame:
     """Per document: thesis, key_points, key_data and cases, as far as its text has 50 characters."""
-    clean = functools.reduce(lambda c, p: F.regexp_replace(c, p, ""), noise, F.col(text))
-    clean = F.trim(F.regexp_replace(F.regexp_replace(clean, "[ \t　]+", " "), "\n{2,}", "\n"))
+    clean = without_noise(F.col(text), noise, chapters)
     base = docs.select(key, F.col(title).alias("_title"), clean.alias("_text")).filter(F.length("_text") >= 50)
-    rows = sentence_table(base, key, "_text").filter(~F.col("sentence").rlike("|".join(promotion)))
+    rows = without_promotion(sentence_table(base, key, "_text"), promotion)
     rows = scored_sentences(rows, key, domain, letters, data)
     best = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "pos", "sentence"))), lambda x: x["sentence"])
     plain = F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"])

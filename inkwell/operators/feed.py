@@ -43,6 +43,13 @@ def missing_creators(candidates: DataFrame, creators: DataFrame, keywords=L.DISC
     return names.select("name", F.array(*map(F.lit, keywords)).alias("keywords"), F.lit(True).alias("enabled"))
 
 
+def first_creators(candidates: DataFrame, creators: DataFrame, keywords=L.DISCOVERY, pos: str = "pos") -> DataFrame:
+    """As above, with platform and scope of the creator's first candidate."""
+    one = candidates.groupBy(F.trim("creator").alias("name")).agg(F.min_by(F.struct("platform", "scope"), pos).alias("_one"))
+    names = one.join(creators.select("name"), "name", "left_anti")
+    return names.select("name", "_one.platform", "_one.scope", F.array(*map(F.lit, keywords)).alias("keywords"), F.lit(True).alias("enabled"))
+
+
 def outcomes(candidates: DataFrame, thresholds: DataFrame, stored: DataFrame, creators: DataFrame, keywords=L.DISCOVERY, pos: str = "pos") -> DataFrame:
     """Each candidate with one ``outcome``: not_hot, duplicate, disabled, off_topic, repeated or created.
 
@@ -75,6 +82,29 @@ def run_summary(found: DataFrame) -> DataFrame:
     return out.withColumn("message", F.format_string("discovered %d, created %d, skipped %d", "discovered", "created", "duplicate_skipped"))
 
 
+def counted(rows: DataFrame, conditions: dict[str, Column]) -> DataFrame:
+    """One row: how many rows meet each condition, and ``total``."""
+    return rows.agg(*[F.count_if(c).alias(n) for n, c in conditions.items()], F.count("*").alias("total"))
+
+
+def profiles(contents: DataFrame, key: str, text: str, phrases: dict = L.PROFILE_PHRASES, most: int = 6) -> DataFrame:
+    """Which phrases of each list occur in any of a profile's texts, in the list's order, and how many texts it has.
+
+    Flags are or-ed in partial aggregates, so texts never gather.
+    """
+    flags = [F.bool_or(F.col(text).contains(p)).alias(f"_{n}_{i}") for n, ps in phrases.items() for i, p in enumerate(ps)]
+    out = contents.groupBy(key).agg(F.count("*").alias("content_count"), *flags)
+    lists = [F.array_join(F.slice(F.filter(F.array(*[F.when(F.col(f"_{n}_{i}"), F.lit(p)) for i, p in enumerate(ps)]), lambda x: x.isNotNull()), 1, most), ",").alias(n) for n, ps in phrases.items()]
+    return out.select(key, "content_count", *lists)
+
+
+def profiled(names: DataFrame, contents: DataFrame, name: str, key: str, text: str, phrases: dict = L.PROFILE_PHRASES, most: int = 6) -> DataFrame:
+    """All rows of ``names`` with the profile of their contents; empty lists and 0 where there are none."""
+    found = profiles(contents, key, text, phrases, most).withColumnRenamed(key, name)
+    out = names.join(found, name, "left")
+    return out.withColumns({"content_count": F.coalesce("content_count", F.lit(0)).cast("long"), **{n: F.coalesce(n, F.lit("")) for n in phrases}})
+
+
 def backfilled(stored: DataFrame, candidates: DataFrame, pos: str = "pos") -> DataFrame:
     """Stored rows whose empty play_url takes the first non-empty one of a candidate with their key."""
     key = X.video_url_key(F.col("original_url"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwell.operators.dedup import written
+
 #: The listing order of each table: (column, descending).
 LISTING = {
     "news": (("published_at", True), ("id", True)),
@@ -23,10 +25,12 @@ def with_new_ids(new: DataFrame, stored: DataFrame, order: list[Column], id_: st
     """``new`` with ids that follow the stored ones, in a fixed order.
 
     Numbers come from a range partitioning: rows are counted by partition, and each
-    partition numbers its own, so that no task holds them all.
+    partition numbers its own, so that no task holds them all. The ranges are drawn from a
+    sample, anew in each job, so the partitioned rows are written once and counted and
+    numbered from there.
     """
     top = stored.agg(F.coalesce(F.max(id_), F.lit(0)).cast("long").alias("_top")).first()["_top"]
-    parted = new.repartitionByRange(buckets, *order).withColumn("_part", F.spark_partition_id())
+    parted = written(new.repartitionByRange(buckets, *order).withColumn("_part", F.spark_partition_id()), "ranges")
     ranked = parted.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     counts = ranked.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -69,6 +73,28 @@ def changed_rows(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -
     return new.join(o, key).filter(~same).select(*new.columns)
 
 
+def with_known(rows: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """Add ``known``: whether the stored table has the row's key."""
+    hit = stored.select(key).distinct().withColumn("known", F.lit(True))
+    return rows.join(hit, key, "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+def updated(rows: DataFrame, where: Column, values: dict[str, Column]) -> DataFrame:
+    """Rows with new values where the condition holds (null counts as not)."""
+    return rows.withColumns({c: F.when(where, v).otherwise(F.col(c)) for c, v in values.items()})
+
+
+def deleted(rows: DataFrame, where: Column, keys: DataFrame | None = None, key: str = "id") -> DataFrame:
+    """Rows without those where the condition holds and those whose key is listed."""
+    out = rows.filter(~F.coalesce(where, F.lit(False)))
+    return out if keys is None else out.join(keys.select(key), key, "left_anti").select(*rows.columns)
+
+
+def with_default(rows: DataFrame, column: str, value: Column) -> DataFrame:
+    """A column added with a default, or filled with it where it is there and null."""
+    return rows.withColumn(column, F.coalesce(column, value) if column in rows.columns else value)
+
+
 def export_snapshot(entities: dict[str, DataFrame], path: str, exported_at: str, version: int = 1) -> None:
     """One JSON folder an entity, and a manifest."""
     spark = next(iter(entities.values())).sparkSession
@@ -85,8 +111,10 @@ def import_snapshot(spark, path: str, schemas: dict[str, str]) -> dict[str, Data
         raise ValueError("the snapshot lacks an entity")
     out = {}
     for name, schema in schemas.items():
-        df = spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(f"{path}/{name}").cache()
-        if not df.filter(F.col("_corrupt").isNotNull()).isEmpty():
+        df = spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(f"{path}/{name}")
+        # Spark can't filter the raw JSON by this column alone, so all of a row is read.
+        bad = df.agg(F.count_if(F.col("_corrupt").isNotNull()).alias("bad"), *[F.count(c) for c in df.columns if c != "_corrupt"])
+        if bad.first()["bad"]:
             raise ValueError(f"the snapshot's {name} don't parse")
         out[name] = df.drop("_corrupt")
     return out

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import lexicon as L
 from inkwell.functions import text as X
-from inkwell.operators import dedup, distil, feed, store
+from inkwell.operators import dedup, distil, feed, match, store, tasks
 from inkwell.sources import pages as P
 from inkwell.sources import payloads as J
 
@@ -193,16 +193,47 @@ def a4(spark, d):
     return read(spark, d, "pages").select("page_id", P.content_kind(F.col("html"), F.split_part("url", F.lit("?"), F.lit(1))).alias("kind"))
 
 
-_ANCHOR = r"""(?is)<a\b[^>]*?href=["'']([^"'']*)["''][^>]*>(.*?)</a>"""
+_ANCHOR, _AROUND = P.ANCHOR.replace("'", "''"), P.AROUND
+_BLOCK_TEXT = s_compact(s_unescape("regexp_replace(block, '(?s)<[^>]*>', ' ', 'g')"))
 
 
-@query("a5_listing_links", f"""WITH a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '{_ANCHOR}')) AS a, unnest(range(len(regexp_extract_all(html, '{_ANCHOR}')))) AS pos FROM pages),
-b AS (SELECT page_id, url, pos, trim(regexp_extract(a, '{_ANCHOR}', 1)) AS href, {s_compact(s_unescape(f"regexp_replace(regexp_extract(a, '{_ANCHOR}', 2), '(?s)<[^>]*>', '', 'g')"))} AS title FROM a),
-c AS (SELECT page_id, pos, title, regexp_extract(url, '^(https?)', 1) || '://' || regexp_extract(url, '{X.URL}', 2) || href AS link FROM b WHERE len(title) BETWEEN 6 AND 60 AND starts_with(href, '/') AND NOT starts_with(href, '//')),
+@query("a5_listing_links", f"""WITH s AS (SELECT page_id, url, unnest(x) AS block, unnest(range(len(x))) AS part FROM (SELECT page_id, url, string_split_regex(html, '{_AROUND}') AS x FROM pages)),
+u AS (SELECT page_id, url, block, part, unnest(regexp_extract_all(block, '{_ANCHOR}')) AS a, unnest(range(len(regexp_extract_all(block, '{_ANCHOR}')))) AS inside FROM s),
+a AS (SELECT *, CAST(row_number() OVER (PARTITION BY page_id ORDER BY part, inside) - 1 AS INT) AS pos FROM u),
+b AS (SELECT page_id, url, pos, {_BLOCK_TEXT} AS block_text, trim(regexp_extract(a, '{_ANCHOR}', 1)) AS href, {s_compact(s_unescape(f"regexp_replace(regexp_extract(a, '{_ANCHOR}', 2), '(?s)<[^>]*>', '', 'g')"))} AS title FROM a),
+c AS (SELECT page_id, pos, title, trim(replace(block_text, title, '')) AS rest, regexp_extract(url, '^(https?)', 1) || '://' || regexp_extract(url, '{X.URL}', 2) || href AS link FROM b WHERE len(title) BETWEEN 6 AND 60 AND starts_with(href, '/') AND NOT starts_with(href, '//')),
 r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS k FROM c)
-SELECT page_id, CAST(pos AS INT) AS pos, title, link FROM r WHERE k <= 3""")
+SELECT page_id, pos, title, link, CASE WHEN len(rest) > 120 THEN substr(rest, 1, 120) || '…' ELSE rest END AS summary FROM r WHERE k <= 3""")
 def a5(spark, d):
-    return P.listing_links(read(spark, d, "pages"), n=3)
+    return P.listing_links(read(spark, d, "pages"), n=3, year=F.lit(2024)).drop("published_at")
+
+
+def listing(spark, d):
+    """Orders of a customer as a listing page: two links to its own site, one below it, one to a government's, one elsewhere."""
+    o, k = read(spark, d, "orders"), F.col("o_orderkey")
+    host = F.when(k % 5 == 2, "sub.x.org").when(k % 5 == 3, "edu.gov").when(k % 5 == 4, "else.org").otherwise("x.org")
+    item = F.concat(F.lit("<li><a href='http://"), host, F.lit("/o/"), k.cast("string"), F.lit("'>order number "), k.cast("string"), F.lit("</a> <i>"), F.date_format("o_orderdate", "yyyy-M-d"), F.lit("</i> "), F.col("o_orderstatus"), F.lit("</li>"))
+    items = F.array_sort(F.collect_list(F.struct(k.alias("k"), item.alias("item"))))
+    return o.groupBy("o_custkey").agg(F.concat(F.lit("<ul>"), F.array_join(F.transform(items, lambda x: x["item"]), ""), F.lit("</ul>")).alias("html"), F.lit("http://x.org/list").alias("url"))
+
+
+def _s_listing(hosts: str) -> str:
+    return f"""WITH l AS (SELECT o_custkey, o_orderkey AS k, o_orderdate, o_orderstatus, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS pos, CASE o_orderkey % 5 WHEN 2 THEN 'sub.x.org' WHEN 3 THEN 'edu.gov' WHEN 4 THEN 'else.org' ELSE 'x.org' END AS host FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY k) AS n FROM l WHERE host IN ({hosts}) AND o_orderstatus <> 'P')
+SELECT o_custkey, pos, 'order number ' || k AS title, 'http://' || host || '/o/' || k AS link, CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS published_at,
+ year(o_orderdate) || '-' || month(o_orderdate) || '-' || day(o_orderdate) || ' ' || o_orderstatus AS summary FROM r WHERE n <= 5"""
+
+
+@query("a5_dated_links", _s_listing("'x.org', 'sub.x.org'"))
+def a5b(spark, d):
+    """The gate reads the summary: pending orders stay out."""
+    return P.listing_links(listing(spark, d), "o_custkey", n=5, gate=lambda t: ~t.rlike(" P$")).withColumn("published_at", F.col("published_at").cast("timestamp_ntz"))
+
+
+@query("a5_official_links", _s_listing("'x.org', 'edu.gov'"))
+def a5c(spark, d):
+    links = P.listing_links(listing(spark, d), "o_custkey", n=5, same_site=False, gate=lambda t: ~t.rlike(" P$"))
+    return links.withColumn("published_at", F.col("published_at").cast("timestamp_ntz"))
 
 
 @query("a9_payload", """SELECT event_id, greatest(coalesce(CAST(regexp_extract(props, '"k": *(-?[0-9]+)', 1) AS BIGINT), 0), 0) AS likes, greatest(coalesce(nullif(CAST(regexp_extract(props, '"k": *(-?[0-9]+)', 1) AS BIGINT), 0), 0), 0) AS saves FROM events""")
@@ -285,16 +316,7 @@ NAMES = (("example.com", "Example"), ("blog.example.net", "Net Blog"), ("example
 
 @query("b5_source_name", f"""WITH h AS (SELECT page_id, {s_host('url')} AS host FROM pages) SELECT page_id, CASE {' '.join(f"WHEN host = '{k}' OR ends_with(host, '.{k}') THEN '{v}'" for k, v in NAMES)} ELSE host END AS source_name FROM h""")
 def b5(spark, d):
-    return source_names(read(spark, d, "pages").select("page_id", X.host_of(F.col("url")).alias("host")), "page_id", NAMES).select("page_id", "source_name")
-
-
-def source_names(rows: DataFrame, key: str, names) -> DataFrame:
-    """Host suffixes meet a table of domains by equality; of several, the first listed wins."""
-    table = rows.sparkSession.createDataFrame([(k, v, i) for i, (k, v) in enumerate(names)], "suffix string, name string, rank int")
-    parts = F.split("host", r"\.", -1)
-    suffix = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    found = rows.select(key, F.explode(suffix).alias("suffix")).join(table, "suffix").groupBy(key).agg(F.min_by("name", "rank").alias("name"))
-    return rows.join(found, key, "left").withColumn("source_name", F.coalesce("name", "host")).drop("name")
+    return match.source_names(read(spark, d, "pages").select("page_id", X.host_of(F.col("url")).alias("host")), "page_id", NAMES).select("page_id", "source_name")
 
 
 @query("b6_is_gov", f"SELECT page_id, ends_with({s_host('url')}, '.gov.cn') OR ends_with({s_host('url')}, '.gov') AS gov FROM pages")
@@ -313,25 +335,19 @@ def b7(spark, d):
 TAGS = (("film", "tion"), ("song", "heit"), ("food", "ing"), ("town", "que"), ("home", "thea"), ("road", "ble"))
 
 
-def rule_tags(text: Column, other: str = "web") -> Column:
-    found = F.filter(F.array(*[F.when(text.rlike(p), F.lit(t)) for t, p in TAGS]), lambda t: t.isNotNull())
-    return F.when(F.size(found) == 0, F.array(F.lit(other))).otherwise(F.slice(found, 1, 5))
-
-
 _RULE_TAGS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({{c}}, '{p}') THEN '{t}' END" for t, p in TAGS) + "], lambda t: t IS NOT NULL)"
 
 
 @query("b8_source_type", f"WITH t AS (SELECT page_id, url, {_RULE_TAGS.format(c='html')} AS tags FROM pages) SELECT page_id, CASE WHEN contains(url, 'blog.') THEN 'blog' WHEN contains(url, '.net') THEN 'network' ELSE 'web' END AS kind, CASE WHEN len(tags) = 0 THEN 'web' ELSE array_to_string(tags[1:5], ',') END AS tags FROM t")
 def b8(spark, d):
-    kind = F.when(F.col("url").contains("blog."), "blog").when(F.col("url").contains(".net"), "network").otherwise("web")
-    return read(spark, d, "pages").select("page_id", kind.alias("kind"), F.array_join(rule_tags(F.col("html")), ",").alias("tags"))
+    kind = match.source_kind(F.col("url"), (("blog", ("blog.",)), ("network", (".net",))))
+    return read(spark, d, "pages").select("page_id", kind.alias("kind"), F.array_join(match.rule_tags(F.col("html"), TAGS), ",").alias("tags"))
 
 
 @query("b9_tags", f"WITH {MATERIALS}, t AS (SELECT id, list_filter(tags, lambda x: x <> 'en') AS own, {_RULE_TAGS.format(c='content')} AS more FROM materials) SELECT id, array_to_string((own || list_filter(more, lambda x: NOT list_contains(own, x)))[1:5], ',') AS tags FROM t")
 def b9(spark, d):
-    m = materials(spark, d)
-    found = F.filter(F.array(*[F.when(F.col("content").rlike(p), F.lit(t)) for t, p in TAGS]), lambda t: t.isNotNull())
-    return m.select("id", F.array_join(F.slice(F.array_union(F.array_except("tags", F.array(F.lit("en"))), found), 1, 5), ",").alias("tags"))
+    tags = match.organized_tags(F.col("tags"), F.col("content"), TAGS, ("en",))
+    return materials(spark, d).select("id", F.array_join(tags, ",").alias("tags"))
 
 
 @query("b10_summary", f"SELECT doc_id, substr({s_compact('text')}, 1, 180) AS summary FROM documents")
@@ -339,10 +355,6 @@ def b10(spark, d):
     return read(spark, d, "documents").select("doc_id", X.summary(F.col("text")).alias("summary"))
 
 
-def keyword_hits(text: Column, tags: Column, words=L.MATERIAL_KEYWORDS) -> Column:
-    return F.slice(F.array_distinct(F.filter(F.concat(tags, X.hits(text, words)), lambda t: t != "")), 1, 10)
-
-
 _WORDS = "[" + ", ".join(f"'{w}'" for w in L.LATIN_KEYWORDS) + "]"
 _HITS = f"list_filter({_WORDS}, lambda w: contains(content, w))"
 _MERGED = f"(tags || list_filter({_HITS}, lambda w: NOT list_contains(tags, w)))[1:10]"
@@ -356,19 +368,14 @@ def b11(spark, d):
 
 @query("b12_keywords", f"WITH {MATERIALS} SELECT id, array_to_string({_MERGED}, ',') AS keywords FROM materials")
 def b12(spark, d):
-    return materials(spark, d).select("id", F.array_join(keyword_hits(F.col("content"), F.col("tags"), L.LATIN_KEYWORDS), ",").alias("keywords"))
-
-
-def infer_tags(kind: Column, tags: Column, source: Column, keywords: Column) -> Column:
-    every = F.concat(F.array(kind), tags, F.array(F.coalesce(source, F.lit(""))), F.slice(keywords, 1, 4))
-    return F.slice(F.array_distinct(F.filter(every, lambda t: t != "")), 1, 8)
+    return materials(spark, d).select("id", F.array_join(match.keyword_hits(F.col("content"), F.col("tags"), L.LATIN_KEYWORDS), ",").alias("keywords"))
 
 
 @query("b13_infer_tags", f"""WITH {MATERIALS}, k AS (SELECT id, tags, source_name, {_MERGED} AS kw FROM materials), e AS (SELECT id, ['web'] || tags || [source_name] || kw[1:4] AS e FROM k)
 SELECT id, array_to_string(list_filter(e, lambda x, i: list_position(e, x) = i)[1:8], ',') AS tags FROM e""")
 def b13(spark, d):
-    kw = keyword_hits(F.col("content"), F.col("tags"), L.LATIN_KEYWORDS)
-    return materials(spark, d).select("id", F.array_join(infer_tags(F.lit("web"), F.col("tags"), F.col("source_name"), kw), ",").alias("tags"))
+    kw = match.keyword_hits(F.col("content"), F.col("tags"), L.LATIN_KEYWORDS)
+    return materials(spark, d).select("id", F.array_join(match.infer_tags(F.lit("web"), F.col("tags"), F.col("source_name"), kw), ",").alias("tags"))
 
 
 @query("b14_defaults", f"WITH {MATERIALS} SELECT id, trim(title) AS title, CASE WHEN trim(summary) = '' THEN substr(trim(content), 1, 120) ELSE trim(summary) END AS summary FROM materials")
@@ -377,15 +384,10 @@ def b14(spark, d):
     return m.select("id", F.trim("title").alias("title"), F.coalesce(F.nullif(F.trim("summary"), F.lit("")), F.substring(F.trim("content"), 1, 120)).alias("summary"))
 
 
-def keyword_list(words: Column, default=L.DISCOVERY) -> Column:
-    kept = F.filter(F.transform(words, lambda w: F.trim(w)), lambda w: w != "")
-    return F.when(F.size(kept) == 0, F.array(*map(F.lit, default))).otherwise(kept)
-
-
 @query("b15_keyword_list", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'a,b' ELSE event_type END AS words FROM events")
 def b15(spark, d):
     words = F.when(F.col("event_id") % 3 == 0, F.array(F.lit(" "), F.lit(""))).otherwise(F.array(F.lit(" "), F.concat(F.lit(" "), F.col("event_type"), F.lit(" "))))
-    return read(spark, d, "events").select("event_id", F.array_join(keyword_list(words, ("a", "b")), ",").alias("words"))
+    return read(spark, d, "events").select("event_id", F.array_join(match.keyword_list(words, ("a", "b")), ",").alias("words"))
 
 
 _HOT = f"""WITH {VIDEOS}, {LIMITS_SQL}, h AS (SELECT v.*, coalesce(like_limit, 0) AS ll, coalesce(save_limit, 0) AS sl, likes >= coalesce(like_limit, 0) OR saves >= coalesce(save_limit, 0) AS is_hot FROM videos v LEFT JOIN limits USING (platform, scope))"""
@@ -569,25 +571,11 @@ def d2(spark, d):
     return gated_items(spark, d).select("pos", "category")
 
 
-def searched(rows: DataFrame, queries: DataFrame, fields: list[Column], id_: str = "id") -> DataFrame:
-    """(query, id): every query, trimmed and in lower case, as a part of a row's joined fields; an empty one finds all.
-
-    The stated queries are one bounded array that travels with the plan, so rows are read
-    once and each is tested against all of them.
-    """
-    asked = [r[0] for r in queries.select("query").distinct().limit(10_001).collect()]
-    if len(asked) > 10_000:
-        raise ValueError("more than 10000 queries at once; run them in blocks")
-    text = F.lower(F.concat_ws(" ", *fields))
-    found = F.filter(F.array(*map(F.lit, sorted(asked))), lambda q: text.contains(F.lower(F.trim(q))))
-    return rows.select(F.explode(found).alias("query"), id_)
-
-
 @query("d3_search", f"""WITH {MATERIALS}, q(query) AS (VALUES ('The '), ('SRC1'), ('heit'), ('ción de'), ('')) SELECT query, id FROM q, materials
 WHERE contains(lower(concat_ws(' ', title, summary, content, array_to_string(tags, ' '))), lower(trim(query)))""")
 def d3(spark, d):
     q = spark.createDataFrame([("The ",), ("SRC1",), ("heit",), ("ción de",), ("",)], "query string")
-    return searched(materials(spark, d), q, [F.col("title"), F.col("summary"), F.col("content"), F.array_join("tags", " ")])
+    return match.searched(materials(spark, d), q, [F.col("title"), F.col("summary"), F.col("content"), F.array_join("tags", " ")])
 
 
 @query("d4_status", f"WITH {MATERIALS} SELECT id, title FROM materials WHERE status = 'pending'")
@@ -614,20 +602,30 @@ def d6(spark, d):
     return videos(spark, d).join(c, "creator", "left").filter(F.coalesce("enabled", F.lit(True))).select("id")
 
 
-@query("d7_noise", "SELECT doc_id, regexp_replace(regexp_replace(text, 'Licensed under[^.\\n]{0,60}', '', 'g'), '[#%&*$]{3}', '', 'g') AS text FROM documents")
+_NOISE, _LABELS = ("Licensed under[^.\\n]{0,60}", "[#%&*$]{3}"), ("The", "and", "thea")
+_EDGE = r"[\s　，。、；：!?！?]"
+_LESS = "text"
+for _p, _n in ((_NOISE[0], ""), (_NOISE[1], ""), ("[ \\t　]+", " "), ("\\n{2,}", "\n")):
+    _LESS = f"regexp_replace({_LESS}, '{_p}', '{_n}', 'g')"
+_LESS = f"trim({_LESS})"
+for _p, _n in ((rf"[\s　]*[0-9]{{1,2}}[\s　]*(?:{'|'.join(_LABELS)})", " "), *[(rf"(?:^|{_EDGE})(?:{'|'.join(_LABELS)})({_EDGE}|$)", r"\1")] * 8, (r"^\s*[0-9]{1,2}\s+", ""), (r"\s{2,}", " ")):
+    _LESS = f"regexp_replace({_LESS}, '{_p}', '{_n}', 'g')"
+
+
+@query("d7_noise", f"SELECT doc_id, trim({_LESS}) AS text FROM documents")
 def d7(spark, d):
-    return read(spark, d, "documents").select("doc_id", F.regexp_replace(F.regexp_replace("text", r"Licensed under[^.\n]{0,60}", ""), "[#%&*$]{3}", "").alias("text"))
+    """A label between two edges takes the one ahead of it along; RE2 has no lookahead, so the twin puts the one behind back, and goes again for neighbours."""
+    return read(spark, d, "documents").select("doc_id", distil.without_noise(F.col("text"), _NOISE, _LABELS).alias("text"))
 
 
 @query("d8_promo", f"WITH {_SENTENCES} SELECT doc_id, pos FROM sent WHERE NOT regexp_matches(sentence, 'License|copyright|@mail')")
 def d8(spark, d):
-    return doc_sentences(spark, d).filter(~F.col("sentence").rlike("License|copyright|@mail")).select("doc_id", "pos")
+    return distil.without_promotion(doc_sentences(spark, d), ("License", "copyright", "@mail")).select("doc_id", "pos")
 
 
 @query("d9_min_content", "SELECT doc_id, CASE WHEN len(text) < 50 THEN 'core too short' WHEN len(text) < 120 THEN 'too short' ELSE '' END AS error FROM documents")
 def d9(spark, d):
-    n = F.length("text")
-    return read(spark, d, "documents").select("doc_id", F.when(n < 50, "core too short").when(n < 120, "too short").otherwise("").alias("error"))
+    return read(spark, d, "documents").select("doc_id", distil.too_short(F.col("text"), F.col("text")).alias("error"))
 
 
 @query("d10_validate", "SELECT c_custkey, concat_ws(',', CASE WHEN c_acctbal >= 0 THEN NULL ELSE 'balance' END, CASE WHEN len(c_name) BETWEEN 1 AND 18 THEN NULL ELSE 'name' END, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN NULL ELSE 'segment' END) AS errors FROM customer")
@@ -676,36 +674,43 @@ def e5(spark, d):
     return feed.backfilled(v.filter("id % 2 = 1"), v.filter("id % 2 = 0"), "id").select("id", "play_url")
 
 
-def tasks_of(requests: DataFrame, sources: DataFrame) -> DataFrame:
-    """Tasks that copy their source's fields; ``error`` where the source is unknown."""
-    s = sources.select(F.col("id").alias("source_id"), "name", "type", F.col("note").alias("_note"))
-    out = requests.join(s, "source_id", "left")
-    goal = F.coalesce(F.nullif(F.trim("_note"), F.lit("")), F.concat(F.lit("collect "), F.col("name")))
-    return out.withColumn("goal", goal).withColumn("error", F.when(F.col("name").isNull(), "unknown source")).drop("_note")
-
-
 @query("e6_tasks", "SELECT o_orderkey AS task_id, CAST(o_orderkey % 30 AS INT) AS source_id, n_name AS name, CASE WHEN n_name IS NULL THEN NULL WHEN n_regionkey = 1 THEN 'note ' || n_nationkey ELSE 'collect ' || n_name END AS goal, CASE WHEN n_name IS NULL THEN 'unknown source' END AS error FROM orders LEFT JOIN nation ON o_orderkey % 30 = n_nationkey")
 def e6(spark, d):
     n = read(spark, d, "nation")
     s = n.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.lit("web").alias("type"), F.when(F.col("n_regionkey") == 1, F.concat(F.lit("note "), F.col("n_nationkey").cast("string"))).otherwise(" ").alias("note"))
     r = read(spark, d, "orders").select(F.col("o_orderkey").alias("task_id"), (F.col("o_orderkey") % 30).cast("int").alias("source_id"))
-    return tasks_of(r, s).select("task_id", "source_id", "name", "goal", "error")
+    return tasks.tasks_of(r, s).select("task_id", "source_id", "name", "goal", "error")
 
 
-@query("e7_materials", f"WITH {MATERIALS} SELECT page_id, CASE WHEN {_TITLE} <> '' THEN {_TITLE} ELSE url END AS title, substr(array_to_string(list_transform({s_lines(_PAGE)}, lambda x: {s_unescape('x')}), chr(10)), 1, 120) AS summary, CASE WHEN page_id % 2 = 0 THEN 'done' ELSE 'pending' END AS status FROM pages")
+@query("e7_materials", f"""WITH t AS (SELECT n_nationkey, n_name, page_id AS task_id, CASE WHEN page_id % 7 = 0 THEN 'http://gone.example/' || page_id ELSE url END AS url FROM pages LEFT JOIN nation ON page_id % 25 = n_nationkey),
+f AS (SELECT url, CASE WHEN {_TITLE} <> '' THEN {_TITLE} ELSE url END AS title, substr(array_to_string(list_transform({s_lines(_PAGE)}, lambda x: {s_unescape('x')}), chr(10)), 1, 12000) AS content FROM pages WHERE page_id IN (SELECT min(page_id) FROM pages GROUP BY url))
+SELECT task_id, n_name AS source_name, CASE WHEN content <> '' THEN title END AS title, CASE WHEN content <> '' THEN substr(content, 1, 120) END AS summary,
+ CASE WHEN content <> '' THEN 'done' ELSE 'failed' END AS status, CASE WHEN content IS NULL THEN 'not fetched' WHEN content = '' THEN 'no text' END AS error FROM t LEFT JOIN f USING (url)""")
 def e7(spark, d):
-    pages = read(spark, d, "pages")
-    tasks = pages.select("url", F.lit("pending").alias("before")).distinct()
-    fetched = P.pages_as_material(pages)
-    out = fetched.join(tasks, "url")
-    done = F.when((F.col("page_id") % 2 == 0) & F.col("error").isNull(), "done").otherwise(F.col("before"))
-    return out.select("page_id", "title", F.substring("content", 1, 120).alias("summary"), done.alias("status"))
+    """Every seventh task asks for a page that isn't there."""
+    pages, n = read(spark, d, "pages"), read(spark, d, "nation")
+    sources = n.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.lit("web").alias("type"), F.lit("").alias("note"))
+    url = F.when(F.col("page_id") % 7 == 0, F.concat(F.lit("http://gone.example/"), F.col("page_id").cast("string"))).otherwise(F.col("url"))
+    asked = pages.select(F.col("page_id").alias("task_id"), url.alias("url"), (F.col("page_id") % 25).cast("int").alias("source_id"))
+    fetched = P.pages_as_material(dedup.first_per_group(pages, ["url"], [F.col("page_id")], 1))
+    return tasks.materials_of(tasks.tasks_of(asked, sources), fetched).select("task_id", "source_name", "title", "summary", "status", "error")
+
+
+PHRASES = {"views": ("theat", "schein", "ouvi", "doaz"), "style": ("trash", "clown", "License", "%%%"), "topics": ("the", "und", "les", "las")}
 
 
-@query("e8_profile_join", "SELECT s_suppkey, s_name, count(l_orderkey) AS contents FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY s_suppkey, s_name")
+def _s_profile() -> str:
+    cols = [f"concat_ws(',', {', '.join(f'''CASE WHEN bool_or(contains(text, '{p}')) THEN '{p}' END''' for p in ps)}) AS {n}" for n, ps in PHRASES.items()]
+    return f"SELECT source, count(*) AS content_count, {', '.join(cols)} FROM documents GROUP BY source"
+
+
+@query("e8_profile_join", """WITH c AS (SELECT source, text FROM documents), p AS (SELECT DISTINCT source AS name FROM documents UNION SELECT n_name FROM nation),
+f AS (PROFILE) SELECT name, coalesce(content_count, 0) AS content_count, coalesce(views, '') AS views, coalesce(style, '') AS style, coalesce(topics, '') AS topics FROM p LEFT JOIN f ON source = name""".replace("PROFILE", _s_profile()))
 def e8(spark, d):
-    n = read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("contents"))
-    return read(spark, d, "supplier").join(n, "s_suppkey", "left").select("s_suppkey", "s_name", F.coalesce("contents", F.lit(0).cast("long")).alias("contents"))
+    """Profiles are the sources of documents and all nations, which have no contents."""
+    docs = read(spark, d, "documents")
+    names = docs.select(F.col("source").alias("name")).distinct().union(read(spark, d, "nation").select("n_name"))
+    return feed.profiled(names, docs, "name", "source", "text", PHRASES)
 
 
 @query("e9_snapshot_diff", "SELECT event_id FROM events WHERE event_id NOT IN (SELECT event_id FROM events WHERE event_type <> 'error')")
@@ -714,24 +719,12 @@ def e9(spark, d):
     return dedup.snapshot_diff(e.select("event_id"), e.filter("event_type != 'error'").select("event_id"), "event_id")
 
 
-def evidence(points: DataFrame, facts: DataFrame, key: str, least: float = 0.12) -> DataFrame:
-    """For each point the first fact of its document that is alike by letters; facts travel as one array a document."""
-    f = facts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "sentence"))).alias("_facts"))
-    out = points.join(f, key, "left")
-    first = F.try_element_at(F.filter("_facts", lambda x: X.jaccard(F.col("sentence"), x["sentence"]) > least), F.lit(1))
-    return out.withColumn("fact", first["pos"]).drop("_facts")
-
-
-def _s_jaccard(a: str, b: str) -> str:
-    x, y = f"list_distinct(string_split({a}, ''))", f"list_distinct(string_split({b}, ''))"
-    return f"len(list_intersect({x}, {y}))::DOUBLE / len(list_distinct({x} || {y}))"
-
-
-@query("e11_evidence", f"""WITH {_SENTENCES}, p AS (SELECT * FROM sent WHERE pos % 9 = 0), f AS (SELECT * FROM sent WHERE regexp_matches(sentence, '{_DATA}|tion')),
-m AS (SELECT p.doc_id, p.pos, min(f.pos) AS fact FROM p JOIN f USING (doc_id) WHERE {_s_jaccard('p.sentence', 'f.sentence')} > 0.6 GROUP BY ALL) SELECT doc_id, pos, fact FROM p LEFT JOIN m USING (doc_id, pos)""")
+@query("e11_evidence")
 def e11(spark, d):
-    s = doc_sentences(spark, d)
-    return evidence(s.filter("pos % 9 = 0"), s.filter(F.col("sentence").rlike(f"{_DATA}|tion")), "doc_id", 0.6).select("doc_id", "pos", "fact")
+    """The key points of every document, each with the first of its data sentences that is alike."""
+    points = distil.key_points(doc_scores(spark, d), "doc_id")
+    facts = doc_sentences(spark, d).filter(F.col("sentence").rlike(f"{_DATA}|tion"))
+    return match.evidence(points, facts, "doc_id").select("doc_id", "pos", "sentence", "fact")
 
 
 @query("e12_unique_names", "SELECT s_suppkey, s_name, lower(s_name) IN (SELECT lower(n_name) FROM nation) OR s_suppkey % 3 = 0 AS rejected FROM supplier")
@@ -751,8 +744,8 @@ def f1(spark, d):
 
 @query("f2_kpi", "SELECT count(*) FILTER (o_orderstatus = 'O') AS open, count(*) FILTER (o_orderstatus = 'F') AS done, count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent, count(*) AS total FROM orders")
 def f2(spark, d):
-    o = read(spark, d, "orders")
-    return o.agg(F.count_if(F.col("o_orderstatus") == "O").alias("open"), F.count_if(F.col("o_orderstatus") == "F").alias("done"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent"), F.count("*").alias("total"))
+    status = F.col("o_orderstatus")
+    return feed.counted(read(spark, d, "orders"), {"open": status == "O", "done": status == "F", "urgent": F.col("o_orderpriority") == "1-URGENT"})
 
 
 _OUTCOMES = f"""{_HOT}, {CREATORS}, g AS (SELECT h.*, CASE WHEN NOT is_hot THEN 'not_hot' WHEN id % 97 IN (SELECT id % 97 FROM videos WHERE id % 5 = 0) THEN 'duplicate' WHEN NOT coalesce(enabled, true) THEN 'disabled'
@@ -776,28 +769,9 @@ def f3(spark, d):
     return feed.run_summary(run_outcomes(spark, d))
 
 
-def profiles(contents: DataFrame, key: str, text: str, phrases: dict, most: int = 6) -> DataFrame:
-    """Which phrases of each list occur in any of a profile's texts, in the list's order, and how many texts it has.
-
-    Flags are or-ed in partial aggregates, so texts never gather.
-    """
-    flags = [F.bool_or(F.col(text).contains(p)).alias(f"_{n}_{i}") for n, ps in phrases.items() for i, p in enumerate(ps)]
-    out = contents.groupBy(key).agg(F.count("*").alias("content_count"), *flags)
-    lists = [F.array_join(F.slice(F.filter(F.array(*[F.when(F.col(f"_{n}_{i}"), F.lit(p)) for i, p in enumerate(ps)]), lambda x: x.isNotNull()), 1, most), ",").alias(n) for n, ps in phrases.items()]
-    return out.select(key, "content_count", *lists)
-
-
-PHRASES = {"views": ("theat", "schein", "ouvi", "doaz"), "style": ("trash", "clown", "License", "%%%"), "topics": ("the", "und", "les", "las")}
-
-
-def _s_profile() -> str:
-    cols = [f"concat_ws(',', {', '.join(f'''CASE WHEN bool_or(contains(text, '{p}')) THEN '{p}' END''' for p in ps)}) AS {n}" for n, ps in PHRASES.items()]
-    return f"SELECT source, count(*) AS content_count, {', '.join(cols)} FROM documents GROUP BY source"
-
-
 @query("f4_profiles", _s_profile())
 def f4(spark, d):
-    return profiles(read(spark, d, "documents"), "source", "text", PHRASES)
+    return feed.profiles(read(spark, d, "documents"), "source", "text", PHRASES)
 
 
 @query("f5_bigrams", f"WITH {_SENTENCES}, {_BIGRAMS} SELECT doc_id, token, n FROM grams")
@@ -828,8 +802,7 @@ def f8(spark, d):
 @query("f9_exists", "SELECT page_id, contains(url, 'blog') AS known FROM pages")
 def f9(spark, d):
     p = read(spark, d, "pages").select("page_id", "url")
-    hit = p.filter(F.col("url").contains("blog")).select("url").distinct().withColumn("known", F.lit(True))
-    return p.join(hit, "url", "left").select("page_id", F.coalesce("known", F.lit(False)).alias("known"))
+    return store.with_known(p, p.filter(F.col("url").contains("blog")), "url").select("page_id", "known")
 
 
 @query("f10_rejects", "SELECT CASE WHEN len(text) < 50 THEN 'core too short' WHEN len(text) < 120 THEN 'too short' ELSE '' END AS reason, count(*) AS n FROM documents GROUP BY 1")
@@ -1026,17 +999,17 @@ def k1(spark, d):
 @query("k2_delete", "SELECT o_orderkey FROM orders WHERE NOT starts_with(o_orderpriority, '1') AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
 def k2(spark, d):
     bad = read(spark, d, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
-    return read(spark, d, "orders").filter(~F.col("o_orderpriority").startswith("1")).join(bad, "o_custkey", "left_anti").select("o_orderkey")
+    return store.deleted(read(spark, d, "orders"), F.col("o_orderpriority").startswith("1"), bad, "o_custkey").select("o_orderkey")
 
 
 @query("k3_update", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'DEBT' ELSE c_mktsegment END AS c_mktsegment FROM customer")
 def k3(spark, d):
-    return read(spark, d, "customer").select("c_custkey", F.when(F.col("c_acctbal") < 0, "DEBT").otherwise(F.col("c_mktsegment")).alias("c_mktsegment"))
+    return store.updated(read(spark, d, "customer"), F.col("c_acctbal") < 0, {"c_mktsegment": F.lit("DEBT")}).select("c_custkey", "c_mktsegment")
 
 
 @query("k4_add_column", "SELECT n_nationkey, n_name, 'none' AS note FROM nation")
 def k4(spark, d):
-    return read(spark, d, "nation").select("n_nationkey", "n_name").withColumn("note", F.lit("none"))
+    return store.with_default(read(spark, d, "nation"), "note", F.lit("none")).select("n_nationkey", "n_name", "note")
 
 
 # --- Flagship ------------------------------------------------------------------------------------------------------

@@ -68,20 +68,40 @@ def feed_items(feeds: DataFrame, key: str, body: str, most: int = 5) -> DataFram
     return items.select(key, "pos", tag("title").alias("title"), F.coalesce(F.nullif(tag("link"), F.lit("")), href).alias("link"), tag("description", "summary").alias("summary"))
 
 
-def listing_links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least: int = 6, longest: int = 60, n: int = 20, same_site: bool = True, gate=None) -> DataFrame:
-    """The first ``n`` candidate links of each page: text of fitting length, resolved, same site or below it, through ``gate``."""
-    anchor = r"""(?is)<a\b[^>]*?href=["']([^"']*)["'][^>]*>(.*?)</a>"""
-    a = pages.select(key, url, F.posexplode(F.regexp_extract_all(html, F.lit(anchor), F.lit(0))).alias("pos", "_a"))
+#: Tags at which a link's surroundings begin and end.
+AROUND = r"(?i)</?(?:li|p|div|td|tr|ul|ol|dl|dt|dd|nav|main|section|article|table|body|h[1-6])\b[^>]*>"
+ANCHOR = r"""(?is)<a\b[^>]*?href=["']([^"']*)["'][^>]*>(.*?)</a>"""
+
+
+def plain(markup: Column, tag: str = "") -> Column:
+    """Compact text of markup, each tag read as ``tag``."""
+    return X.compact(X.unescaped(F.regexp_replace(markup, r"(?s)<[^>]*>", tag)))
+
+
+def listing_links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least: int = 6, longest: int = 60, n: int = 20, same_site: bool = True, gate=None, year: Column | None = None, most: int = 120) -> DataFrame:
+    """The first ``n`` candidate links of each page: pos, title, link, summary and published_at.
+
+    A link's text has a fitting length; it is resolved, and leads to the page's site or one
+    below it, or (unless ``same_site``) to that host or a government's. What stands around it
+    in its block gives the date (a date without year is of ``year``, by default this one) and,
+    without the title, the summary. ``gate`` reads title and summary.
+    """
+    anchor = ANCHOR
+    blocks = F.transform(F.split(F.col(html), AROUND, -1), lambda b: F.transform(F.regexp_extract_all(b, F.lit(anchor), F.lit(0)), lambda a: F.struct(a.alias("a"), b.alias("block"))))
+    a = pages.select(key, url, F.posexplode(F.flatten(blocks)).alias("pos", "_found")).select(key, url, "pos", "_found.*").withColumnRenamed("a", "_a")
     a = a.withColumn("href", F.trim(F.regexp_extract("_a", anchor, 1)))
-    a = a.withColumn("title", X.compact(X.unescaped(F.regexp_replace(F.regexp_extract("_a", anchor, 2), r"(?s)<[^>]*>", ""))))
+    a = a.withColumn("title", plain(F.regexp_extract("_a", anchor, 2)))
     a = a.filter(F.length("title").between(least, longest) & ~F.lower("href").rlike("^(javascript:|#|mailto:|tel:)") & (F.col("href") != ""))
     a = a.withColumn("link", X.resolve_url(F.col(url), F.col("href")))
-    if same_site:
-        site, host = X.host_of(F.col(url)), X.host_of(F.col("link"))
-        a = a.filter((host == site) | host.endswith(F.concat(F.lit("."), site)) | X.is_government(host))
+    site, host = X.host_of(F.col(url)), X.host_of(F.col("link"))
+    a = a.filter((host == site) | (host.endswith(F.concat(F.lit("."), site)) if same_site else X.is_government(host)))
+    a = a.withColumn("block", plain(F.col("block"), " "))
+    rest = F.trim(F.replace("block", "title", F.lit("")))
+    a = a.withColumn("summary", F.when(F.length(rest) > most, F.concat(F.substring(rest, 1, most), F.lit("…"))).otherwise(rest))
+    a = a.withColumn("published_at", X.extract_date(F.col("block"), F.year(F.current_date()) if year is None else year))
     if gate is not None:
-        a = a.filter(gate(F.col("title")))
-    return first_per_group(a.select(key, "pos", "title", "link"), [key], [F.col("pos")], n)
+        a = a.filter(gate(F.concat_ws(" ", "title", "summary")))
+    return first_per_group(a.select(key, "pos", "title", "link", "summary", "published_at"), [key], [F.col("pos")], n)
 
 
 def image_refs(pages: DataFrame, key: str, html: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.operators.dedup import first_wins, not_stored, written
-from inkwell.operators.feed import outcomes, run_summary
+from inkwell.operators.feed import backfilled, first_creators, outcomes, run_summary
 
 
 def stored_news(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -48,20 +48,54 @@ def collect_news(stream: DataFrame, table_path: str, log_path: str, checkpoint:
     return writer.start()
 
 
-def collect_videos(stream: DataFrame, table_path: str, log_path: str, checkpoint: str, thresholds: DataFrame, creators: Callable[[], DataFrame], keywords: tuple[str, ...], seconds: int | None = None):
-    """Start the query: each micro-batch of candidates gets its outcomes against the stored videos; created ones are appended, counts logged.
+def stored_videos(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The videos that a stream stored, with their batch; empty play URLs as later batches filled them in."""
+    late = stored_news(spark, f"{path}-play", "original_url string, play_url string, batch bigint")
+    return backfilled(stored_news(spark, path, f"{schema}, batch bigint"), late, "batch")
 
-    As above, a batch writes a folder of its own id, and looks past what it wrote itself.
+
+CREATOR = "name string, platform string, scope string, keywords array<string>, enabled boolean"
+
+
+def stored_creators(spark: SparkSession, path: str) -> DataFrame:
+    """The creators that a stream met first, with their batch."""
+    return stored_news(spark, path, f"{CREATOR}, batch bigint")
+
+
+def collect_videos(stream: DataFrame, table_path: str, log_path: str, checkpoint: str, thresholds: DataFrame, creators: Callable[[], DataFrame], keywords: tuple[str, ...], seconds: int | None = None, pos: str = "pos"):
+    """Start the query: each micro-batch of candidates gets its outcomes against the stored videos and creators.
+
+    Created videos are appended. Creators that nobody knew are stored beside the table (in
+    ``-creators``), with default keywords and enabled; a play URL of a candidate whose video
+    is there already is stored (in ``-play``) for videos that have none. Counts are logged.
+    As above, a batch writes folders of its own id, and looks past what it wrote itself.
     """
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        known = stored_news(spark, table_path, f"{fields}, batch bigint").filter(F.col("batch") != batch_id)
-        found = written(outcomes(batch, thresholds, known, creators(), keywords), "outcomes")
+        other = F.col("batch") != batch_id
+        known = stored_news(spark, table_path, f"{fields}, batch bigint").filter(other)
+        met = stored_creators(spark, f"{table_path}-creators").filter(other).select("name", "keywords", "enabled")
+        who = creators().select("name", "keywords", "enabled")
+        who = who.unionByName(met.join(who.select("name"), "name", "left_anti").select(*who.columns))
+        found = written(outcomes(batch, thresholds, known, who, keywords, pos), "outcomes")
+        new = first_creators(found.filter(F.col("outcome").isin("created", "off_topic")), who, keywords, pos)
+        new.write.mode("overwrite").parquet(f"{table_path}-creators/batch={batch_id}")
+        if "play_url" in batch.columns:
+            late = found.filter(F.col("outcome").isin("duplicate", "repeated") & (F.coalesce(F.trim("play_url"), F.lit("")) != ""))
+            late = late.groupBy("original_url").agg(F.min_by("play_url", pos).alias("play_url"))
+            late.write.mode("overwrite").parquet(f"{table_path}-play/batch={batch_id}")
         found.filter("outcome = 'created'").select(*batch.columns).write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
         run_summary(found).write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
 
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)
     return writer.start()
+
+
+def arrived(stored: DataFrame, since: int | None = None) -> DataFrame:
+    """Rows that came in batches after ``since``; without it, in the last batch."""
+    if since is None:
+        return stored.join(F.broadcast(stored.agg(F.max("batch").alias("batch"))), "batch", "left_semi")  # one row
+    return stored.filter(F.col("batch") > since)

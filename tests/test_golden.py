@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import lexicon as L
 from inkwell.functions import text as X
-from inkwell.operators import dedup, distil, feed, store
+from inkwell.operators import dedup, distil, feed, match, store
 from inkwell.plans import catalog
 from inkwell.sources import pages as P
 from inkwell.sources import payloads as J
@@ -179,13 +179,56 @@ def test_store(spark, tmp_path):
     assert [r.valid for r in store.parse_snapshot(docs).collect()] == [True, False, False]
 
 
+def test_new_ids_are_distinct_and_gapless(spark):
+    """Above the rows that a range partitioning samples."""
+    n = 2_000_000
+    new = spark.range(n).select((F.col("id") * 7919 % n).alias("n"), F.sha2(F.col("id").cast("string"), 256).alias("x"))
+    ids = store.with_new_ids(new, spark.createDataFrame([(41,)], "id long"), [F.col("n")])
+    r = ids.agg(F.countDistinct("id").alias("d"), F.min("id").alias("a"), F.max("id").alias("z"), F.max(F.abs(F.col("id") - F.col("n") - 42)).alias("gap")).first()
+    assert (r.d, r.a, r.z, r.gap) == (n, 42, n + 41, 0)
+
+
+def test_texts_are_computed_once(spark):
+    """However many words a gate looks for, the plan has each derived text a few times only."""
+    plan = catalog.QUERIES["d2_gate"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    optimized = plan[plan.index("== Optimized") : plan.index("== Physical")]
+    assert optimized.count("split_part") < 12
+
+
+def test_chapters_and_noise(spark):
+    assert values(spark, distil.without_chapters, "01 不同的阶段 说明", "他说，提到升学规划。好", "12  开头", "第不同的阶段") == ["说明", "他说。好", "开头", "第不同的阶段"]
+
+
+def test_search_goes_in_blocks(spark):
+    rows = spark.createDataFrame([(k, f"w{k}x") for k in range(30)], "id int, title string")
+    q = spark.createDataFrame([(f"w{k}x",) for k in range(25)] + [(None,)], "query string")
+    got = match.searched(rows, q, [F.col("title")], block=4).collect()
+    assert sorted((r.query, r.id) for r in got) == sorted((f"w{k}x", k) for k in range(25))
+    assert match.searched(rows, q.limit(0), [F.col("title")]).count() == 0
+
+
+def test_evidence_by_hand(spark):
+    """Every point of every document against all of its facts, in plain loops."""
+    rng = random.Random(3)
+    text = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(0, 9)))
+    points, facts = ([(d, p, text()) for d in range(6) for p in range(5)] for _ in range(2))
+    schema = "doc_id int, pos int, sentence string"
+
+    def alike(a, b):
+        return len(set(a) & set(b)) / len(set(a) | set(b)) if a and b else 0.0
+
+    want = {(d, p): min([q for e, q, f in facts if e == d and alike(s, f) > 0.3], default=None) for d, p, s in points}
+    got = match.evidence(spark.createDataFrame(points, schema), spark.createDataFrame(facts, schema), "doc_id", 0.3).collect()
+    assert {(r.doc_id, r.pos): r.fact for r in got} == want
+
+
 def test_keywords_and_search(spark):
     tags = spark.createDataFrame([("常州高校招生政策", ["web"])], "t string, tags array<string>")
-    kw = tags.select(catalog.keyword_hits(F.col("t"), F.col("tags")).alias("k")).first().k
+    kw = tags.select(match.keyword_hits(F.col("t"), F.col("tags")).alias("k")).first().k
     assert kw == ["web", "常州", "招生", "政策", "高校"]
     rows = spark.createDataFrame([(1, "Alpha", "x"), (2, "b", "ALPHA")], "id int, title string, content string")
     q = spark.createDataFrame([(" alpha ",), ("",), ("a x",)], "query string")
-    got = sorted((r.query, r.id) for r in catalog.searched(rows, q, [F.col("title"), F.col("content")]).collect())
+    got = sorted((r.query, r.id) for r in match.searched(rows, q, [F.col("title"), F.col("content")]).collect())
     assert got == [("", 1), ("", 2), (" alpha ", 1), (" alpha ", 2), ("a x", 1)]
 
 
@@ -212,7 +255,8 @@ def test_stream_rerun_adds_nothing(spark, tmp_path):
 def test_small_rewrites(spark):
     assert values(spark, lambda t: X.excerpt(t, F.lit("f")), "一。 二！三", "", "长" * 200) == ["一。二！", "f", "长" * 108 + "..."]
     assert values(spark, X.masked_persons, "小明同学和张某某家长") == ["某同学和张某家长"]
-    assert values(spark, X.rewritten, "我们觉得很重要！！", "，如果可以。") == ["凭他教育觉得不容忽视", "若可考虑"]
+    assert values(spark, lambda t: X.rewritten(t, owner="某社"), "我们觉得很重要！！", "，如果可以。") == ["某社觉得不容忽视", "若可考虑"]
+    assert values(spark, X.rewritten, "我们觉得很重要！！") == ["我们的判断是不容忽视"]
     assert values(spark, lambda t: X.condensed(t, 10), "一二三四五六，七八九十十一", "一，二三四五六七八九十十一", "短") == ["一二三四五六", "一，二三四五六七八九", "短"]
     assert values(spark, X.needs_caution, "预计明年", "2024年", "平常") == [True, True, False]
 
@@ -233,3 +277,26 @@ def test_video_stream(spark, tmp_path):
 
     assert go([row(1, 1, 200), row(2, 1, 300), row(3, 2, 5)]) == [1]
     assert go([row(4, 1, 200), row(5, 3, 200)]) == [1, 5]
+
+
+def test_video_stream_creators_and_play_urls(spark, tmp_path):
+    from inkwell.streaming.collect import arrived, collect_videos, stored_creators, stored_videos
+
+    cols = "pos int, title string, creator string, platform string, scope string, original_url string, play_url string, likes int, saves int"
+    row = lambda p, u, who, play="": (p, "高考", who, "a", "b", f"https://d/video/{u}", play, 200, 0)
+    limits = spark.createDataFrame([("a", "b", 100, 100)], "platform string, scope string, likes int, saves int")
+    known = spark.createDataFrame([("off", ["高考"], False)], "name string, keywords array<string>, enabled boolean")
+    path = lambda n: str(tmp_path / n)
+
+    def go(rows):
+        spark.createDataFrame(rows, cols).coalesce(1).write.mode("append").parquet(path("in"))
+        collect_videos(spark.readStream.schema(cols).parquet(path("in")), path("t"), path("log"), path("cp"), limits, lambda: known, ("高考",)).awaitTermination()
+        return stored_videos(spark, path("t"), cols)
+
+    first = go([row(1, 1, "new"), row(2, 2, "off"), row(3, 3, "two", "own")])
+    assert {r.pos: r.play_url for r in first.collect()} == {1: "", 3: "own"}
+    assert {(r.name, r.platform, r.enabled) for r in stored_creators(spark, path("t-creators")).collect()} == {("new", "a", True), ("two", "a", True)}
+    second = go([row(4, 1, "new", "late"), row(5, 3, "two", "other"), row(6, 4, "new")])
+    assert {r.pos: r.play_url for r in second.collect()} == {1: "late", 3: "own", 6: ""}
+    assert [r.pos for r in arrived(second).collect()] == [6] and arrived(second, -1).count() == 3
+    assert stored_creators(spark, path("t-creators")).count() == 2
