@@ -3,7 +3,8 @@
 A word is the bag of its character n-grams and itself, hashed into a fixed table of vectors;
 a passage of ``PASSAGE`` consecutive words is the mean of its words' vectors, and a linear
 softmax over that mean gives its class. A text scores as its most toxic passage, so a long
-text is not diluted; training lets each text learn through that passage. Misspelt words
+text is not diluted; training lets each text learn through that passage. Passages stand side
+by side in training and overlap in scoring, so that none is cut in half. Misspelt words
 share most n-grams, hence vectors, with the words they hide.
 
 Fitting uses a bounded sample: at most ``most_labels`` labelled rows, those with the
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 from inkwell.llm.common import returning_memory, table
 from inkwell.llm.shingles import TO_WORDS
 
-BUCKETS, DIM, GRAMS, PASSAGE = 1 << 16, 4, (3, 4, 5, 6), 40
+BUCKETS, DIM, GRAMS, PASSAGE, STRIDE = 1 << 16, 4, (3, 4, 5, 6), 40, 10
 MOST_LABELS, EPOCHS, SEED, CACHE = 8000, 40, 5, 200_000
 #: A vector is learned only if that many pairs of word and labelled text share its bucket; DECAY shrinks it each step.
 LEAST_PAIRS, DECAY, RATE, FLOOR = 25, 0.03, 3.0, 0.9998
@@ -209,15 +210,19 @@ class Scorer:
         return np.array([known[w] for w in words], np.float64)
 
     def __call__(self, text: str | None) -> float:
-        words, best = words_of(text), -np.inf
-        for i in range(0, len(words), PASSAGE * 2500):
-            s = self.word_scores(words[i : i + PASSAGE * 2500])
-            cuts = np.arange(0, len(s), PASSAGE)
-            means = np.add.reduceat(s, cuts) / np.minimum(PASSAGE, len(s) - cuts)
-            best = max(best, float(means.max()))
-        if not words:
-            best = float(self.word_scores([b""])[0])
-        return 1 / (1 + np.exp(-np.clip(best + self.bias, -60, 60)))
+        return float(1 / (1 + np.exp(-np.clip(self.log_odds(text), -60, 60))))
+
+    def log_odds(self, text: str | None) -> float:
+        """Of the most toxic of all passages that begin STRIDE words apart, and of the last one."""
+        words, best = words_of(text) or [b""], -np.inf
+        last = max(len(words) - PASSAGE, 0)
+        for i in range(0, last + 1, STRIDE * 10_000):
+            s = np.concatenate([[0.0], np.cumsum(self.word_scores(words[i : i + STRIDE * 10_000 + PASSAGE]))])
+            most = max(len(s) - 1 - PASSAGE, 0)
+            begin = np.minimum(np.arange(0, most + STRIDE, STRIDE), most)
+            end = np.minimum(begin + PASSAGE, len(s) - 1)
+            best = max(best, float(((s[end] - s[begin]) / (end - begin)).max()))
+        return best + self.bias
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS) -> tuple[np.ndarray, float]:
