@@ -5,8 +5,9 @@ fraction (r - 1/2) / n. Sorted by that fraction the sources interleave in propor
 equal cuts of the sorted order give shards whose row counts differ by one at most.
 
 Neither rank is taken in one task per source. Both orders are cut into many fine buckets of
-their sort key: rows are numbered inside a bucket, and counts of buckets, summed over a
-small table, give each bucket's offset. A source with a third of all rows thus spreads over
+their sort key: rows are numbered inside a bucket, and each bucket's offset comes from
+the counts of those ahead in its block of buckets, and of the blocks ahead: a task sums at
+most BUCKETS_A_BLOCK rows of the one, and one row of the other for four million rows. A source with a third of all rows thus spreads over
 as many buckets as its rows need.
 
 Cases: a null source is a stratum of its own; a null text is empty (size 1); rows of equal
@@ -21,16 +22,20 @@ from pyspark.sql import functions as F
 
 from inkwell.llm.common import materialize, table
 
-SHARDS, SEED, ROWS_A_BUCKET = 8, 17, 4000
+SHARDS, SEED, ROWS_A_BUCKET, BUCKETS_A_BLOCK = 8, 17, 1000, 4096
 
 
 def _numbered(df: DataFrame, strata: list[str], bucket: str, order: list[Column], name: str) -> DataFrame:
     """Add ``name``: the 1-based rank in (bucket, order) within the strata."""
     keys = [*strata, bucket]
     df = df.withColumn(f"{name}_in", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
-    counts = df.groupBy(*keys).agg(F.count("*").alias(f"{name}_n"))
-    before = F.sum(f"{name}_n").over(Window.partitionBy(*strata).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select(*keys, F.coalesce(before, F.lit(0)).alias(f"{name}_before"))
+    counts = df.groupBy(*keys).agg(F.count("*").alias(f"{name}_n")).withColumn(f"{name}_block", F.floor(F.col(bucket) / BUCKETS_A_BLOCK))
+    ahead = lambda *of: Window.partitionBy(*of).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = counts.groupBy(*strata, f"{name}_block").agg(F.sum(f"{name}_n").alias(f"{name}_sum"))
+    blocks = blocks.withColumn(f"{name}_ahead", F.coalesce(F.sum(f"{name}_sum").over(ahead(*strata).orderBy(f"{name}_block")), F.lit(0))).drop(f"{name}_sum")
+    inside = F.coalesce(F.sum(f"{name}_n").over(ahead(*strata, f"{name}_block").orderBy(bucket)), F.lit(0))
+    counts = counts.withColumn(f"{name}_inside", inside).join(blocks, [*strata, f"{name}_block"])
+    counts = counts.select(*keys, (F.col(f"{name}_inside") + F.col(f"{name}_ahead")).alias(f"{name}_before"))
     counts = counts.select(*[F.col(k).alias(f"{name}_{k}") for k in keys], f"{name}_before")
     same = [df[k].eqNullSafe(counts[f"{name}_{k}"]) for k in keys]
     out = df.join(counts, same, "left")
