@@ -5,8 +5,10 @@ is ``size`` consecutive words of an item, or the whole item where it has fewer.
 of every training text is hashed and looked up in the set; a hit is verified word by word,
 and then marks its words. Documents can be dropped, or their hit words cut out.
 
-The set is broadcast only while it has at most ``most_broadcast`` windows, each of bounded
-length; beyond that the same join is shuffled by hash. Only DataFrame functions run.
+The set is broadcast only while it has at most ``most_broadcast`` windows; beyond that only
+keys, places and hashes of windows are shuffled to the join, and the words of texts with a
+candidate, few, are fetched to verify it. Items shorter than ``size`` add at most
+``size`` - 1 further lengths of windows. Only DataFrame functions run.
 
 Cases: null and empty texts have no words; an item without words has no window; an item
 whose id is null marks words but has no id to list; repeated items and ids count once;
@@ -48,9 +50,9 @@ def find_hits(docs: DataFrame, windows: DataFrame, text: str = "text", most_broa
     """
     sizes = windows.agg(F.count("*").alias("n"), F.sort_array(F.collect_set("len")).alias("lens")).first()
     lens = sizes["lens"] or [SIZE]
-    side = F.broadcast(windows) if sizes["n"] <= most_broadcast else windows
-    d = docs.select(text_key(text).alias("_dec_key"), words_of(text).alias("_dec_words"))
-    d = d.withColumn("_dec_n", F.size("_dec_words")).filter(F.col("_dec_n") >= lens[0])
+    few = sizes["n"] <= most_broadcast
+    bodies = docs.select(text_key(text).alias("_dec_key"), words_of(text).alias("_dec_words"))
+    d = bodies.withColumn("_dec_n", F.size("_dec_words")).filter(F.col("_dec_n") >= lens[0])
     d = d.withColumn("_dec_i", F.explode(F.sequence(F.lit(1), F.col("_dec_n") - (lens[0] - 1))))
     if len(lens) == 1:
         d = d.withColumn("_dec_len", F.lit(lens[0]))
@@ -58,10 +60,17 @@ def find_hits(docs: DataFrame, windows: DataFrame, text: str = "text", most_broa
         d = d.withColumn("_dec_len", F.explode(F.array(*map(F.lit, lens)))).filter("_dec_i + _dec_len - 1 <= _dec_n")
     gram = F.slice("_dec_words", F.col("_dec_i"), F.col("_dec_len"))
     d = d.withColumn("_dec_hash", F.xxhash64(gram))
+    at = (d["_dec_hash"] == windows["hash"]) & (d["_dec_len"] == windows["len"])
     text_gram = F.array_join(gram, " ")
     # The equality is written so that it stays a check on rows whose hash matched, not a join key.
     same = F.startswith(text_gram, F.col("gram")) & F.startswith(F.col("gram"), text_gram)
-    hits = d.join(side, (d["_dec_hash"] == windows["hash"]) & (d["_dec_len"] == windows["len"]) & same)
+    if few:
+        hits = d.join(F.broadcast(windows), at & same)
+    else:
+        found = d.select("_dec_key", "_dec_i", "_dec_len", "_dec_hash").distinct().join(windows, at)
+        found = materialize(found.select("_dec_key", "_dec_i", "_dec_len", "gram", "items"), "candidates")
+        one = bodies.join(found.select("_dec_key").distinct(), "_dec_key", "left_semi").groupBy("_dec_key").agg(F.first("_dec_words").alias("_dec_words"))
+        hits = found.join(one, "_dec_key").filter(same)
     hits = hits.groupBy("_dec_key").agg(
         F.array_sort(F.collect_set(F.struct(F.col("_dec_i").alias("start"), F.col("_dec_len").alias("len")))).alias("_dec_spans"),
         F.collect_set("items").alias("_dec_items"),
