@@ -37,13 +37,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Only where the session names none (tests on one machine) is a temporary folder set.
-    """
+    """The folder that driver and executors share, from spark.checkpoint.dir; only a local master may go without, in a temporary one."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(named := tempfile.mkdtemp(prefix="inkwell-"))
     return named.rstrip("/")
 
