@@ -83,15 +83,21 @@ class Scratch:
         self.spark, self.paths = spark, {}
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
-        self.paths[name] = new_path(self.spark, name)
-        return write(df, self.paths[name])
+        """Write a table and read it back; a name may come again, as in rounds."""
+        path = new_path(self.spark, name)
+        self.paths.setdefault(name, []).append(path)
+        return write(df, path)
 
     def drop(self, *names: str) -> None:
+        """Remove all tables written under these names."""
         context = self.spark.sparkContext
-        for name in names:
-            path = context._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+        for each in [p for name in names for p in self.paths.pop(name, [])]:
+            path = context._jvm.org.apache.hadoop.fs.Path(each)
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
+    def drop_but(self, *kept: str) -> None:
+        self.drop(*[name for name in self.paths if name not in kept])
+
 
 def returning_memory(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A mapInArrow function that gives freed memory back to the system at its end, as workers live on in other stages."""

@@ -5,9 +5,10 @@ weighted samples of two texts agree with a probability equal to their weighted J
 similarity; ``BANDS`` bands of ``ROWS`` samples bring similar texts into one bucket, and
 each candidate pair is verified by its exact weighted Jaccard similarity, 0.8 or more.
 
-idf is min(ln((N + 1) / df), ln(1 / RARE)), N and df counted over distinct texts: only shingles in a share RARE of all texts or
-more have less than the greatest idf, and there are at most (shingles a text) / RARE of
-them whatever the corpus. They are found exactly: a table of counts of fixed size over all
+idf is min(ln((N + 1) / df), ln(1 / RARE)), N and df counted over distinct texts: only
+shingles in a share RARE of all texts or more have less than the greatest idf, and there are
+at most (shingles a text) / RARE of them whatever the corpus. (An idf without that bound
+would let one edited word outweigh ten shared ones in a large corpus.) They are found exactly: a table of counts of fixed size over all
 shingles names the cells that may hold one, then only shingles of those cells are counted.
 
 Exact copies collapse first; ids play no part until the end. In a bucket all texts are
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import materialize, returning_memory, table, text_key, text_of
+from inkwell.llm.common import Scratch, materialize, returning_memory, table, text_key, text_of
 from inkwell.llm.graph import components
 from inkwell.llm.shingles import MIX, mixed, shingle_hashes, slices_of, word_hashes
 
@@ -250,15 +251,15 @@ def _prefixes(bodies: DataFrame, idf, lengths: np.ndarray, least: float) -> Data
     return bodies.select("_near_key", "_near_text").mapInArrow(run, "_near_key binary, band long, rest double, total double")
 
 
-def _buckets(members: DataFrame) -> DataFrame:
+def _buckets(members: DataFrame, scratch: Scratch) -> DataFrame:
     """(band, _near_key, degree) of buckets with several texts; degree: companions over all buckets."""
     shared = members.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
     members = members.join(shared, "band")
     degree = members.groupBy("_near_key").agg(F.sum(F.col("size") - 1).alias("degree"))
-    return materialize(members.select("band", "_near_key").join(degree, "_near_key"), "open")
+    return scratch.write("buckets", members.select("band", "_near_key").join(degree, "_near_key"))
 
 
-def _rounds(open_: DataFrame, bodies: DataFrame, idf, least: float) -> tuple[list[DataFrame], DataFrame | None]:
+def _rounds(open_: DataFrame, bodies: DataFrame, idf, least: float, scratch: Scratch) -> tuple[list[DataFrame], DataFrame | None]:
     """Verified links of each bucket's texts to its centres, and the texts that failed against a first centre."""
     found, first = [], None
     for _ in range(ROUNDS):
@@ -266,60 +267,64 @@ def _rounds(open_: DataFrame, bodies: DataFrame, idf, least: float) -> tuple[lis
             break
         centre = open_.groupBy("band").agg(F.max(F.struct("degree", "_near_key")).alias("centre"))
         tried = open_.join(centre.select("band", F.col("centre._near_key").alias("a")), "band").filter("a != _near_key")
-        tried = materialize(tried, "tried")
-        good = materialize(verified(tried.select("a", F.col("_near_key").alias("b")).distinct(), bodies, idf, least), "verified")
+        tried = scratch.write("tried", tried)
+        good = scratch.write("verified", verified(tried.select("a", F.col("_near_key").alias("b")).distinct(), bodies, idf, least))
         found.append(good)
         failed = tried.join(good.select("a", F.col("b").alias("_near_key")), ["a", "_near_key"], "left_anti").select("band", "_near_key", "degree")
-        failed = materialize(failed, "failed")
-        first = failed.select("_near_key").distinct() if first is None else first
+        failed = scratch.write("failed", failed)
+        first = scratch.write("first", failed.select("_near_key").distinct()) if first is None else first
         several = failed.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1").select("band")
-        open_ = materialize(failed.join(several, "band", "left_semi"), "open")
+        open_ = scratch.write("open", failed.join(several, "band", "left_semi"))
+        scratch.drop("buckets", "tried", "failed")
     return found, first
 
 
-def _missed(failed: DataFrame, found: DataFrame, bodies: DataFrame, idf, lengths: np.ndarray, least: float) -> DataFrame:
+def _missed(failed: DataFrame, found: DataFrame, bodies: DataFrame, idf, lengths: np.ndarray, least: float, scratch: Scratch) -> DataFrame:
     """Verified links of the texts in ``failed`` to texts of other components, all those there are."""
     texts = bodies.select("_near_key").join(components(found).withColumnRenamed("node", "_near_key"), "_near_key", "left")
     texts = texts.join(failed.withColumn("failed", F.lit(True)), "_near_key", "left")
-    texts = materialize(texts.select("_near_key", F.coalesce("label", "_near_key").alias("label"), F.coalesce("failed", F.lit(False)).alias("failed")), "labels")
-    rows = materialize(_prefixes(bodies, idf, lengths, least).join(texts, "_near_key"), "prefixes")
+    texts = scratch.write("components", texts.select("_near_key", F.coalesce("label", "_near_key").alias("label"), F.coalesce("failed", F.lit(False)).alias("failed")))
+    rows = scratch.write("prefixes", _prefixes(bodies, idf, lengths, least).join(texts, "_near_key"))
     x = rows.filter("failed").select("band", F.col("_near_key").alias("a"), F.col("label").alias("la"), F.col("rest").alias("ra"), F.col("total").alias("wa"))
     y = rows.select("band", F.col("_near_key").alias("b"), F.col("label").alias("lb"), F.col("rest").alias("rb"), F.col("total").alias("wb"), "failed")
     # Of the first shingle that a pair shares on, both must have what is shared: least / (1 + least) of the sum of their weights.
     enough = F.least("ra", "rb") >= (F.col("wa") + F.col("wb")) * (least / (1 + least) * (1 - 1e-9))
     pairs = x.join(y, "band").filter("la != lb AND (a < b OR NOT failed)").filter(enough).select("a", "b").distinct()
-    return materialize(verified(materialize(pairs, "pairs"), bodies, idf, least), "verified")
+    return scratch.write("verified", verified(scratch.write("pairs", pairs), bodies, idf, least))
 
 
 def links(docs: DataFrame, text: str = "text", least: float = LEAST) -> DataFrame:
     """Verified pairs (a, b, similarity) of keys of different texts, each pair once; enough of them to connect every class."""
+    scratch = Scratch(docs.sparkSession)
     keyed = docs.select(text_key(text).alias("_near_key"), text_of(text).alias("_near_text"))
-    texts = materialize(keyed.groupBy("_near_key").agg(F.first("_near_text").alias("_near_text")), "distinct")
+    texts = scratch.write("distinct", keyed.groupBy("_near_key").agg(F.first("_near_text").alias("_near_text")))
     idf, lengths = common_shingles(texts, "_near_text")
     members = band_table(texts, idf, "_near_text").filter("_near_bands IS NOT NULL").select("_near_key", F.explode("_near_bands").alias("band"))
-    open_ = _buckets(materialize(members, "bands"))
-    bodies = materialize(texts.join(open_.select("_near_key"), "_near_key", "left_semi"), "bodies")
-    found, failed = _rounds(open_, bodies, idf, least)
+    open_ = _buckets(scratch.write("bands", members), scratch)
+    bodies = scratch.write("bodies", texts.join(open_.select("_near_key"), "_near_key", "left_semi"))
+    scratch.drop("distinct", "bands")
+    found, failed = _rounds(open_, bodies, idf, least, scratch)
+    if found and not failed.isEmpty():
+        found.append(_missed(failed, functools.reduce(DataFrame.union, found), bodies, idf, lengths, least, scratch))
+    scratch.drop_but("verified")
     if not found:
         return docs.sparkSession.createDataFrame([], "a binary, b binary, similarity double")
-    if not failed.isEmpty():
-        found.append(_missed(failed, functools.reduce(DataFrame.union, found), bodies, idf, lengths, least))
     every = functools.reduce(DataFrame.union, found)
     return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").dropDuplicates(["a", "b"])
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each distinct text: _near_key, class_id (least id in its class), class_rows, n_links (verified links to other texts found)."""
+    """For each distinct text: _near_key, class_id (least id in its class), class_rows, n_verified (links to other texts that were verified; a class may hold more)."""
     found = materialize(links(docs, text), "links")
     labels = components(found)
     own = docs.select(text_key(text).alias("_near_key"), F.col(doc_id).alias("_near_id")).groupBy("_near_key", "_near_id").agg(F.count("*").alias("n"))
     least = F.min(F.struct(F.col("_near_id").isNull(), "_near_id", "n"))
     own = own.groupBy("_near_key").agg(least["_near_id"].alias("_near_id"), least["n"].alias("_near_same"), F.sum("n").alias("_near_rows"))
-    n = found.select(F.col("a").alias("_near_key")).union(found.select("b")).groupBy("_near_key").agg(F.count("*").alias("n_links"))
+    n = found.select(F.col("a").alias("_near_key")).union(found.select("b")).groupBy("_near_key").agg(F.count("*").alias("n_verified"))
     own = own.join(labels.withColumnRenamed("node", "_near_key"), "_near_key", "left").join(n, "_near_key", "left")
     own = materialize(own.withColumn("label", F.coalesce("label", "_near_key")), "texts")
     groups = own.groupBy("label").agg(F.min("_near_id").alias("class_id"), F.min(F.struct(F.col("_near_id").isNull(), "_near_id", "_near_key"))["_near_key"].alias("_near_first"), F.sum("_near_rows").alias("class_rows"))
-    return own.join(groups, "label").select("_near_key", "_near_id", "_near_same", "_near_first", "class_id", "class_rows", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return own.join(groups, "label").select("_near_key", "_near_id", "_near_same", "_near_first", "class_id", "class_rows", F.coalesce("n_verified", F.lit(0).cast("long")).alias("n_verified"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -336,6 +341,6 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = classes(docs).select("_near_key", "class_id", "class_rows", "n_links")
+    found = classes(docs).select("_near_key", "class_id", "class_rows", "n_verified")
     rows = docs.select("doc_id", text_key().alias("_near_key")).join(found, "_near_key")
-    return rows.select("doc_id", "class_id", "class_rows", "n_links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    return rows.select("doc_id", "class_id", "class_rows", "n_verified", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
