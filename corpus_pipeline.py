@@ -8,6 +8,12 @@ the last returns the columns of documents:
 3. decontamination: documents that hold a benchmark window go;
 4. secrets: found secrets are masked in the text, and n_chars follows; no document goes;
 5. bpe: each text is encoded and decoded; the result has a row a document.
+
+Cases: null and empty texts are not toxic by themselves, are copies of each other (one row of
+them stays), hold no window and no secret, and have no ids; of repeated rows (equal id and
+text) one stays, of rows that tie in a class that with the least id, a null id last; texts of
+any length are read whole; an empty table passes through all stages; further columns, also
+those named as an operator's own, come through the first four stages as they are.
 """
 
 from __future__ import annotations
