@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import lexicon as L
 from inkwell.functions import text as X
+from inkwell.operators.dedup import written
 
 
 def without_chapters(text: Column, labels=L.CHAPTERS) -> Column:
@@ -99,7 +100,8 @@ def distilled(docs: DataFrame, key: str, title: str, text: str, domain=L.DOMAIN,
     """Per document: thesis, key_points, key_data and cases, as far as its text has 50 characters."""
     clean = without_noise(F.col(text), noise, chapters)
     base = docs.select(key, F.col(title).alias("_title"), clean.alias("_text")).filter(F.length("_text") >= 50)
-    rows = without_promotion(sentence_table(base, key, "_text"), promotion)
+    # Scores and pairs both read the sentences: they are cut once and written.
+    rows = written(without_promotion(sentence_table(base, key, "_text"), promotion), "sentences")
     rows = scored_sentences(rows, key, domain, letters, data)
     best = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "pos", "sentence"))), lambda x: x["sentence"])
     plain = F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"])
