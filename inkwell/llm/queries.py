@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkwell.llm import bpe, decontaminate, exactsub, lm, neardup, passages, quality, secrets, shards, toxicity
+from inkwell.llm import bpe, decontaminate, dialogues, exactsub, lm, neardup, passages, quality, secrets, shards, toxicity
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_repeated_passages": passages.op8_repeated_passages,
     "op9_bpe": bpe.op9_bpe,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_conversation_repair": dialogues.op11_conversation_repair,
 }
 ORACLES = {
     "op1_secret_scans": secrets.ORACLE,

@@ -20,7 +20,7 @@ from tests.oracle import assert_same
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-OPERATORS = sorted(QUERIES)
+OPERATORS = sorted(set(QUERIES) - {"op11_conversation_repair"})  # that one reads conversations, see test_dialogues.py
 
 
 def documents(spark, texts, ids=None):
