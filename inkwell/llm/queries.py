@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkwell.llm import bpe, decontaminate, dialogues, exactsub, lm, neardup, passages, quality, secrets, shards, toxicity
+from inkwell.llm import bpe, decontaminate, dialogues, digests, exactsub, lm, middle, neardup, passages, quality, secrets, shards, toxicity
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
@@ -16,9 +16,12 @@ QUERIES = {
     "op9_bpe": bpe.op9_bpe,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_conversation_repair": dialogues.op11_conversation_repair,
+    "op12_fill_in_middle": middle.op12_fill_in_middle,
+    "op13_fingerprints": digests.op13_fingerprints,
 }
 ORACLES = {
     "op1_secret_scans": secrets.ORACLE,
     "op2_decontamination": decontaminate.ORACLE,
     "op5_sharding": shards.ORACLE,
+    "op12_fill_in_middle": middle.ORACLE,
 }
