@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-from inkwell.plans import catalog, collected  # noqa: F401 - registers its queries
+from inkwell.plans import catalog, collected, planned  # noqa: F401 - registers its queries
 from tests.oracle import assert_same
 
 SF = "/root/testdata/sf0.001"
