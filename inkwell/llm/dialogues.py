@@ -19,7 +19,7 @@ and in a stream, beside its audit.
 
 Cases: nulls are read as one space, in ids of the damage's key, roles and texts (the id that
 comes out stays null, and null ids are one conversation); a null turn comes first; rows that
-tie in turn come by role, then text; repeated rows are duplicates but the first; an empty or
+tie in turn come by role, then by their text's hash; repeated rows are duplicates but the first; an empty or
 white text is blank, whatever else it is; an empty role stands nowhere, so its row goes or
 gets a role; a conversation without rows costs nothing and has
 an empty audit; an empty table gives none; further columns are not read.
@@ -141,10 +141,11 @@ def damaged(rows: DataFrame) -> DataFrame:
 
 
 def ordered(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """Rows with their ``place``: greater places come later in the order (conversation, turn, role, text)."""
+    """Rows with their ``place``: greater places come later in the order (conversation, turn, role, hash of the text)."""
     rows = rows.select("conv_id", "turn", plain("role").alias("role"), plain("text").alias("text"))
-    keys = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text"]
-    ranges = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    rows = rows.withColumns({"_said": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})
+    keys = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "_said", "_row"]  # the driver draws ranges from a sample of keys
+    ranges = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_said", "_row")
     return scratch.write("ordered", ranges.withColumn("place", F.monotonically_increasing_id()))
 
 

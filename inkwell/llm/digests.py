@@ -15,7 +15,7 @@ Counting runs in numpy over pieces of bounded size, of one long text or of many
 
 Cases: a null text is empty; texts of under three bytes have no triplet, all codes 0; equal
 texts have equal fingerprints, also under one id; two texts without triplets are alike but
-for their lengths; ids that tie come by text, null ids last; a single document is its own
+for their lengths; ids that tie come by their text's hash, null ids last; a single document is its own
 neighbour; further columns pass through ``fingerprinted``, but one named as the added column
 is replaced; an empty table stays empty.
 """
@@ -217,7 +217,8 @@ def neighbours(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     given = pa.schema([("doc_id", to_arrow_type(kind)), *[(n, arrow[t]) for n, t in RESULT]])
     ends = pa.schema([*given, ("part", pa.int64()), ("first", pa.string()), ("last", pa.string())])
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
-    keys = [F.col("doc_id").desc_nulls_last(), F.col("text")]
+    rows = rows.withColumns({"_said": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})
+    keys = [F.col("doc_id").desc_nulls_last(), "_said", "_row"]  # the driver draws ranges from a sample of keys
 
     def along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows whose next one is in this range, then one row with the range's ends: its last id, first and last text."""
@@ -246,7 +247,7 @@ def neighbours(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
 
     schema = T.StructType([T.StructField("doc_id", kind), *result.fields])
     extra = T.StructType.fromDDL("part long, first string, last string")
-    sorted_ = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    sorted_ = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_said", "_row")
     made = Scratch(docs.sparkSession).write("along", sorted_.mapInArrow(returning_memory(along), T.StructType([*schema.fields, *extra.fields])))
     ranges = made.filter("part IS NOT NULL")  # one row a partition
     order = Window.orderBy("part")

@@ -9,6 +9,7 @@ import re
 import zlib
 
 import pytest
+import xxhash
 
 from inkwell.llm import dialogues
 from inkwell.llm.common import Scratch
@@ -78,6 +79,10 @@ def rebuilt(rows, audit):
     return out
 
 
+def hashed(text):
+    return int.from_bytes(xxhash.xxh64_digest(text.encode(), seed=42), "big", signed=True)
+
+
 def expected(table):
     """What the query must return, by plain loops."""
     by = {}
@@ -91,7 +96,7 @@ def expected(table):
         held += [(turn, "user" if kind == 4 else role, text)] * (2 if kind == 3 else 1)
     out = {}
     for conv, held in by.items():
-        held.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+        held.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1], hashed(r[2])))
         turns = {t for t, _, _ in held} - {None}
         rows = [r[1:] for r in held]
         marks = faults(rows)

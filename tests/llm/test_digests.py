@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 
 from inkwell.llm import digests
 
@@ -40,7 +41,8 @@ def alike(a, b):
 
 
 def expected(rows):
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    hashed = lambda t: int.from_bytes(xxhash.xxh64_digest(t.encode(), seed=42), "big", signed=True)
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashed(r[1] or "")))
     out = []
     for k, (i, t) in enumerate(order):
         t, follows = t or "", order[(k + 1) % len(order)][1] or ""
