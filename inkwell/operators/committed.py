@@ -195,8 +195,9 @@ def vacuumed(spark: SparkSession, path: str, keep: int = 1) -> list[str]:
     used = {f for name in found[-keep:] for fs in manifest(spark, path, int(name.split(".")[0])).folders.values() for f in fs}
     out = []
     for commit in names(spark, f"{path}/data"):
-        for n in names(spark, f"{path}/data/{commit}"):
-            if n.startswith("_bucket=") and f"{commit}/{n}" not in used:
-                removed(spark, f"{path}/data/{commit}/{n}")
-                out.append(f"{commit}/{n}")
+        parts = [n for n in names(spark, f"{path}/data/{commit}") if n.startswith("_bucket=")]
+        unused = [n for n in parts if f"{commit}/{n}" not in used]
+        for n in unused if len(unused) < len(parts) else [""]:
+            removed(spark, f"{path}/data/{commit}/{n}")
+        out += [f"{commit}/{n}" for n in unused]
     return out

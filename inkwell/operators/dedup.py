@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -21,9 +24,29 @@ def shared_path(df: DataFrame, name: str) -> str:
     return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_scopes = threading.local()
+
+
+@contextlib.contextmanager
+def removed_after(spark: SparkSession) -> Iterator[None]:
+    """Tables ``written`` inside are removed at its end, so what it leaves must not read them: a stream's batch, a job that writes its result."""
+    stack = _scopes.__dict__.setdefault("stack", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        context = spark.sparkContext
+        for each in stack.pop():
+            path = context._jvm.org.apache.hadoop.fs.Path(each)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: cuts lineage and outlives executors."""
-    df.write.parquet(path := shared_path(df, name))
+    path = shared_path(df, name)
+    if stack := _scopes.__dict__.get("stack"):
+        stack[-1].append(path)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

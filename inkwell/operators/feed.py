@@ -50,14 +50,19 @@ def first_creators(candidates: DataFrame, creators: DataFrame, keywords=L.DISCOV
     return names.select("name", "_one.platform", "_one.scope", F.array(*map(F.lit, keywords)).alias("keywords"), F.lit(True).alias("enabled"))
 
 
-def outcomes(candidates: DataFrame, thresholds: DataFrame, stored: DataFrame, creators: DataFrame, keywords=L.DISCOVERY, pos: str = "pos") -> DataFrame:
+def video_key() -> Column:
+    return F.nullif(X.video_url_key(F.col("original_url")), F.lit(""))
+
+
+def outcomes(candidates: DataFrame, thresholds: DataFrame, stored: DataFrame, creators: DataFrame, keywords=L.DISCOVERY, pos: str = "pos", key: str | None = None) -> DataFrame:
     """Each candidate with one ``outcome``: not_hot, duplicate, disabled, off_topic, repeated or created.
 
     Gates run in this order: hotness, key stored already, creator enabled (a creator not
     known yet counts as enabled, with the default keywords), topic, first of its key.
+    ``key`` names the column of ``stored`` that holds keys; without it they come from its URLs.
     """
-    c = with_hotness(candidates, thresholds).withColumn("_key", F.nullif(X.video_url_key(F.col("original_url")), F.lit("")))
-    known = stored.select(X.video_url_key(F.col("original_url")).alias("_key")).distinct().withColumn("_stored", F.lit(True))
+    c = with_hotness(candidates, thresholds).withColumn("_key", video_key())
+    known = stored.select((F.col(key) if key else video_key()).alias("_key")).distinct().withColumn("_stored", F.lit(True))
     c = c.join(known, "_key", "left")
     who = creators.select(F.col("name").alias("creator"), F.col("enabled").alias("_enabled"), F.col("keywords").alias("_keywords"))
     c = c.join(who, "creator", "left")

@@ -906,10 +906,12 @@ def g7(spark, d):
     return rows.select("doc_id", F.array_join(distil.pick(F.transform("_b", lambda x: x["sentence"]), 6, 0.7), "|").alias("key_data"))
 
 
-@query("g8_panels", f"WITH {RAW}, {VIDEOS} SELECT * FROM (SELECT 'news' AS panel, pos AS id FROM raw ORDER BY published_at DESC NULLS LAST, pos DESC LIMIT 4) UNION ALL SELECT * FROM (SELECT 'video', id FROM videos ORDER BY likes DESC, id DESC LIMIT 4)")
+@query("g8_panels", f"WITH {RAW}, {VIDEOS} SELECT * FROM (SELECT 'news' AS panel, pos AS id FROM raw ORDER BY published_at DESC NULLS LAST, pos DESC LIMIT 4) UNION ALL SELECT * FROM (SELECT 'video', id FROM videos ORDER BY likes DESC, id DESC LIMIT 4) UNION ALL SELECT * FROM (SELECT 'log', event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 5)")
 def g8(spark, d):
+    """Four news, four videos and the last five entries of the log."""
+    log = read(spark, d, "events").orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(5).select(F.lit("log").alias("panel"), F.col("event_id").alias("id"))
     news = raw_items(spark, d).orderBy(F.col("published_at").desc_nulls_last(), F.col("pos").desc()).limit(4).select(F.lit("news").alias("panel"), F.col("pos").alias("id"))
-    return news.union(videos(spark, d).orderBy(F.col("likes").desc(), F.col("id").desc()).limit(4).select(F.lit("video"), "id"))
+    return news.union(videos(spark, d).orderBy(F.col("likes").desc(), F.col("id").desc()).limit(4).select(F.lit("video"), "id")).union(log)
 
 
 @query("g9_log_tail", "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")
