@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def shared_path(df: DataFrame, name: str) -> str:
+def shared_path(df: DataFrame | SparkSession, name: str) -> str:
     """A new path in the folder of spark.checkpoint.dir; only a local master may go without, in a temporary one."""
-    context = df.sparkSession.sparkContext
+    context = getattr(df, "sparkSession", df).sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
         if not context.master.startswith("local"):
@@ -41,12 +41,17 @@ def removed_after(spark: SparkSession) -> Iterator[None]:
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage and outlives executors."""
+def table_path(df: DataFrame | SparkSession, name: str) -> str:
+    """A new path that goes with the innermost ``removed_after``, if there is one."""
     path = shared_path(df, name)
     if stack := _scopes.__dict__.get("stack"):
         stack[-1].append(path)
-    df.write.parquet(path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder and read again: cuts lineage and outlives executors."""
+    df.write.parquet(path := table_path(df, name))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

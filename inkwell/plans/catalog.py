@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import lexicon as L
 from inkwell.functions import text as X
 from inkwell.operators import dedup, distil, feed, match, store, tasks
+from inkwell.sources import adapters
 from inkwell.sources import pages as P
 from inkwell.sources import payloads as J
 
@@ -922,11 +923,29 @@ def g9(spark, d):
 # --- H: sets ------------------------------------------------------------------------------------------------
 
 
+def five_adapters(spark, d):
+    r = raw_items(spark, d).select("pos", "title")
+
+    def unreachable():
+        raise ConnectionError("no answer")
+
+    torn = r.withColumn("title", F.when(F.col("pos") % 50 == 7, F.raise_error(F.lit("torn page"))).otherwise(F.col("title")).cast("string"))
+    good = {str(k): (lambda k=k: r.filter(F.col("pos") % 3 == k)) for k in range(3)}
+    return adapters.gathered(spark, {**good, "unreachable": unreachable, "torn": lambda: torn}, "pos long, title string")
+
+
 @query("h1_union", f"WITH {RAW} SELECT 0 AS adapter, pos, title FROM raw WHERE pos % 3 = 0 UNION ALL SELECT 1, pos, title FROM raw WHERE pos % 3 = 1 UNION ALL SELECT 2, pos, title FROM raw WHERE pos % 3 = 2")
 def h1(spark, d):
-    r = raw_items(spark, d).select("pos", "title")
-    parts = [r.filter(F.col("pos") % 3 == k).select(F.lit(k).alias("adapter"), "pos", "title") for k in range(3)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """Three adapters' items; two more fail, one when it is called and one when its rows are made."""
+    return five_adapters(spark, d)[0].select(F.col("adapter").cast("int").alias("adapter"), "pos", "title")
+
+
+@query("h1_outcomes", f"WITH {RAW} SELECT CAST(pos % 3 AS VARCHAR) AS adapter, count(*) AS items, false AS failed FROM raw GROUP BY 1 UNION ALL SELECT 'unreachable', 0, true UNION ALL SELECT 'torn', 0, true")
+def h1_outcomes(spark, d):
+    """How many items each adapter gave, and which failed."""
+    items, failures = five_adapters(spark, d)
+    lost = spark.createDataFrame([(f.adapter, 0, True) for f in failures], "adapter string, items long, failed boolean")
+    return items.groupBy("adapter").agg(F.count("*").alias("items"), F.lit(False).alias("failed")).union(lost)
 
 
 @query("h2_distinct_lines", "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents) SELECT doc_id, array_to_string(list_filter(x, lambda y, i: list_position(x, y) = i), chr(10)) AS text FROM l")
