@@ -1,9 +1,7 @@
-"""Rows against tables of words, names and facts: source names, tags, keywords, search, evidence."""
+"""Rows against tables of words, names and facts: source names, tags, keywords, evidence."""
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,30 +52,6 @@ def keyword_list(words: Column, default=L.DISCOVERY) -> Column:
     return F.when(F.size(kept) == 0, F.array(*map(F.lit, default))).otherwise(kept)
 
 
-def searched(rows: DataFrame, queries: DataFrame, fields: list[Column], id_: str = "id", block: int = 2000) -> DataFrame:
-    """(query, id): every query, trimmed and in lower case, as a part of a row's joined fields; an empty one finds all.
-
-    Queries are taken in blocks of stated size: a block is one array that travels with its
-    part of the plan, so rows are read once a block and tested against all of it.
-    """
-    text = F.lower(F.concat_ws(" ", *fields))
-    asked = queries.select("query").filter("query IS NOT NULL").distinct()
-    held, parts = [], []
-
-    def found(block_: list[str]) -> DataFrame:
-        hits = X.bound(text, lambda t: F.filter(F.array(*map(F.lit, sorted(block_))), lambda q: t.contains(F.lower(F.trim(q)))))
-        return rows.select(F.explode(hits).alias("query"), id_)
-
-    for row in asked.toLocalIterator():
-        held.append(row["query"])
-        if len(held) == block:
-            parts.append(found(held))
-            held = []
-    if held or not parts:
-        parts.append(found(held) if held else rows.select(F.lit("").alias("query"), id_).limit(0))
-    return functools.reduce(DataFrame.union, parts)
-
-
 def evidence(points: DataFrame, facts: DataFrame, key: str, least: float = 0.12) -> DataFrame:
     """For each point the first fact of its document that is alike by letters; facts travel as one array a document."""
     f = facts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "sentence"))).alias("_facts"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import lexicon as L
 from inkwell.functions import text as X
-from inkwell.operators import dedup, distil, feed, match, store, tasks
+from inkwell.operators import dedup, distil, feed, match, store, substrings, tasks
 from inkwell.sources import adapters
 from inkwell.sources import pages as P
 from inkwell.sources import payloads as J
@@ -576,7 +576,16 @@ def d2(spark, d):
 WHERE contains(lower(concat_ws(' ', title, summary, content, array_to_string(tags, ' '))), lower(trim(query)))""")
 def d3(spark, d):
     q = spark.createDataFrame([("The ",), ("SRC1",), ("heit",), ("ción de",), ("",)], "query string")
-    return match.searched(materials(spark, d), q, [F.col("title"), F.col("summary"), F.col("content"), F.array_join("tags", " ")])
+    return substrings.searched(materials(spark, d), q, [F.col("title"), F.col("summary"), F.col("content"), F.array_join("tags", " ")])
+
+
+@query("d3_search_index", f"""WITH {MATERIALS}, q AS (SELECT DISTINCT substr(text, 5, 6 + CAST(doc_id // 20 % 30 AS INT)) AS query FROM documents WHERE doc_id % 20 = 0) SELECT query, id FROM q, materials
+WHERE contains(lower(concat_ws(' ', title, summary, content, array_to_string(tags, ' '))), lower(trim(query)))""")
+def d3_index(spark, d):
+    """A piece of every twentieth document, of 6 to 35 characters, looked for in all rows."""
+    docs = read(spark, d, "documents").filter("doc_id % 20 = 0")
+    q = docs.select(F.substring("text", F.lit(5), (6 + F.expr("doc_id div 20 % 30")).cast("int")).alias("query"))
+    return substrings.searched(materials(spark, d), q, [F.col("title"), F.col("summary"), F.col("content"), F.array_join("tags", " ")])
 
 
 @query("d4_status", f"WITH {MATERIALS} SELECT id, title FROM materials WHERE status = 'pending'")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import lexicon as L
 from inkwell.functions import text as X
-from inkwell.operators import dedup, distil, feed, match, store
+from inkwell.operators import dedup, distil, feed, match, store, substrings
 from inkwell.plans import catalog
 from inkwell.sources import pages as P
 from inkwell.sources import payloads as J
@@ -202,9 +202,9 @@ def test_chapters_and_noise(spark):
 def test_search_goes_in_blocks(spark):
     rows = spark.createDataFrame([(k, f"w{k}x") for k in range(30)], "id int, title string")
     q = spark.createDataFrame([(f"w{k}x",) for k in range(25)] + [(None,)], "query string")
-    got = match.searched(rows, q, [F.col("title")], block=4).collect()
+    got = substrings.searched(rows, q, [F.col("title")], few=2).collect()
     assert sorted((r.query, r.id) for r in got) == sorted((f"w{k}x", k) for k in range(25))
-    assert match.searched(rows, q.limit(0), [F.col("title")]).count() == 0
+    assert substrings.searched(rows, q.limit(0), [F.col("title")]).count() == 0
 
 
 def test_evidence_by_hand(spark):
@@ -228,7 +228,7 @@ def test_keywords_and_search(spark):
     assert kw == ["web", "常州", "招生", "政策", "高校"]
     rows = spark.createDataFrame([(1, "Alpha", "x"), (2, "b", "ALPHA")], "id int, title string, content string")
     q = spark.createDataFrame([(" alpha ",), ("",), ("a x",)], "query string")
-    got = sorted((r.query, r.id) for r in match.searched(rows, q, [F.col("title"), F.col("content")]).collect())
+    got = sorted((r.query, r.id) for r in substrings.searched(rows, q, [F.col("title"), F.col("content")]).collect())
     assert got == [("", 1), ("", 2), (" alpha ", 1), (" alpha ", 2), ("a x", 1)]
 
 
