@@ -123,9 +123,36 @@ def import_snapshot(spark, path: str, schemas: dict[str, str]) -> dict[str, Data
 def parse_snapshot(documents: DataFrame, column: str = "document") -> DataFrame:
     """One-document snapshots: add ``valid`` (all four members are arrays) and the members' sizes."""
     members = ("sources", "tasks", "materials", "drafts")
-    doc = F.try_parse_json(column)
-    size = {m: F.json_array_length(F.get_json_object(column, f"$.{m}")) for m in members}
-    valid = F.lit(True)
+    size = {f"n_{m}": F.json_array_length(F.get_json_object(column, f"$.{m}")) for m in members}
+    return documents.withColumn("valid", whole_document(F.col(column), members)).withColumns(size)
+
+
+def export_documents(entities: dict[str, DataFrame], key: str, exported_at: str, version: int = 1) -> DataFrame:
+    """(key, document): one JSON document a workspace, with its version, time and each entity's rows in order; a null key is a workspace too."""
+    rows = None
+    for name, df in entities.items():
+        fields = F.struct(*[c for c in df.columns if c != key])
+        part = df.select(F.col(key).alias("_key"), F.lit(name).alias("_name"), F.to_json(fields, {"ignoreNullFields": "false"}).alias("_row"))
+        rows = part if rows is None else rows.union(part)
+    kept = [F.array_sort(F.collect_list(F.when(F.col("_name") == n, F.col("_row")))).alias(n) for n in entities]
+    grouped = rows.groupBy("_key").agg(*kept)
+    arrays = [F.concat(F.lit(f'"{n}":['), F.array_join(n, ","), F.lit("]")) for n in entities]
+    head = F.lit(f'{{"version":{version},"exportedAt":"{exported_at}"')
+    return grouped.select(F.col("_key").alias(key), F.concat(F.concat_ws(",", head, *arrays), F.lit("}")).alias("document"))
+
+
+def import_documents(documents: DataFrame, key: str, schemas: dict[str, str], column: str = "document") -> tuple[dict[str, DataFrame], DataFrame]:
+    """Each entity's rows with their workspace's key, and the keys of documents that aren't whole: no JSON, or a member that is no array."""
+    members = ", ".join(f"`{n}`: ARRAY<STRUCT<{s}>>" for n, s in schemas.items())
+    parsed = documents.withColumn("_ok", whole_document(F.col(column), tuple(schemas)))
+    doc = F.from_json(F.when(F.col("_ok"), F.col(column)), f"STRUCT<{members}>")
+    good = parsed.filter("_ok").select(key, doc.alias("_doc"))
+    out = {n: good.select(key, F.explode(F.col(f"_doc.`{n}`")).alias("_row")).select(key, "_row.*") for n in schemas}
+    return out, parsed.filter("NOT _ok").select(key)
+
+
+def whole_document(document: Column, members: tuple[str, ...]) -> Column:
+    ok = F.try_parse_json(document).isNotNull()
     for m in members:
-        valid = valid & F.coalesce(F.get_json_object(column, f"$.{m}").startswith("["), F.lit(False))
-    return documents.withColumn("valid", doc.isNotNull() & valid).withColumns({f"n_{m}": s for m, s in size.items()})
+        ok = ok & F.coalesce(F.get_json_object(document, f"$.{m}").startswith("["), F.lit(False))
+    return F.coalesce(ok, F.lit(False))
