@@ -82,9 +82,18 @@ def unweighed(w: int, width: int) -> tuple[int, str]:
     return w >> 3 * width, f"{low:o}".zfill(width).rstrip("0").translate(LETTERS)
 
 
-def table_of_block(rows: list[tuple[str, bool, bool]], costs: Costs = COSTS) -> list[tuple[int, str] | None]:
-    """For each pair (state before, state after) the cheapest edits of rows (initial, must go, truncated); inserts stand before rows."""
-    width = 3 * len(rows)
+Fact = tuple[str, bool, bool]
+Way = tuple[int, str]
+
+
+def ends(costs: Costs = COSTS) -> list[Way | None]:
+    """What follows the last row, from each state."""
+    return [(0, ""), (2 * costs.insert, "II"), (costs.insert, "I"), (0, "")]
+
+
+def cheapest(rows: list[Fact], after: list[Way | None], costs: Costs = COSTS) -> list[Way | None]:
+    """From each state the cheapest edits of rows (initial, must go, truncated), and of what follows them; inserts stand before rows."""
+    width = 3 * len(rows) + max(len(x[1]) for x in after if x)
     bits, top = 3 * width, 3 * (width - 1)
     mask = (1 << bits) - 1
 
@@ -94,29 +103,37 @@ def table_of_block(rows: list[tuple[str, bool, bool]], costs: Costs = COSTS) ->
     def least(*some: int | None) -> int | None:
         return min((w for w in some if w is not None), default=None)
 
-    out = []
-    for after in STATES:
-        best: list[int | None] = [0 if s == after else None for s in STATES]
-        for initial, must_go, truncated in reversed(rows):
-            extra = costs.truncated if truncated else 0
-            gone = [led(w, costs.delete, 1) for w in best]
-            if not must_go:
-                for s in STATES:
-                    stays = kept_state(s, initial)
-                    gone[s] = least(gone[s], None if stays is None else led(best[stays], extra, 3), led(best[NEXT[s]], costs.rerole + extra, 4))
-            once = [led(gone[NEXT[s]], costs.insert, 2) for s in STATES]
-            twice = [led(once[NEXT[s]], costs.insert, 2) for s in STATES]
-            best = [least(gone[s], once[s], twice[s]) for s in STATES]
-        out.append(best)
-    return [None if (w := out[after][before]) is None else unweighed(w, width) for before in STATES for after in STATES]
-
-
-def folded(tables: list[list[tuple[int, str] | None]], costs: Costs = COSTS) -> tuple[int, str]:
+    best = [None if x is None else weight(*x, width) for x in after]
+    for initial, must_go, truncated in reversed(rows):
+        extra = costs.truncated if truncated else 0
+        gone = [led(w, costs.delete, 1) for w in best]
+        if not must_go:
+            for s in STATES:
+                stays = kept_state(s, initial)
+                gone[s] = least(gone[s], None if stays is None else led(best[stays], extra, 3), led(best[NEXT[s]], costs.rerole + extra, 4))
+        once = [led(gone[NEXT[s]], costs.insert, 2) for s in STATES]
+        twice = [led(once[NEXT[s]], costs.insert, 2) for s in STATES]
+        best = [least(gone[s], once[s], twice[s]) for s in STATES]
+    return [None if w is None else unweighed(w, width) for w in best]
+
+
+def table_of_block(rows: list[Fact], costs: Costs = COSTS) -> list[Way | None]:
+    """The cheapest edits of rows for each pair (state before, state after)."""
+    by_end = [cheapest(rows, [(0, "") if s == after else None for s in STATES], costs) for after in STATES]
+    return [by_end[after][before] for before in STATES for after in STATES]
+
+
+def table_of_whole(rows: list[Fact], costs: Costs = COSTS) -> list[Way | None]:
+    """The same of a conversation that has no other rows: the one pair that counts, with what follows."""
+    return [cheapest(rows, ends(costs), costs)[START], *[None] * (len(STATES) ** 2 - 1)]
+
+
+def folded(tables: list[list[Way | None]], costs: Costs = COSTS) -> Way:
     """The cheapest edits of a conversation from its blocks' tables, in order."""
-    rest: list[tuple[int, str] | None] = [(0, ""), (2 * costs.insert, "II"), (costs.insert, "I"), (0, "")]
+    rest = ends(costs)
     for cells in reversed(tables):
         width = max((len(c[1]) for c in cells if c), default=0) + max(len(r[1]) for r in rest if r)
-        new: list[tuple[int, str] | None] = []
+        new: list[Way | None] = []
         for before in STATES:
             ways = [weight(c[0] + r[0], c[1] + r[1], width) for c, r in zip(cells[4 * before : 4 * before + 4], rest, strict=True) if c and r]
             new.append(unweighed(min(ways), width) if ways else None)
@@ -165,12 +182,13 @@ def blocks(places: DataFrame) -> DataFrame:
 def _tables(kind: pa.DataType):
     names = ("conv_id", "block", "n", "blank", "duplicate", "truncated", "illegal", "turns", "lowest", "highest", "left", "right", "cells")
     cell = pa.list_(pa.struct([("cost", pa.int64()), ("audit", pa.string())]))
-    schema = pa.schema(list(zip(names, [kind, *[pa.int64()] * 7, *[pa.string()] * 4, cell], strict=True)))
+    schema = pa.schema(list(zip(names, [kind, *[pa.int64()] * 7, *[pa.string()] * 4, cell], strict=True)))  # a conversation inside a block, neither first nor last, is whole
 
-    def one(block: int, conv, rows: list[dict], first: set[int]) -> tuple:
+    def one(block: int, conv, rows: list[dict], first: set[int], whole: bool) -> tuple:
         again = [not r["blank"] and r["place"] not in first for r in rows]
         cut = [r["truncated"] and not r["blank"] and not d for r, d in zip(rows, again, strict=True)]
-        cells = table_of_block([(r["initial"], r["blank"] or d, c) for r, d, c in zip(rows, again, cut, strict=True)])
+        facts = [(r["initial"], r["blank"] or d, c) for r, d, c in zip(rows, again, cut, strict=True)]
+        cells = table_of_whole(facts) if whole else table_of_block(facts)
         initials, turns = [r["initial"] for r in rows], [r["turn"] for r in rows if r["turn"] is not None]
         illegal = sum(a + b not in LEGAL for a, b in itertools.pairwise(initials))
         cells = [c and {"cost": c[0], "audit": c[1]} for c in cells]
@@ -183,7 +201,8 @@ def _tables(kind: pa.DataType):
                 found = []
                 for r in b.slice(i, 16).to_pylist():
                     first = set(r["first"] or ())
-                    found += [one(r["block"], conv, list(rows), first) for conv, rows in itertools.groupby(r["rows"], lambda x: x["conv_id"])]
+                    parts = [(conv, list(rows)) for conv, rows in itertools.groupby(r["rows"], lambda x: x["conv_id"])]
+                    found += [one(r["block"], conv, rows, first, 0 < k < len(parts) - 1) for k, (conv, rows) in enumerate(parts)]
                 yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in found], schema=schema)
 
     return returning_memory(run)
