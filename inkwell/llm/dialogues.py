@@ -208,21 +208,25 @@ def _tables(kind: pa.DataType):
     return returning_memory(run)
 
 
+def _solved(parts: list[dict]) -> tuple:
+    """A conversation's sums and repair from its blocks in order."""
+    turns = [p for p in parts if p["lowest"] is not None]
+    distinct = sum(p["turns"] for p in turns) - sum(p["highest"] == q["lowest"] for p, q in itertools.pairwise(turns))
+    gaps = int(turns[-1]["highest"]) - int(turns[0]["lowest"]) + 1 - distinct if turns else 0
+    illegal = sum(p["illegal"] for p in parts) + sum(p["right"] + q["left"] not in LEGAL for p, q in itertools.pairwise(parts))
+    cost, audit = folded([[c and (c["cost"], c["audit"]) for c in p["cells"]] for p in parts])
+    n, *faults = [sum(p[k] for p in parts) for k in ("n", "blank", "duplicate", "truncated")]
+    return n, gaps, *faults, illegal, cost, audit
+
+
 def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [*[pa.int64()] * 7, pa.string()]
+    names = ["conv_id", "n", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit"]
     for b in batches:
-        for i in range(b.num_rows):
-            [r] = b.slice(i, 1).to_pylist()
-            parts = r["blocks"]
-            turns = [p for p in parts if p["lowest"] is not None]
-            distinct = sum(p["turns"] for p in turns) - sum(p["highest"] == q["lowest"] for p, q in itertools.pairwise(turns))
-            gaps = int(turns[-1]["highest"]) - int(turns[0]["lowest"]) + 1 - distinct if turns else 0
-            illegal = sum(p["illegal"] for p in parts) + sum(p["right"] + q["left"] not in LEGAL for p, q in itertools.pairwise(parts))
-            cost, audit = folded([[c and (c["cost"], c["audit"]) for c in p["cells"]] for p in parts])
-            sums = [sum(p[k] for p in parts) for k in ("n", "blank", "duplicate", "truncated")]
-            values = [sums[0], gaps, *sums[1:], illegal, cost, audit]
-            kinds = [*[pa.int64()] * 7, pa.string()]
-            names = ["n", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit"]
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), *[pa.array([v], k) for v, k in zip(values, kinds, strict=True)]], ["conv_id", *names])
+        for i in range(0, b.num_rows, 64):
+            g = b.slice(i, 64)
+            columns = zip(*[_solved(parts) for parts in g.column(1).to_pylist()], strict=True)
+            yield pa.RecordBatch.from_arrays([g.column(0), *[pa.array(v, k) for v, k in zip(columns, kinds, strict=True)]], names)
 
 
 def diagnosed(places: DataFrame) -> DataFrame:
