@@ -33,7 +33,7 @@ from inkwell.operators.workers import ship
 
 #: (k, w) of each tier, and the shortest query it serves.
 TIERS = ((1, 1), (2, 1), (3, 1), (4, 4), (8, 8))
-RAREST, FEW, PIECE = 3, 64, 1 << 20
+RAREST, SHARE, FEW, PIECE = 3, 16, 64, 1 << 20
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -93,18 +93,23 @@ def posted(rows: DataFrame, text: str, tiers: list[int] | None, key: str) -> Dat
 
 
 def candidates(texts: DataFrame, needles: DataFrame) -> DataFrame:
-    """(row, needle): texts that post the rarest grams of a needle; ``needles`` has needle and tier, none empty."""
-    wanted = written(posted(needles, "needle", None, "needle").select("needle", "tier", F.explode("grams").alias("gram")), "wanted")
+    """(row, needle): texts that post a needle's chosen grams; ``needles`` has needle and tier, none empty.
+
+    A needle's grams are ranked by how often one text in ``SHARE`` posts them. That decides how
+    many candidates there are, not what is found.
+    """
+    needles = needles.withColumn("hash", F.xxhash64("needle"))
+    wanted = written(posted(needles, "needle", None, "hash").select("hash", "tier", F.explode("grams").alias("gram")).distinct(), "wanted")
     used = sorted(r["tier"] for r in wanted.select("tier").distinct().collect())
-    posts = posted(texts, "text", used, "row").select("row", "tier", F.explode("grams").alias("gram"))
-    posts = written(posts.join(wanted.select("tier", "gram").distinct(), ["tier", "gram"], "left_semi"), "posts")
-    often = posts.groupBy("tier", "gram").agg(F.count("*").alias("often"))
-    rank = F.row_number().over(Window.partitionBy("needle").orderBy("often", "gram"))
+    posts = lambda some: posted(some, "text", used, "row").select("row", "tier", F.explode("grams").alias("gram"))
+    some = posts(texts.filter(F.pmod(F.xxhash64("row"), F.lit(SHARE)) == 0))
+    often = some.join(wanted.select("tier", "gram").distinct(), ["tier", "gram"], "left_semi").groupBy("tier", "gram").agg(F.count("*").alias("often"))
+    rank = F.row_number().over(Window.partitionBy("hash").orderBy("often", "gram"))
     rare = wanted.join(often, ["tier", "gram"], "left").withColumn("often", F.coalesce("often", F.lit(0)))
-    rare = rare.withColumn("rank", rank).filter(F.col("rank") <= RAREST)
-    n = rare.groupBy("needle").agg(F.count("*").alias("n"))
-    hits = posts.join(rare.select("tier", "gram", "needle"), ["tier", "gram"]).groupBy("row", "needle").agg(F.count("*").alias("hits"))
-    return hits.join(n, "needle").filter("hits = n").select("row", "needle")
+    rare = written(rare.withColumn("rank", rank).filter(F.col("rank") <= RAREST).select("tier", "gram", "hash"), "rare")
+    n = rare.groupBy("hash").agg(F.count("*").alias("n"))
+    hits = posts(texts).join(rare, ["tier", "gram"]).groupBy("row", "hash").agg(F.count("*").alias("hits"))
+    return hits.join(n, "hash").filter("hits = n").join(needles.select("hash", "needle"), "hash").select("row", "needle")
 
 
 def searched(rows: DataFrame, queries: DataFrame, fields: list[Column], id_: str = "id", few: int = FEW) -> DataFrame:
