@@ -525,10 +525,16 @@ def c12(spark, d):
 
 
 _DOMAIN, _DATA = ("tion", "heit", "thea", "que"), "[0-9]+ *(%|km)|[0-9]{4}"
-_SENTENCES = r"""sent AS (SELECT doc_id, CAST(i - 1 AS INT) AS pos, s AS sentence FROM (SELECT doc_id, ss[i] AS s, i FROM (SELECT doc_id, ss, unnest(range(1, len(ss) + 1)) AS i FROM (SELECT doc_id, list_filter(list_transform(list_transform(string_split_regex(regexp_replace(text, '([。！？!?；;])', E'\\1\x01', 'g'), '[\x01\n]'), lambda s: regexp_replace(trim(s), '^\s*([0-9]{1,2}[、.．)）]|[一二三四五六七八九十]{1,3}[、.]|[①-⑩])\s*', '')), lambda s: regexp_replace(s, '^[ \-—·•]+|[ \-—·•]+$', '', 'g')), lambda s: len(s) >= 8) AS ss FROM documents))))"""
+def s_sentences(docs: str) -> str:
+    """Sentences of the texts of ``docs``, with their places."""
+    return r"""sent AS (SELECT doc_id, CAST(i - 1 AS INT) AS pos, s AS sentence FROM (SELECT doc_id, ss[i] AS s, i FROM (SELECT doc_id, ss, unnest(range(1, len(ss) + 1)) AS i FROM (SELECT doc_id, list_filter(list_transform(list_transform(string_split_regex(regexp_replace(text, '([。！？!?；;])', E'\\1\x01', 'g'), '[\x01\n]'), lambda s: regexp_replace(trim(s), '^\s*([0-9]{1,2}[、.．)）]|[一二三四五六七八九十]{1,3}[、.]|[①-⑩])\s*', '')), lambda s: regexp_replace(s, '^[ \-—·•]+|[ \-—·•]+$', '', 'g')), lambda s: len(s) >= 8) AS ss FROM """ + docs + "))))"
+
+
+_SENTENCES = s_sentences("documents")
 _BIGRAMS = """letters AS (SELECT doc_id, regexp_replace(sentence, '[^a-z]', '', 'g') AS s FROM sent), grams AS (SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, substr(s, CAST(i AS BIGINT), 2) AS token FROM (SELECT doc_id, s, unnest(range(1, len(s))) AS i FROM letters WHERE len(s) >= 2)) GROUP BY doc_id, token HAVING count(*) >= 3)"""
 _SCORE = f"""{s_count('sentence', _DOMAIN)} * 160 + coalesce(p, 0) + CASE WHEN regexp_matches(sentence, '{_DATA}') THEN 220 ELSE 0 END + CASE WHEN len(sentence) BETWEEN 25 AND 70 THEN 150 WHEN len(sentence) < 15 THEN -150 WHEN len(sentence) > 110 THEN -100 ELSE 0 END - CASE WHEN regexp_matches(rtrim(sentence), '[？?]$') THEN 80 ELSE 0 END"""
-_SCORED = f"WITH {_SENTENCES}, {_BIGRAMS}, pairs AS (SELECT s.doc_id, s.pos, sum(least(n, 5) * 25) AS p FROM sent s JOIN grams g ON s.doc_id = g.doc_id AND contains(s.sentence, g.token) GROUP BY ALL), scored AS (SELECT s.doc_id, s.pos, sentence, CAST({_SCORE} AS BIGINT) AS score FROM sent s LEFT JOIN pairs USING (doc_id, pos))"
+_SCORES = f"{_BIGRAMS}, pairs AS (SELECT s.doc_id, s.pos, sum(least(n, 5) * 25) AS p FROM sent s JOIN grams g ON s.doc_id = g.doc_id AND contains(s.sentence, g.token) GROUP BY ALL), scored AS (SELECT s.doc_id, s.pos, sentence, CAST({_SCORE} AS BIGINT) AS score FROM sent s LEFT JOIN pairs USING (doc_id, pos))"
+_SCORED = f"WITH {_SENTENCES}, {_SCORES}"
 
 
 def doc_sentences(spark, d):
@@ -614,17 +620,21 @@ def d6(spark, d):
 
 _NOISE, _LABELS = ("Licensed under[^.\\n]{0,60}", "[#%&*$]{3}"), ("The", "and", "thea")
 _EDGE = r"[\s　，。、；：!?！?]"
-_LESS = "text"
-for _p, _n in ((_NOISE[0], ""), (_NOISE[1], ""), ("[ \\t　]+", " "), ("\\n{2,}", "\n")):
-    _LESS = f"regexp_replace({_LESS}, '{_p}', '{_n}', 'g')"
-_LESS = f"trim({_LESS})"
-for _p, _n in ((rf"[\s　]*[0-9]{{1,2}}[\s　]*(?:{'|'.join(_LABELS)})", " "), *[(rf"(?:^|{_EDGE})(?:{'|'.join(_LABELS)})({_EDGE}|$)", r"\1")] * 8, (r"^\s*[0-9]{1,2}\s+", ""), (r"\s{2,}", " ")):
-    _LESS = f"regexp_replace({_LESS}, '{_p}', '{_n}', 'g')"
 
 
-@query("d7_noise", f"SELECT doc_id, trim({_LESS}) AS text FROM documents")
+def s_less_noise(noise: tuple[str, ...], labels: tuple[str, ...]) -> str:
+    """The text without noise and labels. A label between two edges takes the one ahead of it along; RE2 has no lookahead, so the one behind is put back, and all goes again for neighbours."""
+    out = "text"
+    for p, n in (*[(p, "") for p in noise], ("[ \\t　]+", " "), ("\\n{2,}", "\n")):
+        out = f"regexp_replace({out}, '{p}', '{n}', 'g')"
+    out, any_ = f"trim({out})", "|".join(labels)
+    for p, n in ((rf"[\s　]*[0-9]{{1,2}}[\s　]*(?:{any_})", " "), *[(rf"(?:^|{_EDGE})(?:{any_})({_EDGE}|$)", r"\1")] * 8, (r"^\s*[0-9]{1,2}\s+", ""), (r"\s{2,}", " ")):
+        out = f"regexp_replace({out}, '{p}', '{n}', 'g')"
+    return f"trim({out})"
+
+
+@query("d7_noise", f"SELECT doc_id, {s_less_noise(_NOISE, _LABELS)} AS text FROM documents")
 def d7(spark, d):
-    """A label between two edges takes the one ahead of it along; RE2 has no lookahead, so the twin puts the one behind back, and goes again for neighbours."""
     return read(spark, d, "documents").select("doc_id", distil.without_noise(F.col("text"), _NOISE, _LABELS).alias("text"))
 
 
@@ -982,7 +992,7 @@ def i2(spark, d):
 
 
 def scripts(spark, d):
-    return read(spark, d, "conversations").select("conv_id", "turn", distil.script_sentences(F.col("text"), ("then", "thea", "und")).alias("s"))
+    return read(spark, d, "conversations").select("conv_id", "turn", distil.script_sentences(F.col("text"), _BREAKS).alias("s"))
 
 
 #: All texts here have end marks, so the cut of unpunctuated ones, which SQL lacks, isn't met.
@@ -995,20 +1005,35 @@ def i3(spark, d):
     return scripts(spark, d).select("conv_id", "turn", F.array_join("s", "|").alias("sentences"))
 
 
-@query("i4_unpunctuated")
+def _s_merged(parts: str, least: int = 12) -> str:
+    return _s_fold(parts, f"CASE WHEN len(a) > 0 AND len(x[1]) < {least} THEN a[1:len(a) - 1] || [a[len(a)] || x[1]] ELSE a || x END")
+
+
+def s_unpunctuated(text: str, breaks: tuple[str, ...], chunk: int = 50) -> str:
+    """Cut ahead of connectives; while a part is longer than ``chunk``, behind the last of the first particle that stands near, else there."""
+    words = "|".join(sorted(breaks, key=len, reverse=True))
+    parts = rf"list_filter(string_split(regexp_replace(regexp_replace({text}, '\s+', '', 'g'), '({words})', chr(1) || '\1', 'g'), chr(1)), lambda p: p <> '')"
+    area = f"substr(a[len(a)], {chunk - 9}, 15)"
+    k = " ".join(f"WHEN contains({area}, '{p}') THEN len({area}) - instr(reverse({area}), '{p}') + 1 + {chunk - 10}" for p in L.PARTICLES)
+    k = f"CASE {k} ELSE {chunk} END"
+    step = f"CASE WHEN len(a[len(a)]) > {chunk} THEN a[1:len(a) - 1] || [substr(a[len(a)], 1, {k}), substr(a[len(a)], {k} + 1)] ELSE a END"
+    chopped = f"list_transform({parts}, lambda q: list_filter(list_reduce(list_transform(range(len(q) // {chunk // 2} + 1), lambda i: ['']), lambda a, x: {step}, [q]), lambda r: r <> ''))"
+    return f"list_filter({_s_merged(f'flatten({chopped})', 6)}, lambda s: len(s) >= 4)"
+
+
+_BREAKS = ("then", "thea", "und")
+
+
+@query("i4_unpunctuated", rf"""SELECT conv_id, turn, array_to_string({s_unpunctuated("regexp_replace(text, '[.,;!?" + chr(10) + "]', ' ', 'g')", _BREAKS)}, '|') AS parts FROM conversations""")
 def i4(spark, d):
     text = F.regexp_replace("text", "[.,;!?\n]", " ")
-    return read(spark, d, "conversations").select("conv_id", "turn", F.array_join(distil.unpunctuated(text, ("then", "thea", "und")), "|").alias("parts"))
+    return read(spark, d, "conversations").select("conv_id", "turn", F.array_join(distil.unpunctuated(text, _BREAKS), "|").alias("parts"))
 
 
 def _s_distinct(parts: str) -> str:
     return _s_fold(parts, f"CASE WHEN len(list_filter(a, lambda p: {_ALIKE})) > 0 THEN a ELSE a || x END")
 
 
-def _s_merged(parts: str) -> str:
-    return _s_fold(parts, "CASE WHEN len(a) > 0 AND len(x[1]) < 12 THEN a[1:len(a) - 1] || [a[len(a)] || x[1]] ELSE a || x END")
-
-
 def _s_paragraphs(parts: str) -> str:
     """A first sentence that waits for a second has a mark in front."""
     single = lambda s: f"CASE WHEN regexp_matches({s}, '[。！？!?;；]$') THEN {s} WHEN {s_any(s, L.QUESTIONS)} THEN {s} || '？' ELSE {s} || '。' END"
@@ -1037,16 +1062,37 @@ def i8(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", distil.manuscript(F.col("text"), _S).alias("script"))
 
 
-@query("i9_transcript_job")
+_TEXT_CLASS = rf"""CASE WHEN len({_T}) < 15 OR len(regexp_replace({_T}, '[^A-Za-z]', '', 'g')) < 3 THEN 'garbage' WHEN {s_any(f'lower({_T})', _S.markers)} THEN 'lyrics' WHEN NOT {s_any(_T, _S.domain)} AND regexp_replace({_T}, '\s+', '', 'g') <> '' AND {_LYRIC} THEN 'lyrics'
+WHEN {_FLATT} <> '' AND core <> '' AND starts_with(core, {_FLATT}) AND len({_FLATT}) < 30 THEN 'title_only' WHEN len({_FLATT}) < 15 THEN 'title_only' WHEN len({_SENT}) >= 4 AND 1 - len(list_distinct({_SENT})) / len({_SENT})::DOUBLE >= 0.4 THEN 'lyrics' ELSE 'valid' END"""
+_ANY_SCRIPT = f"CASE WHEN len({_SCRIPT}) <= 1 AND len(text) > 20 AND NOT regexp_matches(text, '[。！？.!?]') THEN {s_unpunctuated('text', _S.breaks)} ELSE {_SCRIPT} END"
+
+
+@query("i9_transcript_job", rf"""WITH l AS (SELECT conv_id, turn, regexp_replace(substr(text, 1, 20), '#[\p{{L}}\p{{N}}_]+|#|\s+', '', 'g') AS core, {_LINES} AS x FROM conversations),
+t AS (SELECT conv_id, turn, core, array_to_string(list_filter(x, lambda y, i: list_position(x, y) = i), chr(10)) AS text FROM l), o AS (SELECT *, {_TEXT_CLASS} AS outcome, {_ANY_SCRIPT} AS parts FROM t)
+SELECT conv_id, turn, outcome, CASE WHEN outcome = 'valid' THEN {_s_paragraphs(_s_merged(_s_distinct('parts')))} ELSE '' END AS manuscript FROM o""")
 def i9(spark, d):
     c = read(spark, d, "conversations").withColumn("title", F.substring("text", 1, 20))
     return distil.transcript_job(c, "title", "text", _S).select("conv_id", "turn", "outcome", "manuscript")
 
 
-@query("i10_distil")
+_TITLE_KEPT = r"""regexp_replace(regexp_replace(trim(regexp_replace(title, '[|｜_–—]\s*[^|｜]*$', '')), '^[【\[（(][^】\])）]{0,10}[】\])）]\s*', ''), '[，。；：、:]+$', '')"""
+_PROMOTED = ("License", "@mail")
+
+
+def s_tidy(ordered: str, limit: int) -> str:
+    return f"array_to_string(list_transform({_s_picked(ordered, limit, 0.7)}, lambda s: regexp_replace(s, '[，。；：]+$', '')), '|')"
+
+
+@query("i10_distil", rf"""WITH base AS (SELECT * FROM (SELECT doc_id, {s_less_noise((), L.CHAPTERS)} AS text FROM documents) WHERE len(text) >= 50), {s_sentences('base').replace('sent AS', 'cut AS', 1)},
+sent AS (SELECT * FROM cut WHERE NOT regexp_matches(sentence, '{'|'.join(_PROMOTED)}')), {_SCORES},
+b AS (SELECT doc_id, list(sentence ORDER BY score DESC, pos) AS best, list(sentence ORDER BY pos) AS every FROM scored GROUP BY doc_id),
+t AS (SELECT doc_id, {_TITLE_KEPT} AS title FROM (SELECT doc_id, substr(split_part(text, chr(10), 1), 1, 60) AS title FROM documents)),
+p AS (SELECT doc_id, CASE WHEN len(title) >= 8 THEN title ELSE regexp_replace(substr(best[1], 1, 60), '[，。；：、]+$', '') END AS thesis, {_s_pick('best', 5, 0.62)} AS key_points,
+ {s_tidy(f"list_filter(every, lambda s: regexp_matches(s, '{_DATA}') AND len(s) <= 90)", 6)} AS key_data, {s_tidy("list_filter(every, lambda s: regexp_matches(s, 'thea|que') AND len(s) BETWEEN 15 AND 120)", 3)} AS cases FROM t JOIN b USING (doc_id))
+SELECT doc_id, coalesce(thesis, '') AS thesis, coalesce(key_points, '') AS key_points, coalesce(key_data, '') AS key_data, coalesce(cases, '') AS cases FROM documents LEFT JOIN p USING (doc_id)""")
 def i10(spark, d):
     docs = read(spark, d, "documents").withColumn("title", F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 60))
-    out = distil.distilled(docs, "doc_id", "title", "text", _DOMAIN, "a-z", _DATA, "thea|que", ("License", "@mail"), ())
+    out = distil.distilled(docs, "doc_id", "title", "text", _DOMAIN, "a-z", _DATA, "thea|que", _PROMOTED, ())
     return out.select("doc_id", "thesis", *[F.array_join(F.coalesce(c, F.array().cast("array<string>")), "|").alias(c) for c in ("key_points", "key_data", "cases")])
 
 
