@@ -32,8 +32,8 @@ from inkwell.operators.dedup import written
 from inkwell.operators.workers import ship
 
 #: (k, w) of each tier, and the shortest query it serves.
-TIERS = ((1, 1), (2, 1), (3, 1), (4, 4), (8, 8))
-RAREST, SHARE, FEW, PIECE = 3, 16, 64, 1 << 20
+TIERS = ((1, 1), (2, 1), (3, 1), (4, 2), (6, 3), (8, 6), (12, 8))
+RAREST, SHARE, FEW, SENT, PIECE = 3, 16, 64, 200_000, 1 << 20
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -92,6 +92,11 @@ def posted(rows: DataFrame, text: str, tiers: list[int] | None, key: str) -> Dat
     return rows.mapInArrow(run, schema)
 
 
+def small(rows: DataFrame) -> DataFrame:
+    """Rows to be sent to every task, if they are ``SENT`` at most; more are shuffled, and the texts' grams with them."""
+    return F.broadcast(rows) if rows.count() <= SENT else rows
+
+
 def candidates(texts: DataFrame, needles: DataFrame) -> DataFrame:
     """(row, needle): texts that post a needle's chosen grams; ``needles`` has needle and tier, none empty.
 
@@ -103,12 +108,12 @@ def candidates(texts: DataFrame, needles: DataFrame) -> DataFrame:
     used = sorted(r["tier"] for r in wanted.select("tier").distinct().collect())
     posts = lambda some: posted(some, "text", used, "row").select("row", "tier", F.explode("grams").alias("gram"))
     some = posts(texts.filter(F.pmod(F.xxhash64("row"), F.lit(SHARE)) == 0))
-    often = some.join(wanted.select("tier", "gram").distinct(), ["tier", "gram"], "left_semi").groupBy("tier", "gram").agg(F.count("*").alias("often"))
+    often = some.join(small(wanted.select("tier", "gram").distinct()), ["tier", "gram"], "left_semi").groupBy("tier", "gram").agg(F.count("*").alias("often"))
     rank = F.row_number().over(Window.partitionBy("hash").orderBy("often", "gram"))
     rare = wanted.join(often, ["tier", "gram"], "left").withColumn("often", F.coalesce("often", F.lit(0)))
     rare = written(rare.withColumn("rank", rank).filter(F.col("rank") <= RAREST).select("tier", "gram", "hash"), "rare")
     n = rare.groupBy("hash").agg(F.count("*").alias("n"))
-    hits = posts(texts).join(rare, ["tier", "gram"]).groupBy("row", "hash").agg(F.count("*").alias("hits"))
+    hits = posts(texts).join(small(rare), ["tier", "gram"]).groupBy("row", "hash").agg(F.count("*").alias("hits"))
     return hits.join(n, "hash").filter("hits = n").join(needles.select("hash", "needle"), "hash").select("row", "needle")
 
 

@@ -22,8 +22,9 @@ def found(spark, rows, queries, few):
     return sorted((tuple(r) for r in got.collect()), key=str)
 
 
-@pytest.mark.parametrize("few", [0, 1000])
-def test_is_the_loop(spark, few):
+@pytest.mark.parametrize(("few", "sent"), [(0, 200_000), (0, 0), (1000, 0)])
+def test_is_the_loop(spark, monkeypatch, few, sent):
+    monkeypatch.setattr(substrings, "SENT", sent)
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcé\U0001f600") for _ in range(rng.randrange(1, 6)))
     rows = [(k, word(), " ".join(word() for _ in range(rng.randrange(60)))) for k in range(120)]
