@@ -7,28 +7,15 @@ import functools
 import gc
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
+from inkwell.operators.workers import ship
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once a session, as a job's --py-files would."""
-    context = spark.sparkContext
-    if getattr(context, "_inkwell_sent", False):
-        return
-    package = Path(__file__).parent.parent
-    with zipfile.ZipFile(target := f"{tempfile.mkdtemp(prefix='inkwell-')}/inkwell.zip", "w", zipfile.ZIP_DEFLATED) as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f"{package.name}/{f.relative_to(package)}")
-    context.addPyFile(target)
-    context._inkwell_sent = True
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,7 +87,12 @@ class Scratch:
 
 
 def returning_memory(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A mapInArrow function that gives freed memory back to the system at its end, as workers live on in other stages."""
+    """A mapInArrow function that gives freed memory back to the system at its end, as workers live on in other stages.
+
+    The workers get this package first, whoever calls the operator.
+    """
+    if (session := SparkSession.getActiveSession()) is not None:
+        ship(session)
 
     @functools.wraps(run)
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
