@@ -120,13 +120,6 @@ class Relevance:
     least: int = 12
 
 
-#: Words of the Latin test tables, with the same weights and limits.
-LATIN = Relevance(((("tion", "ment", "heit", "ción"), 12), (("theat", "enau"), 18), (("the", "und", "les", "las"), 3), (("an", "er"), 1), (("###", "trash", "|"), -18)), ("###", "trash", "|"), ("ement", "heitä", "ther"))
-LATIN_CATEGORIES = (("alpha", ("thea", "ieau")), ("beta", ("ver", "tion")), ("gamma", ("en",)))
-LATIN_IMPORTANCE = (("top", ("ble", "heit")), ("high", ("ing", "aux")))
-LATIN_KEYWORDS = ("the", "and", "of", "der", "und", "la", "les", "de", "que", "tion", "ing", "en")
-
-
 @dataclass(frozen=True)
 class Speech:
     """Words that the transcript operators use."""
@@ -139,6 +132,3 @@ class Speech:
     letters: str = "一-鿿"
     ends: str = "。！？；"
     breaks: tuple[str, ...] = field(default=BREAKS)
-
-
-LATIN_SPEECH = Speech(("licen", "instrum"), ("tion", "heit"), ("an", "le", "en"), ("the", "und", "les?", "que"), "aeiou", "A-Za-z", ".!?;")

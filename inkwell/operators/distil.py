@@ -81,10 +81,30 @@ def scored_sentences(rows: DataFrame, key: str, domain=L.DOMAIN, letters: str =
     return out.withColumn("score", score.cast("long")).drop("_own", "_f3", "_f4", "_f5")
 
 
+def letters_of(text: Column) -> Column:
+    return F.array_distinct(F.split(text, ""))
+
+
+def taken(ordered: Column, alike, limit: int | None = None) -> Column:
+    """Texts of an ordered array, each unless it is alike to one taken, until ``limit``.
+
+    ``alike`` compares (text, letters) of two; a text's letters are cut once and carried with it.
+    """
+    none = F.array().cast("array<struct<t:string,l:array<string>>>")
+    new = lambda s, l: F.array(F.struct(s.alias("t"), l.alias("l")))
+    kept = lambda a, s: X.bound(letters_of(s), lambda l: F.when(F.exists(a, lambda p: alike(s, l, p["t"], p["l"])), a).otherwise(F.concat(a, new(s, l))))
+    step = kept if limit is None else lambda a, s: F.when(F.size(a) >= limit, a).otherwise(kept(a, s))
+    return F.aggregate(ordered, none, step, lambda a: F.transform(a, lambda p: p["t"]))
+
+
 def pick(ordered: Column, limit: int, most: float) -> Column:
     """Texts of an ordered array, each unless its letters are alike to one taken, until ``limit``."""
-    none = F.array().cast("array<string>")
-    return F.aggregate(ordered, none, lambda a, s: F.when((F.size(a) < limit) & ~F.exists(a, lambda p: X.jaccard(s, p) > most), F.concat(a, F.array(s))).otherwise(a))
+
+    def alike(s: Column, x: Column, r: Column, y: Column) -> Column:
+        both = F.size(F.array_intersect(x, y))
+        return (s != "") & (r != "") & (both / (F.size(x) + F.size(y) - both) > most)
+
+    return taken(ordered, alike, limit)
 
 
 def key_points(scored: DataFrame, key: str, limit: int = 5, most: float = 0.62) -> DataFrame:
@@ -213,10 +233,7 @@ def merged(parts: Column, least: int = 12) -> Column:
 
 def distinct_sentences(parts: Column, most: float = 0.8) -> Column:
     """Each unless equal to a kept one, or sharing over ``most`` of the smaller letter set."""
-    none = F.array().cast("array<string>")
-    letters = lambda s: F.array_distinct(F.split(s, ""))
-    alike = lambda s, r: (s == r) | (F.size(F.array_intersect(letters(s), letters(r))) / F.least(F.size(letters(s)), F.size(letters(r))) > most)
-    return F.aggregate(parts, none, lambda a, s: F.when(F.exists(a, lambda r: alike(s, r)), a).otherwise(F.concat(a, F.array(s))))
+    return taken(parts, lambda s, x, r, y: (s == r) | (F.size(F.array_intersect(x, y)) / F.least(F.size(x), F.size(y)) > most))
 
 
 def paragraphs(parts: Column, most: int = 2, long: int = 90) -> Column:

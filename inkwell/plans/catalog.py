@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import lexicon as L
 from inkwell.functions import text as X
 from inkwell.operators import dedup, distil, feed, match, store, substrings, tasks
+from inkwell.plans import words as W
 from inkwell.sources import adapters
 from inkwell.sources import pages as P
 from inkwell.sources import payloads as J
@@ -135,11 +136,11 @@ def s_label(c: str, rules, other: str) -> str:
     return "CASE " + " ".join(f"WHEN {s_any(c, words)} THEN '{name}'" for name, words in rules) + f" ELSE '{other}' END"
 
 
-def s_relevance(c: str, r: L.Relevance = L.LATIN) -> str:
+def s_relevance(c: str, r: L.Relevance = W.LATIN) -> str:
     return "(" + " + ".join(f"{s_count(c, words)} * ({w})" for words, w in r.weighted) + ")"
 
 
-def s_relevant(c: str, r: L.Relevance = L.LATIN) -> str:
+def s_relevant(c: str, r: L.Relevance = W.LATIN) -> str:
     return f"(NOT ({s_any(c, r.noise)} AND NOT {s_any(c, r.rescue)}) AND {s_relevance(c, r)} >= {r.least})"
 
 
@@ -356,7 +357,7 @@ def b10(spark, d):
     return read(spark, d, "documents").select("doc_id", X.summary(F.col("text")).alias("summary"))
 
 
-_WORDS = "[" + ", ".join(f"'{w}'" for w in L.LATIN_KEYWORDS) + "]"
+_WORDS = "[" + ", ".join(f"'{w}'" for w in W.LATIN_KEYWORDS) + "]"
 _HITS = f"list_filter({_WORDS}, lambda w: contains(content, w))"
 _MERGED = f"(tags || list_filter({_HITS}, lambda w: NOT list_contains(tags, w)))[1:10]"
 
@@ -369,13 +370,13 @@ def b11(spark, d):
 
 @query("b12_keywords", f"WITH {MATERIALS} SELECT id, array_to_string({_MERGED}, ',') AS keywords FROM materials")
 def b12(spark, d):
-    return materials(spark, d).select("id", F.array_join(match.keyword_hits(F.col("content"), F.col("tags"), L.LATIN_KEYWORDS), ",").alias("keywords"))
+    return materials(spark, d).select("id", F.array_join(match.keyword_hits(F.col("content"), F.col("tags"), W.LATIN_KEYWORDS), ",").alias("keywords"))
 
 
 @query("b13_infer_tags", f"""WITH {MATERIALS}, k AS (SELECT id, tags, source_name, {_MERGED} AS kw FROM materials), e AS (SELECT id, ['web'] || tags || [source_name] || kw[1:4] AS e FROM k)
 SELECT id, array_to_string(list_filter(e, lambda x, i: list_position(e, x) = i)[1:8], ',') AS tags FROM e""")
 def b13(spark, d):
-    kw = match.keyword_hits(F.col("content"), F.col("tags"), L.LATIN_KEYWORDS)
+    kw = match.keyword_hits(F.col("content"), F.col("tags"), W.LATIN_KEYWORDS)
     return materials(spark, d).select("id", F.array_join(match.infer_tags(F.lit("web"), F.col("tags"), F.col("source_name"), kw), ",").alias("tags"))
 
 
@@ -448,32 +449,32 @@ def b25(spark, d):
 
 @query("c1_score", f"WITH {RAW} SELECT pos, {s_relevance(ITEM)} AS score FROM raw")
 def c1(spark, d):
-    return raw_items(spark, d).select("pos", X.relevance(item(), L.LATIN).alias("score"))
+    return raw_items(spark, d).select("pos", X.relevance(item(), W.LATIN).alias("score"))
 
 
 @query("c2_relevant", f"WITH {RAW} SELECT pos, {s_relevant(ITEM)} AS relevant FROM raw")
 def c2(spark, d):
-    return raw_items(spark, d).select("pos", X.is_relevant(item(), L.LATIN).alias("relevant"))
+    return raw_items(spark, d).select("pos", X.is_relevant(item(), W.LATIN).alias("relevant"))
 
 
-@query("c3_category", f"WITH {RAW} SELECT pos, {s_label(ITEM, L.LATIN_CATEGORIES, 'other')} AS category FROM raw")
+@query("c3_category", f"WITH {RAW} SELECT pos, {s_label(ITEM, W.LATIN_CATEGORIES, 'other')} AS category FROM raw")
 def c3(spark, d):
-    return raw_items(spark, d).select("pos", X.label(item(), L.LATIN_CATEGORIES, "other").alias("category"))
+    return raw_items(spark, d).select("pos", X.label(item(), W.LATIN_CATEGORIES, "other").alias("category"))
 
 
-@query("c4_importance", f"WITH {RAW} SELECT pos, {s_label(ITEM, L.LATIN_IMPORTANCE, 'plain')} AS importance FROM raw")
+@query("c4_importance", f"WITH {RAW} SELECT pos, {s_label(ITEM, W.LATIN_IMPORTANCE, 'plain')} AS importance FROM raw")
 def c4(spark, d):
-    return raw_items(spark, d).select("pos", X.label(item(), L.LATIN_IMPORTANCE, "plain").alias("importance"))
+    return raw_items(spark, d).select("pos", X.label(item(), W.LATIN_IMPORTANCE, "plain").alias("importance"))
 
 
 _UI_PLUS, _UI_MINUS = ("tion", "thea", "heit", "que"), ("###", "trash")
-_UI = f"{s_count(ITEM, _UI_PLUS)} * 12 - {s_count(ITEM, _UI_MINUS)} * 18 + CASE WHEN {s_label(ITEM, L.LATIN_CATEGORIES, 'other')} IN ('alpha', 'beta') THEN 16 ELSE 0 END + CASE WHEN {s_label(ITEM, L.LATIN_IMPORTANCE, 'plain')} = 'top' THEN 4 ELSE 0 END"
+_UI = f"{s_count(ITEM, _UI_PLUS)} * 12 - {s_count(ITEM, _UI_MINUS)} * 18 + CASE WHEN {s_label(ITEM, W.LATIN_CATEGORIES, 'other')} IN ('alpha', 'beta') THEN 16 ELSE 0 END + CASE WHEN {s_label(ITEM, W.LATIN_IMPORTANCE, 'plain')} = 'top' THEN 4 ELSE 0 END"
 
 
 @query("c5_ui_score", f"WITH {RAW} SELECT pos, {_UI} AS score, {_UI} >= 12 AS shown FROM raw")
 def c5(spark, d):
     t = item()
-    score = X.count_hits(t, _UI_PLUS) * 12 - X.count_hits(t, _UI_MINUS) * 18 + F.when(X.label(t, L.LATIN_CATEGORIES, "other").isin("alpha", "beta"), 16).otherwise(0) + F.when(X.label(t, L.LATIN_IMPORTANCE, "plain") == "top", 4).otherwise(0)
+    score = X.count_hits(t, _UI_PLUS) * 12 - X.count_hits(t, _UI_MINUS) * 18 + F.when(X.label(t, W.LATIN_CATEGORIES, "other").isin("alpha", "beta"), 16).otherwise(0) + F.when(X.label(t, W.LATIN_IMPORTANCE, "plain") == "top", 4).otherwise(0)
     return raw_items(spark, d).select("pos", score.alias("score")).withColumn("shown", F.col("score") >= 12)
 
 
@@ -505,7 +506,7 @@ def c10(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", distil.is_garbage(F.col("text"), "A-Za-z").alias("garbage"))
 
 
-_S = L.LATIN_SPEECH
+_S = W.LATIN_SPEECH
 _T = "trim(text)"
 _PARTS = rf"list_filter(list_transform(regexp_split_to_array({_T}, '[。！？!?\n,，]+'), lambda s: trim(s)), lambda s: len(s) >= 3)"
 _FLATT = rf"regexp_replace(regexp_replace({_T}, '#[\p{{L}}\p{{N}}_]+|#', ' ', 'g'), '\s+', '', 'g')"
@@ -564,13 +565,13 @@ def d1(spark, d):
     return raw_items(spark, d).filter(X.fresh(F.col("published_at"), as_of())).select("pos")
 
 
-_CAT = s_label(ITEM, L.LATIN_CATEGORIES, "other")
+_CAT = s_label(ITEM, W.LATIN_CATEGORIES, "other")
 _GATED = f"({ITEM} || ' ' || {_CAT})"
 
 
 def gated_items(spark, d):
-    items = raw_items(spark, d).withColumn("category", X.label(item(), L.LATIN_CATEGORIES, "other"))
-    return items.filter(X.is_relevant(F.concat_ws(" ", item(), "category"), L.LATIN))
+    items = raw_items(spark, d).withColumn("category", X.label(item(), W.LATIN_CATEGORIES, "other"))
+    return items.filter(X.is_relevant(F.concat_ws(" ", item(), "category"), W.LATIN))
 
 
 @query("d2_gate", f"WITH {RAW} SELECT pos, {_CAT} AS category FROM raw WHERE {s_relevant(_GATED)}")
@@ -601,7 +602,7 @@ def d4(spark, d):
 
 @query("d5_tab", f"WITH {RAW} SELECT pos FROM raw WHERE {_CAT} = 'beta'")
 def d5(spark, d):
-    return raw_items(spark, d).filter(X.label(item(), L.LATIN_CATEGORIES, "other") == "beta").select("pos")
+    return raw_items(spark, d).filter(X.label(item(), W.LATIN_CATEGORIES, "other") == "beta").select("pos")
 
 
 def creators(spark: SparkSession, d: str) -> DataFrame:
@@ -875,7 +876,7 @@ def g1(spark, d):
 
 @query("g2_news_rank", f"WITH {RAW} SELECT pos, {s_relevance(ITEM)} AS score FROM raw ORDER BY score DESC, published_at IS NOT NULL DESC, published_at DESC, pos LIMIT 50")
 def g2(spark, d):
-    r = raw_items(spark, d).withColumn("score", X.relevance(item(), L.LATIN))
+    r = raw_items(spark, d).withColumn("score", X.relevance(item(), W.LATIN))
     return r.orderBy(F.col("score").desc(), F.col("published_at").isNotNull().desc(), F.col("published_at").desc(), "pos").limit(50).select("pos", "score")
 
 
@@ -887,7 +888,7 @@ def g3(spark, d):
     return top.select("id", "score", rank.alias("rank"))
 
 
-_RANK = f"CASE {s_label(ITEM, L.LATIN_IMPORTANCE, 'plain')} WHEN 'top' THEN 3 WHEN 'high' THEN 2 ELSE 1 END"
+_RANK = f"CASE {s_label(ITEM, W.LATIN_IMPORTANCE, 'plain')} WHEN 'top' THEN 3 WHEN 'high' THEN 2 ELSE 1 END"
 
 
 @query("g4_sorts", f"""WITH {RAW}, r AS (SELECT pos, published_at, {_RANK} AS imp, {_UI} AS score FROM raw)
@@ -896,8 +897,8 @@ SELECT 'published', pos FROM (SELECT pos FROM r ORDER BY coalesce(epoch_us(publi
 SELECT 'relevance', pos FROM (SELECT pos FROM r ORDER BY score DESC, coalesce(epoch_us(published_at), 0), pos LIMIT 10)""")
 def g4(spark, d):
     t = item()
-    score = X.count_hits(t, _UI_PLUS) * 12 - X.count_hits(t, _UI_MINUS) * 18 + F.when(X.label(t, L.LATIN_CATEGORIES, "other").isin("alpha", "beta"), 16).otherwise(0) + F.when(X.label(t, L.LATIN_IMPORTANCE, "plain") == "top", 4).otherwise(0)
-    imp = X.label(t, L.LATIN_IMPORTANCE, "plain")
+    score = X.count_hits(t, _UI_PLUS) * 12 - X.count_hits(t, _UI_MINUS) * 18 + F.when(X.label(t, W.LATIN_CATEGORIES, "other").isin("alpha", "beta"), 16).otherwise(0) + F.when(X.label(t, W.LATIN_IMPORTANCE, "plain") == "top", 4).otherwise(0)
+    imp = X.label(t, W.LATIN_IMPORTANCE, "plain")
     r = raw_items(spark, d).select("pos", F.coalesce(F.unix_micros("published_at"), F.lit(0)).alias("at"), F.when(imp == "top", 3).when(imp == "high", 2).otherwise(1).alias("imp"), score.alias("score"))
     modes = {"importance": [F.col("imp").desc(), F.col("at").desc()], "published": [F.col("at").desc()], "relevance": [F.col("score").desc(), F.col("at")]}
     parts = [r.orderBy(*o, "pos").limit(10).select(F.lit(m).alias("mode"), "pos") for m, o in modes.items()]
@@ -1146,5 +1147,5 @@ SELECT page_id, url_key, {s_title_key('title')} AS title_key, {s_relevance("titl
 def best_pages(spark, d):
     p = P.pages_as_material(read(spark, d, "pages"))
     t = F.concat_ws(" ", "title", "content")
-    p = p.filter(X.is_relevant(t, L.LATIN)).withColumn("score", X.relevance(t, L.LATIN)).orderBy(F.col("score").desc(), "page_id").limit(20)
+    p = p.filter(X.is_relevant(t, W.LATIN)).withColumn("score", X.relevance(t, W.LATIN)).orderBy(F.col("score").desc(), "page_id").limit(20)
     return p.select("page_id", X.normalize_url(F.col("url")).alias("url_key"), X.title_key(F.col("title")).alias("title_key"), "score")
