@@ -62,10 +62,20 @@ def first_wins(df: DataFrame, pos: str, key_a: Column, key_b: Column) -> DataFra
     are first in both their groups are kept and what shares a key with them is dropped; both
     are partial minima and joins over (pos, key, key) alone, so bodies of rows stay where
     they are and a very common key is no hot task. The number of rounds is half the length
-    of the longest chain of conflicts; each round is written to the shared folder.
+    of the longest chain of conflicts; each round is written to the shared folder, where only
+    the places of kept rows stay.
     """
-    keys = df.select(F.col(pos).alias("p"), F.nullif(key_a.cast("string"), F.lit("")).alias("a"), F.nullif(key_b.cast("string"), F.lit("")).alias("b"))
-    open_, kept = written(keys, "open"), []
+    spark, path = df.sparkSession, table_path(df, "winners")
+    with removed_after(spark):
+        won = _winners(df.select(F.col(pos).alias("p"), F.nullif(key_a.cast("string"), F.lit("")).alias("a"), F.nullif(key_b.cast("string"), F.lit("")).alias("b")))
+        won.write.parquet(path)
+    winners = spark.read.schema(won.schema).parquet(path).withColumnRenamed("p", pos)
+    return df.join(winners, pos, "left_semi").select(*df.columns)
+
+
+def _winners(keys: DataFrame) -> DataFrame:
+    """Places ``p`` of the rows that the walk keeps."""
+    open_, kept = written(keys, "open"), [keys.select("p").limit(0)]
 
     def least(k: str) -> DataFrame:
         return open_.filter(F.col(k).isNotNull()).groupBy(k).agg(F.min("p").alias(f"first_{k}"))
@@ -80,10 +90,7 @@ def first_wins(df: DataFrame, pos: str, key_a: Column, key_b: Column) -> DataFra
         for k in ("a", "b"):
             rest = rest.join(won.filter(F.col(k).isNotNull()).select(k).distinct(), k, "left_anti")
         open_ = written(rest.select("p", "a", "b"), "open")
-    if not kept:
-        return df.limit(0)
-    winners = functools.reduce(DataFrame.union, kept).withColumnRenamed("p", pos)
-    return df.join(winners, pos, "left_semi").select(*df.columns)
+    return functools.reduce(DataFrame.union, kept)
 
 
 def not_stored(new: DataFrame, stored: DataFrame, keys: dict[str, Column]) -> DataFrame:
