@@ -148,14 +148,15 @@ def learn(rows: list[tuple], features: tuple[str, ...] = FEATURES, cuts: int = 2
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", most_labels: int = MOST_LABELS) -> list[tuple]:
-    """At most ``most_labels`` labelled ids, by hash; their rows' statistics and whether they are bad.
+    """At most ``most_labels`` labelled rows, those with the least hash of their id: statistics and whether they are bad.
 
-    The ids are few by that bound, so they are broadcast and the other texts are never analysed here.
+    Their ids are few by that bound, so they are broadcast and the other texts are never analysed here.
     """
+    least = F.xxhash64("doc_id", F.lit("quality"))
     ids = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", label)
-    ids = ids.orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id", label).limit(most_labels)
+    ids = ids.orderBy(least, "doc_id", label).limit(most_labels)
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    rows = with_statistics(rows).orderBy("doc_id", *FEATURES, label).limit(4 * most_labels)
+    rows = with_statistics(rows).orderBy(least, "doc_id", *FEATURES, label).limit(most_labels).orderBy("doc_id", *FEATURES, label)
     return [tuple(r) for r in rows.select(*FEATURES, (F.col(label) == 0).cast("int")).collect()]
 
 

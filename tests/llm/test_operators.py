@@ -603,3 +603,12 @@ def test_word_hashes():
     texts = [b"", b"One, two one", b"   ", b"two"]
     h, n = word_hashes(texts)
     assert n.tolist() == [0, 3, 0, 1] and h[0] == h[2] and h[1] == h[3] and h[0] != h[1]
+
+
+def test_quality_learns_from_so_many_rows(spark):
+    """Also where ids repeat: no more rows than stated, and not those of the least ids."""
+    docs = documents(spark, [f"text number {k}" for k in range(200)], ids=[k // 4 for k in range(200)])
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(50)] * 2, "doc_id long, quality int, toxic int")
+    rows = quality.labelled_rows(docs, labels, most_labels=30)
+    assert len(rows) == 30
+    assert len(quality.labelled_rows(docs, labels, most_labels=10_000)) == 400
