@@ -45,17 +45,18 @@ def tier_of(needle: Column) -> Column:
     return out
 
 
-def grams(text: str, tier: int) -> np.ndarray:
-    """The hashes that a text posts in a tier, each once."""
+def least_grams(text: str, tier: int) -> Iterator[np.ndarray]:
+    """The hashes that a text posts in a tier, piece by piece, some more than once."""
     k, w = TIERS[tier]
-    found = []
     for at in range(0, len(text), PIECE):
         c = np.frombuffer(text[at : at + PIECE + k + w - 2].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
         if len(c) < k + w - 1:
             break
         h = np.zeros(len(c) - k + 1, np.uint64)
         for j in range(k):
-            h = h * BASE + c[j : len(c) - k + 1 + j] + np.uint64(1)
+            h *= BASE
+            h += c[j : len(c) - k + 1 + j]
+            h += np.uint64(1)
         h ^= h >> np.uint64(31)
         h *= MIX
         h ^= h >> np.uint64(29)
@@ -64,10 +65,42 @@ def grams(text: str, tier: int) -> np.ndarray:
             np.minimum(least, h[j : len(h) - w + 1 + j], out=least)
         changed = np.ones(len(least), bool)
         changed[1:] = least[1:] != least[:-1]
-        found.append(np.unique(least[changed]))
+        yield least[changed]
+
+
+def grams(text: str, tier: int) -> np.ndarray:
+    """The hashes that a text posts in a tier, each once."""
+    found = list(least_grams(text, tier))
     return np.unique(np.concatenate(found)).view(np.int64) if found else np.zeros(0, np.int64)
 
 
+class Chosen:
+    """Chosen grams of bounded number and the needles that each is one of."""
+
+    def __init__(self, tier: np.ndarray, gram: np.ndarray, needle: np.ndarray):
+        self.names, needle, self.n = np.unique(needle, return_inverse=True, return_counts=True)
+        self.tiers = []
+        for t in np.unique(tier).tolist():
+            some = np.flatnonzero(tier == t)
+            some = some[np.argsort(gram[some].view(np.uint64), kind="stable")]
+            key = gram[some].view(np.uint64)
+            bits = np.zeros(1 << 22, bool)
+            bits[key & np.uint64(len(bits) - 1)] = True
+            self.tiers.append((t, key, needle[some], bits))
+
+    def within(self, text: str) -> np.ndarray:
+        """The needles all of whose grams a text posts."""
+        met = []
+        for t, key, needle, bits in self.tiers:
+            parts = [h[bits[h & np.uint64(len(bits) - 1)]] for h in least_grams(text, t)]
+            h = np.unique(np.concatenate(parts)) if parts else key[:0]
+            low, high = np.searchsorted(key, h), np.searchsorted(key, h, "right")
+            n = high - low
+            met.append(needle[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+        times = np.bincount(np.concatenate(met), minlength=len(self.names)) if met else np.zeros(0, np.int64)
+        return self.names[(times == self.n) & (times > 0)] if met else self.names[:0]
+
+
 def posted(rows: DataFrame, text: str, tiers: list[int] | None, key: str) -> DataFrame:
     """(key, tier, grams): what each text posts in the tiers given, or in the one that its column ``tier`` names."""
     schema = T.StructType([rows.schema[key], T.StructField("tier", T.IntegerType()), T.StructField("grams", T.ArrayType(T.LongType()))])
@@ -93,28 +126,57 @@ def posted(rows: DataFrame, text: str, tiers: list[int] | None, key: str) -> Dat
 
 
 def small(rows: DataFrame) -> DataFrame:
-    """Rows to be sent to every task, if they are ``SENT`` at most; more are shuffled, and the texts' grams with them."""
+    """Rows to be sent to every task, if they are ``SENT`` at most."""
     return F.broadcast(rows) if rows.count() <= SENT else rows
 
 
-def candidates(texts: DataFrame, needles: DataFrame) -> DataFrame:
-    """(row, needle): texts that post a needle's chosen grams; ``needles`` has needle and tier, none empty.
+def posts(texts: DataFrame, key: str, tiers: list[int]) -> DataFrame:
+    return posted(texts, "text", tiers, key).select(key, "tier", F.explode("grams").alias("gram"))
+
+
+def chosen(texts: DataFrame, needles: DataFrame) -> DataFrame:
+    """(tier, gram, name): the ``RAREST`` grams of each needle, by how often one text in ``SHARE`` posts them.
 
-    A needle's grams are ranked by how often one text in ``SHARE`` posts them. That decides how
-    many candidates there are, not what is found.
+    That decides how many candidates there are, not what is found.
     """
-    needles = needles.withColumn("hash", F.xxhash64("needle"))
-    wanted = written(posted(needles, "needle", None, "hash").select("hash", "tier", F.explode("grams").alias("gram")).distinct(), "wanted")
+    wanted = written(posted(needles, "needle", None, "name").select("name", "tier", F.explode("grams").alias("gram")), "wanted")
     used = sorted(r["tier"] for r in wanted.select("tier").distinct().collect())
-    posts = lambda some: posted(some, "text", used, "row").select("row", "tier", F.explode("grams").alias("gram"))
-    some = posts(texts.filter(F.pmod(F.xxhash64("row"), F.lit(SHARE)) == 0))
+    some = posts(texts.filter(F.pmod(F.xxhash64("text"), F.lit(SHARE)) == 0).select("text", F.lit(0).alias("_row")), "_row", used)
     often = some.join(small(wanted.select("tier", "gram").distinct()), ["tier", "gram"], "left_semi").groupBy("tier", "gram").agg(F.count("*").alias("often"))
-    rank = F.row_number().over(Window.partitionBy("hash").orderBy("often", "gram"))
+    rank = F.row_number().over(Window.partitionBy("name").orderBy("often", "gram"))
     rare = wanted.join(often, ["tier", "gram"], "left").withColumn("often", F.coalesce("often", F.lit(0)))
-    rare = written(rare.withColumn("rank", rank).filter(F.col("rank") <= RAREST).select("tier", "gram", "hash"), "rare")
-    n = rare.groupBy("hash").agg(F.count("*").alias("n"))
-    hits = posts(texts).join(small(rare), ["tier", "gram"]).groupBy("row", "hash").agg(F.count("*").alias("hits"))
-    return hits.join(n, "hash").filter("hits = n").join(needles.select("hash", "needle"), "hash").select("row", "needle")
+    return written(rare.withColumn("rank", rank).filter(F.col("rank") <= RAREST).select("tier", "gram", "name"), "rare")
+
+
+def found_at_hand(texts: DataFrame, needles: DataFrame, rare: DataFrame) -> DataFrame:
+    """(id, needle) where the chosen grams are few: every task has them, a text is read once and nothing is shuffled."""
+    got = rare.toArrow()  # numbers, at most ``SENT`` rows
+    sent = texts.sparkSession.sparkContext.broadcast([got[c].to_numpy() for c in ("tier", "gram", "name")])
+    schema = T.StructType([texts.schema["id"], texts.schema["text"], T.StructField("names", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = Chosen(*sent.value)
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                g = b.slice(i, 256)
+                names = [c.within(t.as_py() or "") for t in g.column(1)]
+                some = np.flatnonzero([len(x) for x in names])
+                lists = pa.array([names[k] for k in some.tolist()], pa.list_(pa.int64()))
+                kept = g.take(pa.array(some))
+                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), lists], ["id", "text", "names"])
+
+    near = texts.select("id", "text").mapInArrow(run, schema).select("id", "text", F.explode("names").alias("name"))
+    return near.join(F.broadcast(needles.select("name", "needle")), "name").filter(F.col("text").contains(F.col("needle"))).select("id", "needle")
+
+
+def found_by_shuffle(texts: DataFrame, needles: DataFrame, rare: DataFrame) -> DataFrame:
+    """(id, needle) where they are many: texts' grams meet them by a join."""
+    texts = written(texts.withColumn("row", F.monotonically_increasing_id()), "texts")
+    used = sorted(r["tier"] for r in rare.select("tier").distinct().collect())
+    n = rare.groupBy("name").agg(F.count("*").alias("n"))
+    hits = posts(texts, "row", used).join(rare, ["tier", "gram"]).groupBy("row", "name").agg(F.count("*").alias("hits"))
+    near = hits.join(n, "name").filter("hits = n").join(needles.select("name", "needle"), "name").select("row", "needle")
+    return texts.join(near, "row").filter(F.col("text").contains(F.col("needle"))).select("id", "needle")
 
 
 def searched(rows: DataFrame, queries: DataFrame, fields: list[Column], id_: str = "id", few: int = FEW) -> DataFrame:
@@ -130,9 +192,10 @@ def searched(rows: DataFrame, queries: DataFrame, fields: list[Column], id_: str
         pairs = F.array(*[F.struct(F.lit(r["query"]).alias("query"), F.lit(r["needle"]).alias("needle")) for r in some])
         hits = X.bound(text, lambda t: F.transform(F.filter(pairs, lambda q: t.contains(q["needle"])), lambda q: q["query"]))
         return rows.select(F.explode(hits).alias("query"), id_)
-    texts = written(rows.select(F.col(id_).alias("id"), text.alias("text"), F.monotonically_increasing_id().alias("row")), "texts")
-    needles = asked.select("needle").distinct().withColumn("tier", tier_of(F.col("needle")))
-    near = candidates(texts, needles.filter("tier >= 0"))
-    found = texts.join(near, "row").filter(F.col("text").contains(F.col("needle"))).select("id", "needle")
+    texts = rows.select(F.col(id_).alias("id"), text.alias("text"))
+    needles = asked.select("needle").distinct().withColumn("tier", tier_of(F.col("needle"))).filter("tier >= 0")
+    needles = written(needles.withColumn("name", F.monotonically_increasing_id()), "needles")
+    rare = chosen(texts, needles)
+    found = (found_at_hand if rare.count() <= SENT else found_by_shuffle)(texts, needles, rare)
     every = texts.select("id", F.lit("").alias("needle"))
     return found.union(every).join(asked, "needle").select("query", F.col("id").alias(id_))
