@@ -17,8 +17,13 @@ original among its copies). Those that fail meet again in the next round with a
 ROUNDS times. Of a pair that no centre has connected, one text at least failed against its
 bucket's first centre. So each text that failed in a first round is joined to all texts,
 accepted ones included, that are not in its component yet, by rarest shingles (a prefix
-filter, which misses no pair). Links give components; one row a document comes back with
-its class.
+filter, which misses no pair). Rare is what falls in a cell of few shingles; a fixed table
+tells little of a corpus with far more shingles than cells. So a prefix shingle that more
+than CROWD failed texts have brings no pairs by itself: all texts with such a shingle in
+their prefix are joined once more among themselves, by prefixes in the order of how many of
+them really hold each shingle. A similar pair shares either an uncrowded prefix shingle or
+only crowded ones, and then both its texts are there. Links give components; one row a
+document comes back with its class.
 
 Cases: null and empty texts are copies of each other and like no other text; texts of one
 to four words have one shingle; a null id never names a class unless all its rows' ids are
@@ -33,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.llm.common import Scratch, materialize, returning_memory, table, text_key, text_of
@@ -43,6 +48,7 @@ from inkwell.llm.shingles import MIX, mixed, shingle_hashes, slices_of, word_has
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS, SEED = 12, 4, np.uint64(0xD1B54A32D192ED03)
 RARE, CELLS, BLOCKS, ROUNDS, PIECE = 0.002, 1 << 22, 256, 3, 1 << 19
+CROWD = 32
 
 
 def _cell(h: np.ndarray) -> np.ndarray:
@@ -279,18 +285,53 @@ def _rounds(open_: DataFrame, bodies: DataFrame, idf, least: float, scratch: Scr
     return found, first
 
 
+def _counted(bodies: DataFrame, idf, least: float, scratch: Scratch) -> DataFrame:
+    """The same as _prefixes, with shingles in the order of how many of these texts hold each."""
+    sent = bodies.sparkSession.sparkContext.broadcast(idf)
+
+    @returning_memory
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]
+            for i, j in slices_of([len(x) for x in texts], PIECE):
+                h, w, n = weighted_sets(texts[i:j], sent.value)
+                owner = pa.array(np.repeat(np.arange(j - i), n))
+                yield pa.RecordBatch.from_pydict({"_near_key": b.column(0)[i:j].take(owner), "band": pa.array(h.view(np.int64)), "weight": pa.array(w)})
+
+    rows = scratch.write("shingles", bodies.select("_near_key", "_near_text").mapInArrow(run, "_near_key binary, band long, weight double"))
+    held = scratch.write("held", rows.groupBy("band").agg(F.count("*").alias("held")))
+    # Most held first, so that the running sum is the weight from a shingle on.
+    own = Window.partitionBy("_near_key")
+    upwards = own.orderBy(F.desc("held"), F.desc("band")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.join(held, "band").select("_near_key", "band", F.sum("weight").over(upwards).alias("rest"), F.sum("weight").over(own).alias("total"))
+    return rows.filter(F.col("rest") >= least * (1 - 1e-9) * F.col("total"))
+
+
+def _sharing(rows: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of texts of different components that share a prefix shingle and enough weight from it on; a has failed."""
+    x = rows.filter("failed").select("band", F.col("_near_key").alias("a"), F.col("label").alias("la"), F.col("rest").alias("ra"), F.col("total").alias("wa"))
+    y = rows.select("band", F.col("_near_key").alias("b"), F.col("label").alias("lb"), F.col("rest").alias("rb"), F.col("total").alias("wb"), "failed")
+    # Of the first shingle that a pair shares on, both must have what is shared: least / (1 + least) of the sum of their weights.
+    enough = F.least("ra", "rb") >= (F.col("wa") + F.col("wb")) * (least / (1 + least) * (1 - 1e-9))
+    return x.join(y, "band").filter("la != lb AND (a < b OR NOT failed)").filter(enough).select("a", "b")
+
+
 def _missed(failed: DataFrame, found: DataFrame, bodies: DataFrame, idf, lengths: np.ndarray, least: float, scratch: Scratch) -> DataFrame:
     """Verified links of the texts in ``failed`` to texts of other components, all those there are."""
     texts = bodies.select("_near_key").join(components(found).withColumnRenamed("node", "_near_key"), "_near_key", "left")
     texts = texts.join(failed.withColumn("failed", F.lit(True)), "_near_key", "left")
     texts = scratch.write("components", texts.select("_near_key", F.coalesce("label", "_near_key").alias("label"), F.coalesce("failed", F.lit(False)).alias("failed")))
     rows = scratch.write("prefixes", _prefixes(bodies, idf, lengths, least).join(texts, "_near_key"))
-    x = rows.filter("failed").select("band", F.col("_near_key").alias("a"), F.col("label").alias("la"), F.col("rest").alias("ra"), F.col("total").alias("wa"))
-    y = rows.select("band", F.col("_near_key").alias("b"), F.col("label").alias("lb"), F.col("rest").alias("rb"), F.col("total").alias("wb"), "failed")
-    # Of the first shingle that a pair shares on, both must have what is shared: least / (1 + least) of the sum of their weights.
-    enough = F.least("ra", "rb") >= (F.col("wa") + F.col("wb")) * (least / (1 + least) * (1 - 1e-9))
-    pairs = x.join(y, "band").filter("la != lb AND (a < b OR NOT failed)").filter(enough).select("a", "b").distinct()
-    return scratch.write("verified", verified(scratch.write("pairs", pairs), bodies, idf, least))
+    crowded = scratch.write("crowded", rows.filter("failed").groupBy("band").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("band"))
+    pairs = _sharing(rows.join(crowded, "band", "left_anti"), least)
+    if not crowded.isEmpty():
+        pairs = scratch.write("uncrowded", pairs)
+        some = scratch.write("crowd", rows.join(crowded, "band", "left_semi").select("_near_key").distinct())
+        scratch.drop("prefixes")
+        again = scratch.write("counted", _counted(bodies.join(some, "_near_key", "left_semi"), idf, least, scratch).join(texts, "_near_key"))
+        scratch.drop("shingles", "held", "crowd")
+        pairs = pairs.union(_sharing(again, least))
+    return scratch.write("verified", verified(scratch.write("pairs", pairs.distinct()), bodies, idf, least))
 
 
 def links(docs: DataFrame, text: str = "text", least: float = LEAST) -> DataFrame:

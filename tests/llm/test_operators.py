@@ -267,6 +267,24 @@ def test_near_duplicates_behind_a_common_passage(spark):
     assert got == {5} and classes_by_force(texts)[40] == 5
 
 
+def test_near_duplicates_where_cells_tell_nothing(spark, monkeypatch):
+    """With every cell equally full, texts around one passage give few candidates, grow linearly, and true pairs among them are found."""
+    tried, verified = [], neardup.verified
+    monkeypatch.setattr(neardup, "verified", lambda pairs, *args: (tried.append(pairs.count()), verified(pairs, *args))[1])
+    monkeypatch.setattr(neardup, "common_shingles", lambda docs, text: ((np.zeros(0, np.uint64), np.zeros(0), math.log(1 / neardup.RARE)), np.full(neardup.CELLS, 9, np.uint8)))
+    monkeypatch.setattr(neardup, "band_table", lambda docs, idf, text: docs.select(neardup.text_key(text).alias("_near_key"), F.array(F.lit(1).cast("long")).alias("_near_bands")))
+    for n in (100, 200):
+        rng = random.Random(31)
+        passage = words(rng, 80, 9000)
+        texts = [passage + " " + words(rng, 40, 9000) for _ in range(n)]
+        texts += [texts[k] + " end" for k in range(0, n, 10)]
+        docs = documents(spark, texts)
+        tried.clear()
+        found = neardup.classes(docs).filter("class_rows > 1").groupBy("class_id").count().collect()
+        assert sorted(tuple(r) for r in found) == [(k, 2) for k in range(0, n, 10)]
+        assert tried[-1] <= n  # of n (n - 1) / 2 pairs
+
+
 def test_near_duplicates_in_chains_of_edits(spark, monkeypatch):
     """v1 ~ v2 ~ v3, with copies of v1, in one bucket a chain: a text that one centre takes is still the only link of one that it fails."""
     rng = random.Random(14)
