@@ -547,6 +547,25 @@ def test_passages_of_fuzzy_families(spark):
     assert len(seen) >= 0.95 * len(texts)
 
 
+def test_passages_of_short_fuzzy_pairs(spark):
+    """Of planted pairs of 60 words, 40 for each share of other words, nine tenths or more are found, and nothing else."""
+    rng = random.Random(31)
+    texts, rates = [], (0.08, 0.12, 0.16)
+    for rate in rates:
+        for _ in range(40):
+            x = words(rng, 60, 9000).split()
+            y = list(x)
+            for k in rng.sample(range(60), round(60 * rate)):
+                y[k] = words(rng, 1, 9000)
+            for z in (x, y):
+                before = rng.randrange(80)
+                texts.append(f"{words(rng, before, 9000)} {' '.join(z)} {words(rng, 80 - before, 9000)}")
+    got = {tuple(sorted((r.doc_id, r.partner_id))) for r in passages.repeats(documents(spark, texts)).collect()}
+    assert all(b == a + 1 and a % 2 == 0 for a, b in got)
+    for k in range(len(rates)):
+        assert sum(80 * k <= a < 80 * k + 80 for a, _ in got) >= 36
+
+
 def test_chains_are_the_best_collinear_ones():
     rng = random.Random(11)
     for _ in range(60):
