@@ -110,8 +110,13 @@ def collect_videos(stream: DataFrame, table_path: str, log_path: str, checkpoint
     return started(stream, isolated(work, table_path, log_path, [table_path, f"{table_path}-creators", f"{table_path}-play"]), checkpoint, seconds)
 
 
-def arrived(stored: DataFrame, since: int | None = None) -> DataFrame:
-    """Rows that came in batches after ``since``; without it, in the last batch."""
+def arrived(stored: DataFrame, since: int | None = None, runs: DataFrame | None = None) -> DataFrame:
+    """Rows that came in batches after ``since``; without it, in the last batch.
+
+    ``runs`` is the run log (``cycles.run_log``): a last batch that stored nothing brought nothing. Without it
+    the last batch is the last that stored rows.
+    """
     if since is None:
-        return stored.join(F.broadcast(stored.agg(F.max("batch").alias("batch"))), "batch", "left_semi")  # one row
+        last = (stored if runs is None else runs).agg(F.max("batch").cast("long").alias("batch"))
+        return stored.join(F.broadcast(last), "batch", "left_semi")  # one row
     return stored.filter(F.col("batch") > since)

@@ -300,3 +300,23 @@ def test_video_stream_creators_and_play_urls(spark, tmp_path):
     assert {r.pos: r.play_url for r in second.collect()} == {1: "late", 3: "own", 6: ""}
     assert [r.pos for r in arrived(second).collect()] == [6] and arrived(second, -1).count() == 3
     assert stored_creators(spark, path("t-creators")).count() == 2
+
+
+def test_arrived_in_a_last_batch_that_stored_nothing(spark, tmp_path):
+    from inkwell.streaming.collect import arrived, collect_videos, stored_videos
+    from inkwell.streaming.cycles import run_log
+
+    cols = "pos int, title string, creator string, platform string, scope string, original_url string, play_url string, likes int, saves int"
+    limits = spark.createDataFrame([("a", "b", 100, 100)], "platform string, scope string, likes int, saves int")
+    none = spark.createDataFrame([], "name string, keywords array<string>, enabled boolean")
+    path = lambda n: str(tmp_path / n)
+
+    def go(pos, likes):
+        row = (pos, "高考", "who", "a", "b", "https://d/video/1", "", likes, 0)
+        spark.createDataFrame([row], cols).coalesce(1).write.mode("append").parquet(path("in"))
+        collect_videos(spark.readStream.schema(cols).parquet(path("in")), path("t"), path("log"), path("cp"), limits, lambda: none, ("高考",)).awaitTermination()
+        return [r.pos for r in arrived(stored_videos(spark, path("t"), cols), runs=run_log(spark, path("log"))).collect()]
+
+    assert go(1, 200) == [1]
+    assert go(2, 300) == []  # its key is stored already
+    assert go(3, 5) == []
