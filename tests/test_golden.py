@@ -320,3 +320,9 @@ def test_arrived_in_a_last_batch_that_stored_nothing(spark, tmp_path):
     assert go(1, 200) == [1]
     assert go(2, 300) == []  # its key is stored already
     assert go(3, 5) == []
+
+
+def test_feed_rows_are_dealt_to_all_cores(spark):
+    from inkwell.plans.collected import a3
+
+    assert a3(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
