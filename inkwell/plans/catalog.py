@@ -542,8 +542,10 @@ def doc_sentences(spark, d):
     return distil.sentence_table(read(spark, d, "documents"), "doc_id", "text")
 
 
-def doc_scores(spark, d):
-    return distil.scored_sentences(doc_sentences(spark, d), "doc_id", _DOMAIN, "a-z", _DATA)
+def doc_scores(spark, d, rows=None):
+    """Scores of all sentences, which are cut once and written."""
+    rows = dedup.written(doc_sentences(spark, d), "sentences") if rows is None else rows
+    return distil.scored_sentences(rows, "doc_id", _DOMAIN, "a-z", _DATA)
 
 
 @query("c13_sentence_score", _SCORED + " SELECT doc_id, pos, score FROM scored")

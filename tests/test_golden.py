@@ -322,6 +322,18 @@ def test_arrived_in_a_last_batch_that_stored_nothing(spark, tmp_path):
     assert go(3, 5) == []
 
 
+def test_sentence_pairs_are_counted_alike_in_short_and_long_sentences(spark):
+    import random
+
+    from inkwell.operators.distil import scored_sentences
+
+    rng = random.Random(5)
+    rows = [(k // 40, k % 40, "".join(rng.choice("abcd .9") for _ in range(rng.randint(8, 300)))) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id int, pos int, sentence string")
+    got = [{(r.doc_id, r.pos): r.score for r in scored_sentences(df, "doc_id", ("ab c",), "a-c", "99", short=n).collect()} for n in (0, 100, 1000)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 400 and len(set(got[0].values())) > 20
+
+
 def test_feed_rows_are_dealt_to_all_cores(spark):
     from inkwell.plans.collected import a3
 
