@@ -104,8 +104,8 @@ def pick(ordered: Column, limit: int, most: float) -> Column:
     """Texts of an ordered array, each unless its letters are alike to one taken, until ``limit``."""
 
     def alike(s: Column, x: Column, r: Column, y: Column) -> Column:
-        both = F.size(F.array_intersect(x, y))
-        return (s != "") & (r != "") & (both / (F.size(x) + F.size(y) - both) > most)
+        close = lambda both: both / (F.size(x) + F.size(y) - both) > most
+        return (s != "") & (r != "") & X.bound(F.size(F.array_intersect(x, y)), close)
 
     return taken(ordered, alike, limit)
 
