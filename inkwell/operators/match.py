@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import lexicon as L
 from inkwell.functions import text as X
+from inkwell.operators.distil import letters_of
 
 
 def source_names(rows: DataFrame, key: str, names=L.SOURCE_NAMES, host: str = "host") -> DataFrame:
@@ -53,8 +54,14 @@ def keyword_list(words: Column, default=L.DISCOVERY) -> Column:
 
 
 def evidence(points: DataFrame, facts: DataFrame, key: str, least: float = 0.12) -> DataFrame:
-    """For each point the first fact of its document that is alike by letters; facts travel as one array a document."""
+    """For each point the first fact of its document that is alike by letters; facts travel as one array a document.
+
+    A point's letters are cut once, and no fact is looked at behind the first that is alike.
+    """
     f = facts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "sentence"))).alias("_facts"))
     out = points.join(f, key, "left")
-    first = F.try_element_at(F.filter("_facts", lambda x: X.jaccard(F.col("sentence"), x["sentence"]) > least), F.lit(1))
-    return out.withColumn("fact", first["pos"]).drop("_facts")
+    pos = F.lit(None).cast(facts.schema["pos"].dataType)
+    alike = lambda x, y: X.bound(F.size(F.array_intersect(x, y)), lambda both: both / (F.size(x) + F.size(y) - both) > least)
+    near = lambda x, s: (s != "") & X.bound(letters_of(s), lambda y: alike(x, y))
+    first = lambda x: F.aggregate("_facts", pos, lambda a, f: F.when(a.isNotNull(), a).when(near(x, f["sentence"]), f["pos"]))
+    return out.withColumn("fact", F.when(F.col("sentence") != "", X.bound(letters_of(F.col("sentence")), first))).drop("_facts")

@@ -770,8 +770,9 @@ SELECT doc_id, pos, sentence, fact FROM p LEFT JOIN m USING (doc_id, pos)"""
 @query("e11_evidence", _s_evidence())
 def e11(spark, d):
     """The key points of every document, each with the first of its data sentences that is alike."""
-    points = distil.key_points(doc_scores(spark, d), "doc_id")
-    facts = doc_sentences(spark, d).filter(F.col("sentence").rlike(f"{_DATA}|tion"))
+    rows = dedup.written(doc_sentences(spark, d), "sentences")
+    points = distil.key_points(doc_scores(spark, d, rows), "doc_id")
+    facts = rows.filter(F.col("sentence").rlike(f"{_DATA}|tion"))
     return match.evidence(points, facts, "doc_id").select("doc_id", "pos", "sentence", "fact")
 
 

@@ -334,6 +334,22 @@ def test_sentence_pairs_are_counted_alike_in_short_and_long_sentences(spark):
     assert got[0] == got[1] == got[2] and len(got[0]) == 400 and len(set(got[0].values())) > 20
 
 
+def test_evidence_is_the_first_fact_alike(spark):
+    import random
+
+    from inkwell.operators.match import evidence
+
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(0, n)))
+    points, facts = [(k % 7, k, text(6)) for k in range(40)], [(k % 6, k, text(6)) for k in range(90)]
+    alike = lambda a, b: bool(a and b) and len(set(a) & set(b)) / len(set(a) | set(b)) > 0.3
+    want = {p: next((q for e, q, t in facts if e == d and alike(s, t)), None) for d, p, s in points}
+    got = evidence(spark.createDataFrame(points, "d int, pos int, sentence string"), spark.createDataFrame(facts, "d int, pos int, sentence string"), "d", 0.3)
+    assert {r.pos: r.fact for r in got.collect()} == want and None in want.values()
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" in plan and "filter(" not in plan  # facts behind the first are not compared
+
+
 def test_feed_rows_are_dealt_to_all_cores(spark):
     from inkwell.plans.collected import a3
 
