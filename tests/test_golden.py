@@ -354,3 +354,10 @@ def test_feed_rows_are_dealt_to_all_cores(spark):
     from inkwell.plans.collected import a3
 
     assert a3(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_labels_of_a_long_run_all_go(spark):
+    from inkwell.operators.distil import without_noise
+
+    df = spark.createDataFrame([("Ouea " + "The " * 600 + "end, and a The",), ("The " * 300,)], "t string")
+    assert [r[0] for r in df.select(without_noise(F.col("t"), (), ("The", "and"))).collect()] == ["Ouea end, a", ""]
