@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,3 +61,28 @@ def test_queries_do_not_pass_the_driver(spark):
     q = spark.range(500).selectExpr("concat('query ', id) AS query")
     plan = substrings.searched(rows, q, [F.col("text")])._jdf.queryExecution().optimizedPlan().toString()
     assert "query 7" not in plan and "LocalRelation" not in plan
+
+
+@pytest.mark.parametrize("head", [64, 3])
+def test_more_queries_than_a_block_are_not_shuffled(spark, monkeypatch, head):
+    """Several blocks give the loop's rows; grams of texts meet queries in tasks, long queries are searched whole."""
+    monkeypatch.setattr(substrings, "SENT", 100)
+    monkeypatch.setattr(substrings, "HEAD", head)
+    monkeypatch.setattr(substrings, "ROWS", 50)
+    monkeypatch.setattr(substrings, "found_by_shuffle", None)
+    rng = random.Random(8)
+    rows = [(k, "t", " ".join(rng.choice(("ab", "abc", "é", "bcd\U0001f600")) for _ in range(60))) for k in range(90)]
+    queries = [r[2][at : at + n] for r in rows for n in (3, 5, 9, 30, 90) for at in [rng.randrange(60)]] + ["", " AB", "ab "]
+    assert found(spark, rows, queries, 0) == loop(rows, queries)
+
+
+def test_hashes_of_grams_are_polynomials():
+    c = [5, 1, 7, 3, 9, 2, 8, 6, 4, 11, 12, 10, 15, 13]
+    for k in range(1, 13):
+        want = []
+        for i in range(len(c) - k + 1):
+            h = 0
+            for x in c[i : i + k]:
+                h = (h * int(substrings.BASE) + x) % (1 << 64)
+            want.append(h)
+        assert substrings._hashes(np.array(c, np.uint64), k, {}).tolist() == want
