@@ -543,8 +543,8 @@ def doc_sentences(spark, d):
 
 
 def doc_scores(spark, d, rows=None):
-    """Scores of all sentences, which are cut once and written."""
-    rows = dedup.written(doc_sentences(spark, d), "sentences") if rows is None else rows
+    """Scores of all sentences, which are read once."""
+    rows = doc_sentences(spark, d) if rows is None else rows
     return distil.scored_sentences(rows, "doc_id", _DOMAIN, "a-z", _DATA)
 
 
