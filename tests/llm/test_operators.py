@@ -548,6 +548,38 @@ def connected(pairs):
     return {i: find(i) for i in root}
 
 
+def test_passage_runs_look_at_words_that_differ_only():
+    """Runs are those of a plain loop, and words that agree cost no step each: before, each was one in Python."""
+    import sys
+
+    def plain(a, b, cost, drop=8):
+        total = best = taken = kept = same = 0
+        for k, (x, y) in enumerate(zip(a, b, strict=False), 1):
+            total += 1 if x == y else -cost
+            same += x == y
+            if total > best:
+                best, taken, kept = total, k, same
+            if total < best - drop:
+                break
+        return taken, kept
+
+    rng = np.random.default_rng(11)
+    for _ in range(600):
+        a = rng.integers(0, 9, rng.integers(0, 300)).astype(np.uint32)
+        b = a[: rng.integers(0, len(a) + 1)].copy()
+        b[rng.random(len(b)) < rng.choice([0, 0.02, 0.2, 0.5, 1])] = 77
+        for cost in (1, 2):
+            assert passages._run(a, b, cost) == plain(a.tolist(), b.tolist(), cost)
+            assert passages._run(b[::-1], a[::-1], cost) == plain(b[::-1].tolist(), a[::-1].tolist(), cost)
+    lines = []
+    sys.settrace(lambda frame, event, _: frame.f_code is passages._run.__code__ and (lambda f, e, __: lines.append(e)) or None)
+    try:
+        assert passages._run(np.arange(2000), np.arange(2000)) == (2000, 2000)
+    finally:
+        sys.settrace(None)
+    assert len(lines) < 200
+
+
 def test_passages_among_fragments(spark):
     """Fragments of a passage stand in other texts, and one text holds a passage twice."""
     rng = random.Random(3)
