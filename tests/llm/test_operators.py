@@ -674,6 +674,19 @@ def test_passages_of_short_fuzzy_pairs(spark):
         assert sum(80 * k <= a < 80 * k + 80 for a, _ in got) >= 36
 
 
+def test_passages_keep_little_on_the_disk(spark, monkeypatch):
+    """Texts are gone before regions are compared, and what is shuffled most comes from jobs of their own keys each."""
+    rng = random.Random(23)
+    common = [words(rng, 60) for _ in range(4)]
+    texts = [f"{words(rng, 90)} {common[k % 4]} {words(rng, 90)}" for k in range(40)]
+    lying, write = [], passages.Scratch.write
+    monkeypatch.setattr(passages.Scratch, "write", lambda self, name, df: (lying.append((name, set(self.paths))), write(self, name, df))[1])
+    rows = passages.repeats(documents(spark, texts)).collect()
+    assert {r.doc_id for r in rows} == set(range(40)) and len({r.class_id for r in rows}) == 4
+    assert all(not {"texts", "seeds", "shared"} & there for name, there in lying if name.startswith(("best", "matches", "passages")))
+    assert [sum(name == one for name, _ in lying) for one in ("shared", "regions", "passages0")] == [passages.SLICES] * 3
+
+
 def test_chains_are_the_best_collinear_ones():
     rng = random.Random(11)
     for _ in range(60):
