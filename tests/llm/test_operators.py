@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -674,6 +675,33 @@ def test_passages_of_short_fuzzy_pairs(spark):
         assert sum(80 * k <= a < 80 * k + 80 for a, _ in got) >= 36
 
 
+def test_passages_link_texts_that_no_partner_covers(spark):
+    """A line in 40 texts; twenty pairs of them go on alike behind it, every fifth word apart, so without a seed."""
+    rng = random.Random(29)
+    line, texts = words(rng, 40), []
+    for _ in range(20):
+        more = words(rng, 20).split()
+        for _ in range(2):
+            texts.append(f"{words(rng, 80)} {line} {' '.join(words(rng, 1) if k % 5 == 0 else w for k, w in enumerate(more))} {words(rng, 80)}")
+    rows = passages.repeats(documents(spark, texts)).collect()
+    label = {r.doc_id: r.class_id for r in rows}
+    assert [label.get(k) for k in range(40)] == [k // 2 * 2 for k in range(40)]
+
+
+@pytest.mark.parametrize("block", [1 << 16, 4])
+def test_places_of_many_classes_meet_in_blocks(block):
+    """Every pair of classes that may have a passage comes from the rows of any blocks; places of one class don't meet."""
+    rng = np.random.default_rng(3)
+    line, more = rng.integers(1, 60_000, 45), rng.integers(1, 60_000, (6, 12))
+    texts = [np.concatenate([rng.integers(1, 60_000, 64), line, [k + 1], more[k % 6], rng.integers(1, 60_000, 64)]).astype("<u4") for k in range(24)]
+    wanted = [[{"h": 7, "at": 70, "blocks": -(-24 // block)}]] * 24
+    kind = pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int32()), ("blocks", pa.int32())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(24)), pa.array([t.tobytes() for t in texts]), pa.array([k // 12 for k in range(24)]), pa.array(wanted, kind)], ["rid", "words", "class", "wanted"])
+    rows = pa.Table.from_batches(passages._around_rows([batch])).sort_by([(k, "ascending") for k in "hij"])
+    got = collections.Counter((a, b) for m in passages._near_rows(iter(rows.to_batches(max_chunksize=10))) for a, b in zip(m["a"].to_pylist(), m["b"].to_pylist(), strict=True))
+    assert set(got) == {(a, b) for a in range(12) for b in range(12, 24) if a % 6 == b % 6}
+
+
 def test_passages_keep_little_on_the_disk(spark, monkeypatch):
     """Texts are gone before regions are compared, and what is shuffled most comes from jobs of their own keys each."""
     rng = random.Random(23)
